@@ -95,7 +95,7 @@ def share_of_rows(df: DataFrame, key: str, by: Sequence[str], most: int) -> Data
     scale = 1 << 30
     picked = df.join(F.broadcast(groups), list(by))
     place = F.pmod(F.xxhash64(col(key).cast("string"), F.lit("share")), F.lit(scale))
-    return picked.filter(place * F.col("__n") < F.lit(most) * F.lit(scale)).drop("__n")
+    return picked.filter(place.cast("double") * F.col("__n") < F.lit(float(most) * scale)).drop("__n")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe_reuse, dac_file, licenses, mixing, quality_rules, simhash
+from quire.llm import bpe_reuse, collision, dac_file, language_id, licenses, mixing, quality_rules, simhash
 
-MODULES = (licenses, mixing, bpe_reuse, simhash, quality_rules, dac_file)
+MODULES = (licenses, mixing, collision, language_id, bpe_reuse, simhash, quality_rules, dac_file)
 
 
 def queries() -> dict:
