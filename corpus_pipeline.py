@@ -1,8 +1,91 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five stages from raw documents to encoded, mixed text.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages are joined by
+Parquet files, so a lost executor never sends the run back over a stage.
+
+1. language ID: documents without a letter, or whose language the kernel classifier
+   can't tell (score below LEAST_LANGUAGE_SCORE), go.
+2. quality classifier: documents scored below the rule ensemble's threshold go.
+3. SimHash near-dedup: of each class of near copies the smallest doc_id stays; of
+   rows that share it, one.
+4. mixing: rows are put into the order of a Pfair schedule with equal weights for
+   all sources; the files' order is the mixture's. No document goes.
+5. BPE encoding: doc_id, source, the number of tokens, the digests of ids and of the
+   decoded text.
+
+Rows with a null doc_id can't be named as a class's representative; they stay in
+stage 3 only if no row of their class has an id.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.llm import bpe_reuse, language_id, mixing, rule_ensemble, simhash
+from quire.llm.common import materialize, shared_dir, table
+
+LEAST_LANGUAGE_SCORE = 0.3
+_P = "__stage_"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kernel = language_id.train(docs)
+    found = language_id.classify(docs, kernel, prefix=_P)
+    return found.filter((F.col(_P + "lang_pred") != "und") & (F.col(_P + "score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs, model, prefix=_P).filter(F.col(_P + "predicted") == 1).select(*docs.columns)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fps = materialize(simhash.fingerprints(docs, keep=["doc_id"], prefix=_P).select("doc_id", F.col(_P + "fp").alias("fp")), "simhash")
+    named = simhash.classes(fps, "doc_id")
+    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    twice = materialize(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "twice")
+    if twice.isEmpty():
+        return found
+    # Rows that share an id: one stays, the least by the whole row's hash.
+    again = F.col("doc_id").eqNullSafe(F.col("__id"))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    one = found.join(twice, again, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
+    return found.join(twice, again, "left_anti").unionByName(one)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs, prefix=_P)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(n, _P + "position").sortWithinPartitions(_P + "position").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_reuse.digests(docs, keep=["doc_id", "source"])
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", quality),
+    ("SimHash near-dedup", dedup),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Classifiers can't be written in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what lies between them is in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/quire-stage{k}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -5,7 +5,8 @@ by separators between its letters (single spaces, dots, dashes), or by repeating
 letters. A disguised token gives a lattice in which each character stands for some
 letters, or for none. Viterbi search finds the most likely letters under a character
 trigram model and the channel's costs. The restored words join the text's own, and
-logistic regression over a lexicon learned from labels scores them.
+logistic regression over a lexicon learned from labels scores them; a word that
+almost only labelled documents have decides by itself.
 
 The language model's counts come from all characters of all documents: every task
 counts trigrams over its texts and sends its non-zero counts. The lexicon and its
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import crc_mod, map_texts, slices, table, col, prepare, TEXT
+from quire.llm.common import TEXT, col, crc_mod, map_texts, prepare, slices, table
 from quire.llm.rule_ensemble import labelled_sample, lasso
 
 TRAIN_ROWS = 12_000
 MOST_WORDS = 400
 THRESHOLD = 0.5
-LASSO = 1e-4
+LASSO = 1e-5
+#: A word tells by itself if so large a share of its documents is labelled, at the lower end of its confidence interval of Z spreads.
+TELLING, Z = 0.8, 2.0
 
 #: Letters of the model; code 0 is the boundary of a word, 1 any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿßğışčćžšđłńśźżőű"
@@ -187,12 +190,25 @@ def words_of(text: str | None, decoder: Decoder) -> set[str]:
 
 
 class Lexicon:
-    def __init__(self, intercept: float, weights: dict[str, float]) -> None:
-        self.intercept, self.weights = intercept, weights
+    """Logistic weights of words, and the telling words with their least shares."""
+
+    def __init__(self, intercept: float, weights: dict[str, float], telling: dict[str, float] | None = None) -> None:
+        self.intercept, self.weights, self.telling = intercept, weights, telling or {}
 
     def score(self, words: set[str]) -> float:
+        """The logistic score, or the most telling word's share if that is larger: a single word is enough."""
         total = self.intercept + sum(self.weights[w] for w in sorted(self.weights.keys() & words))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+        alone = max((self.telling[w] for w in self.telling.keys() & words), default=0.0)
+        return max(alone, 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
+
+    def matched(self, words: set[str]) -> list[str]:
+        return sorted((self.weights.keys() | self.telling.keys()) & words)
+
+
+def least_share(k: int, n: int, z: float = Z) -> float:
+    """The lower end of Wilson's interval for k of n."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def fit(samples: list[tuple[set[str], int]], most: int = MOST_WORDS, penalty: float = LASSO) -> Lexicon:
@@ -217,7 +233,8 @@ def fit(samples: list[tuple[set[str], int]], most: int = MOST_WORDS, penalty: fl
     chosen = sorted(w for s, w in scored[:most] if s >= 4.0)
     z = np.array([[w in words for w in chosen] for words, _ in samples], np.float64).reshape(n, len(chosen))
     intercept, weights = lasso(z, np.array([y for _, y in samples], np.float64), penalty, 1500)
-    return Lexicon(intercept, {w: float(x) for w, x in zip(chosen, weights, strict=True) if abs(x) > 1e-9})
+    telling = {w: share for w in yes if yes[w] >= 3 and (share := least_share(yes[w], all_[w])) >= TELLING}
+    return Lexicon(intercept, {w: float(x) for w, x in zip(chosen, weights, strict=True) if abs(x) > 1e-9}, telling)
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[Model, Lexicon]:
@@ -252,7 +269,7 @@ def score(df: DataFrame, model: Model, lexicon: Lexicon, text_col: str = "text",
         def work(texts):
             found = [words_of(t, decoder) for t in texts]
             scores = [words.score(f) for f in found]
-            return scores, [int(s >= threshold) for s in scores], [sorted(words.weights.keys() & f) for f in found]
+            return scores, [int(s >= threshold) for s in scores], [words.matched(f) for f in found]
 
         return work
 
