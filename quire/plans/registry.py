@@ -1,11 +1,341 @@
-"""The queries of the core engine and their SQL equivalents."""
+"""The core engine's queries on the driver's tables, each with its SQL equivalent.
+
+The tables stand in for the entities: documents for manuals' text, conversations for
+versioned sections, nation for departments, customer and supplier for users, orders and
+lineitem for manuals and their sections, events for revisions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions.text import extension, preview
+from quire.operators import listings, tagging, workflow
+from quire.operators.diffs import positional_rows, unified
+from quire.operators.structure import clean, split_sections
+from quire.session import table
+
+# ---- text ------------------------------------------------------------------------
+
+_STRIP = r"E' \t\n\r\x0b\x0c'"
+_CLEAN_CTES = rf"""
+    split AS (SELECT doc_id, string_split(text, E'\n') AS a FROM documents WHERE text IS NOT NULL),
+    trimmed AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM split),
+    numbered AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, a FROM trimmed),
+    lines AS (SELECT doc_id, i, trim(a[i], {_STRIP}) AS s FROM numbered),
+    classed AS (SELECT *, CASE WHEN s = '' THEN 'B'
+        WHEN (regexp_matches(s, '\p{{Lu}}') AND NOT regexp_matches(s, '\p{{Ll}}|\p{{Lt}}')) OR regexp_matches(s, '(?i)^(CHAPTER|SECTION|ARTICLE|PART|APPENDIX)') OR regexp_matches(s, '^\d+(\.\d+)*\s') THEN 'H'
+        WHEN len(regexp_split_to_array(s, '\s+')) <= 3 AND NOT regexp_matches(s, '[.?!:]$') THEN 'S' ELSE 'L' END AS k FROM lines),
+    marked AS (SELECT *, CASE WHEN k IN ('B', 'H') OR lag(k) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM 'S' THEN 1 ELSE 0 END AS starts FROM classed),
+    grouped AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+    rejoined AS (SELECT doc_id, g, string_agg(s, ' ' ORDER BY i) AS line FROM grouped GROUP BY ALL),
+    cleaned AS (SELECT doc_id, trim(string_agg(line, E'\n' ORDER BY g), {_STRIP}) AS cleaned FROM rejoined GROUP BY doc_id)"""
+
+
+def _sections_ctes(source: str, text: str) -> str:
+    return rf"""
+    body AS (SELECT doc_id, {text} AS text FROM {source} WHERE {text} IS NOT NULL),
+    raw AS (SELECT doc_id, unnest(range(1, len(string_split(text, E'\n')) + 1)) AS i, string_split(text, E'\n') AS a FROM body),
+    kept AS (SELECT doc_id, i, trim(a[i], {_STRIP}) AS s FROM raw WHERE trim(a[i], {_STRIP}) <> ''),
+    flagged AS (SELECT *, (length(s) < 80 AND (regexp_matches(s, '^\d+[\.\)]\s+\w+') OR regexp_matches(s, '^[A-Z][A-Z\s]{{2,60}}$') OR regexp_matches(s, '^[A-Z][a-z]+(\s[A-Z][a-z]+){{0,6}}$'))) AS h FROM kept),
+    numbered2 AS (SELECT *, sum(h::int) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM flagged),
+    made AS (SELECT doc_id, g, coalesce(max(s) FILTER (WHERE h), 'Introduction') AS subtitle, string_agg(s, E'\n' ORDER BY i) FILTER (WHERE NOT h) AS content FROM numbered2 GROUP BY doc_id, g),
+    full_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS ord, subtitle, content FROM made WHERE content IS NOT NULL),
+    sections AS (SELECT doc_id, ord, subtitle, content FROM full_ UNION ALL SELECT doc_id, 0, 'Full Document', trim(text, {_STRIP}) FROM body WHERE doc_id NOT IN (SELECT doc_id FROM full_))"""
+
+
+def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(table(spark, sf_dir, "documents")).select("doc_id", "cleaned")
+
+
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sections(table(spark, sf_dir, "documents"))
+
+
+def cleanup_then_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sections(clean(table(spark, sf_dir, "documents")), "cleaned")
+
+
+def section_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.tag(cleanup_then_section(spark, sf_dir)).select("doc_id", "ord", "subtitle", "tag")
+
+
+def edit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags as an edit gives them: blank text asks the model too."""
+    return tagging.tag(table(spark, sf_dir, "documents"), "text", untag_blank=False).select("doc_id", "tag")
+
+
+_TAGS_SQL = f"WITH {_CLEAN_CTES}, {_sections_ctes('cleaned', 'cleaned')}, {tagging.oracle_scores('content', 'sections', 'doc_id, ord')} SELECT doc_id, ord, subtitle, CASE WHEN trim(content, {_STRIP}) = '' THEN 'UNTAGGED' ELSE tag END AS tag FROM sections JOIN tags USING (doc_id, ord)"
+_EDIT_TAGS_SQL = f"WITH {tagging.oracle_scores('text', 'documents', 'doc_id')} SELECT doc_id, tag FROM documents JOIN tags USING (doc_id)"
+
+# ---- versions and diffs --------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("section_id"), F.col("turn").alias("version"), F.col("text").alias("content"))
+    return listings.previous(turns, order=("version",))
+
+
+def previous_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)
+
+
+def positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_rows(_pairs(spark, sf_dir), "previous_content", "content", ("section_id", "version"))
+
+
+def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("section_id", "version", unified(F.col("previous_content"), F.col("content")).alias("diff_text"))
+
+
+_PAIRS_SQL = "SELECT conv_id AS section_id, turn AS version, text AS content, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_content FROM conversations"
+_POSITIONAL_SQL = rf"""WITH pairs AS ({_PAIRS_SQL}),
+    arrays AS (SELECT section_id, version, string_split(coalesce(previous_content, ''), E'\n') AS a, string_split(coalesce(content, ''), E'\n') AS b FROM pairs),
+    places AS (SELECT *, unnest(range(1, greatest(len(a), len(b)) + 1)) AS i FROM arrays),
+    compared AS (SELECT section_id, version, i, CASE WHEN i <= len(a) THEN a[i] END AS x, CASE WHEN i <= len(b) THEN b[i] END AS y FROM places),
+    rows_ AS (SELECT section_id, version, i, 0 AS j, 'same' AS kind, x AS line FROM compared WHERE x = y
+        UNION ALL SELECT section_id, version, i, 1, 'removed', x FROM compared WHERE x IS NOT NULL AND x IS DISTINCT FROM y
+        UNION ALL SELECT section_id, version, i, 2, 'added', y FROM compared WHERE y IS NOT NULL AND x IS DISTINCT FROM y)
+    SELECT section_id, version, row_number() OVER (PARTITION BY section_id, version ORDER BY i, j) - 1 AS ord, kind, line FROM rows_"""
+
+
+def _conversation_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as (sections, history): the last turn is the present version."""
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    made = turns.select(F.col("conv_id").alias("section_id"), F.col("n").alias("version"), F.col("role").alias("subtitle"), F.col("text").alias("content"), F.lit("UNTAGGED").alias("tag"), F.when(F.col("role") == "user", F.lit(1)).cast("long").alias("edited_by_id"), F.lit(None).cast("timestamp").alias("edited_at"), (F.col("turn") == F.col("last")).alias("now"))
+    return made.filter("now").drop("now").withColumnRenamed("section_id", "id"), made.filter("not now").drop("now")
+
+
+def history_with_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections, old = _conversation_entities(spark, sf_dir)
+    people = spark.createDataFrame([(1, "editor")], "id long, username string")
+    return listings.history(old, sections, people).select("section_id", "version", "subtitle", "content", "edited_by", "is_current")
+
+
+_HISTORY_SQL = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations)
+    SELECT conv_id AS section_id, version, role AS subtitle, text AS content, CASE WHEN is_current THEN 'Current' WHEN role = 'user' THEN 'editor' ELSE 'N/A' END AS edited_by, is_current FROM t"""
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first turn of a conversation as a section, later ones as edits: even turns give content, those over 2 a title."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    start = turns.join(first, ["conv_id", "turn"])
+    sections = start.select(F.col("conv_id").alias("id"), F.pmod("conv_id", F.lit(10)).alias("manual_id"), F.col("role").alias("subtitle"), F.col("text").alias("content"), F.lit("UNTAGGED").alias("tag"), F.lit(5).alias("page_number"), F.lit(0).alias("order"), F.lit(1).alias("version"))
+    later = turns.join(first.withColumnRenamed("turn", "first"), "conv_id").filter("turn > first")
+    none = F.lit(False)
+    events = later.select(F.col("conv_id").alias("section_id"), F.col("turn").cast("int").alias("seq"), (F.col("turn") > 2).alias("has_subtitle"), F.col("role").alias("subtitle"), (F.col("turn") % 2 == 0).alias("has_content"), F.col("text").alias("content"), (F.col("turn") == 1).alias("has_page"), F.lit(None).cast("int").alias("page_number"), none.alias("has_order"), F.lit(None).cast("int").alias("order"), F.col("turn").alias("actor"), F.lit(None).cast("timestamp").alias("ts"))
+    return sections, events
+
+
+def version_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, _ = workflow.fold_edits(*_edits(spark, sf_dir))
+    return now.select("id", "subtitle", "content", "page_number", "version")
+
+
+def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, past = workflow.fold_edits(*_edits(spark, sf_dir))
+    return past.select("section_id", "version", "subtitle", "content", "edited_by_id")
+
+
+def manual_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections, events = _edits(spark, sf_dir)
+    manuals = spark.range(12).select("id", F.lit(1).alias("version"))
+    return workflow.bump_manuals(manuals, sections, events)
+
+
+_STATES = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+    s AS (SELECT conv_id, version, turn, turn = first AS start,
+        last_value(CASE WHEN turn = first OR turn > 2 THEN role END IGNORE NULLS) OVER w AS subtitle,
+        last_value(CASE WHEN turn = first OR turn % 2 = 0 THEN text END IGNORE NULLS) OVER w AS content,
+        CASE WHEN count(*) FILTER (WHERE turn <> first AND turn = 1) OVER w > 0 THEN NULL ELSE 5 END AS page_number,
+        lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS edited_by_id
+        FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
+_FOLD_SQL = f"{_STATES} SELECT conv_id AS id, subtitle, content, page_number, version FROM s WHERE edited_by_id IS NULL"
+_EDIT_HISTORY_SQL = f"{_STATES} SELECT conv_id AS section_id, version, subtitle, content, edited_by_id FROM s WHERE edited_by_id IS NOT NULL"
+_MANUAL_VERSIONS_SQL = f"{_STATES}, n AS (SELECT conv_id % 10 AS m, count(*) FILTER (WHERE NOT start) AS n FROM s GROUP BY 1) SELECT id, 1 + coalesce(n, 0) AS version FROM range(12) r(id) LEFT JOIN n ON n.m = r.id"
+
+# ---- listings --------------------------------------------------------------------------
+
+
+def _departments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as departments, those of region 0 left out so that some references have no name."""
+    return table(spark, sf_dir, "nation").filter("n_regionkey <> 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.concat("c_name", F.lit("@example.org")).alias("email"), F.when(F.col("c_custkey") % 7 == 0, "admin").otherwise("staff").alias("role"), (F.col("c_acctbal") >= 0).alias("is_approved"), (F.col("c_custkey") % 7 == 0).alias("is_staff"), F.col("c_nationkey").cast("long").alias("department_id"))
+
+
+def pending_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.users(_users(spark, sf_dir), _departments(spark, sf_dir), False)
+
+
+def approved_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.users(_users(spark, sf_dir), _departments(spark, sf_dir), True)
+
+
+def department_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.departments(_departments(spark, sf_dir))
+
+
+def login_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.login(_users(spark, sf_dir), _departments(spark, sf_dir))
+
+
+def user_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.admin_list(_users(spark, sf_dir), ["id", "username", "role"], is_approved=True, role="admin")
+
+
+def _manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), (F.col("o_custkey") % 25).alias("department_id"), F.col("o_custkey").alias("uploaded_by_id"), F.col("o_orderdate").alias("uploaded_at"), F.lit(1).alias("version"))
+
+
+def manual_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _users(spark, sf_dir).filter("id % 5 <> 0")
+    sections = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("manual_id"))
+    return listings.manuals(_manuals(spark, sf_dir), _departments(spark, sf_dir), people, sections).withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd"))
+
+
+def section_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manual's sections, its lines ordered by number."""
+    line = table(spark, sf_dir, "lineitem")
+    sections = line.select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("manual_id"), F.col("l_shipdate").cast("string").alias("subtitle"), F.col("l_returnflag").alias("content"), F.col("l_linestatus").alias("tag"), F.lit(None).cast("int").alias("page_number"), F.col("l_linenumber").alias("order"), F.lit(1).alias("version"))
+    return listings.sections(sections, _manuals(spark, sf_dir), _departments(spark, sf_dir), 1).select("manual", "department", "id", "content", "preview", "tag", "order", "version")
+
+
+def section_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", preview(F.col("text"), 200).alias("preview"))
+
+
+def revision_list(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("section_id"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("submitted_by_id"), F.col("event_type").alias("status"), F.col("props").alias("diff_text"), F.col("ts").alias("submitted_at"), F.lit("").alias("reviewer_notes"))
+    c = table(spark, sf_dir, "customer")
+    sections = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("manual_id"), F.col("c_name").alias("subtitle"))
+    manuals = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("long").alias("department_id"))
+    departments = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
+    return listings.revisions(rows, sections, manuals, departments, _users(spark, sf_dir), status).select("id", "section", "manual", "department", "submitted_by", "status", "diff_preview")
+
+
+def revision_list_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revision_list(spark, sf_dir, "purchase")
+
+
+def access_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.access_counts(_users(spark, sf_dir), _manuals(spark, sf_dir))
+
+
+def readable_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.readable(_manuals(spark, sf_dir), 3, False).select("id", "department_id")
+
+
+def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier names as new departments: refused if they end in an even digit, which are taken."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    taken = s.filter("id % 2 = 0").select((-F.col("id")).alias("id"), "name")
+    made, refused = workflow.create_departments(taken, s)
+    return made.select("id", "name", F.lit("there").alias("state")).union(refused.select("id", "name", F.lit("refused")))
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.lookup(table(spark, sf_dir, "orders"), 7, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def type_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", extension(F.col("url")).alias("ext"))
+
+
+# ---- deletions and reviews ------------------------------------------------------------------
+
+
+def _entity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    line = table(spark, sf_dir, "lineitem")
+    return {
+        "department": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")),
+        "user": _users(spark, sf_dir).select("id", "department_id"),
+        "manual": _manuals(spark, sf_dir).select("id", "department_id", "uploaded_by_id"),
+        "section": line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("manual_id")),
+    }
+
+
+def _counts(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in tables.items():
+        nulls = [F.count_if(F.col(c).isNull()) for c in df.columns if c != "id"]
+        one = df.agg(F.count("*").alias("n_rows"), sum(nulls, F.lit(0)).cast("long").alias("n_nulls")).select(F.lit(name).alias("entity"), "n_rows", "n_nulls")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and null references by entity after department 3 goes."""
+    gone = spark.createDataFrame([(3,)], "id long")
+    return _counts(workflow.delete(_entity_tables(spark, sf_dir), "department", gone))
+
+
+def set_null_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manuals after the users of department 5 go."""
+    tables = _entity_tables(spark, sf_dir)
+    gone = tables["user"].filter("department_id = 5").select("id")
+    return workflow.delete(tables, "user", gone)["manual"]
+
+
+def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as revisions, events as their reviews: purchases approve, views reject, others are refused."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "view", "rejected").otherwise("other")
+    reviews = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), F.lit(None).cast("string").alias("notes"), F.col("ts").cast("timestamp").alias("ts"))
+    revisions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit("").alias("reviewer_notes"))
+    return workflow.review(revisions, reviews)[0].select("id", "status", "reviewer_notes")
+
+
+_USERS = "u AS (SELECT c_custkey AS id, c_name AS username, c_name || '@example.org' AS email, CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'staff' END AS role, c_acctbal >= 0 AS is_approved, c_custkey % 7 = 0 AS is_staff, c_nationkey::bigint AS department_id FROM customer), d AS (SELECT n_nationkey::bigint AS id, n_name AS name FROM nation WHERE n_regionkey <> 0), m AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_custkey % 25 AS department_id, o_custkey AS uploaded_by_id, o_orderdate AS uploaded_at FROM orders)"
+_JOINED = "FROM u LEFT JOIN d ON u.department_id = d.id"
+_REVISIONS = """SELECT e.event_id AS id, c.c_name AS section, n.n_name AS manual, r.r_name AS department, CASE WHEN e.user_id % 3 <> 0 THEN coalesce(p.c_name, 'N/A') ELSE 'N/A' END AS submitted_by, e.event_type AS status, substring(e.props, 1, 300) AS diff_preview
+    FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN customer p ON p.c_custkey = e.user_id"""
+
+#: name: (query, SQL or None)
+REGISTRY = {
+    "section_split": (section_split, f"WITH {_sections_ctes('documents', 'text')} SELECT doc_id, ord, subtitle, content FROM sections"),
+    "text_cleanup": (text_cleanup, f"WITH {_CLEAN_CTES} SELECT doc_id, coalesce(cleaned, '') AS cleaned FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN cleaned USING (doc_id) UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
+    "cleanup_then_section": (cleanup_then_section, f"WITH {_CLEAN_CTES}, {_sections_ctes('cleaned', 'cleaned')} SELECT doc_id, ord, subtitle, content FROM sections"),
+    "section_tags": (section_tags, _TAGS_SQL),
+    "edit_tags": (edit_tags, _EDIT_TAGS_SQL),
+    "previous_version": (previous_version, _PAIRS_SQL),
+    "positional_diff": (positional_diff, _POSITIONAL_SQL),
+    "unified_diff": (unified_diff, None),
+    "history_with_current": (history_with_current, _HISTORY_SQL),
+    "version_fold": (version_fold, _FOLD_SQL),
+    "edit_history": (edit_history, _EDIT_HISTORY_SQL),
+    "manual_versions": (manual_versions, _MANUAL_VERSIONS_SQL),
+    "pending_users": (pending_users, f"WITH {_USERS} SELECT u.id, username, email, coalesce(name, 'N/A') AS department {_JOINED} WHERE NOT is_approved"),
+    "approved_users": (approved_users, f"WITH {_USERS} SELECT u.id, username, email, role, coalesce(name, 'N/A') AS department {_JOINED} WHERE is_approved"),
+    "department_list": (department_list, f"WITH {_USERS} SELECT id, name FROM d"),
+    "login_view": (login_view, f"WITH {_USERS} SELECT u.id, username, role, department_id, name AS department, is_approved AS allowed {_JOINED}"),
+    "user_facets": (user_facets, f"WITH {_USERS} SELECT id, username, role FROM u WHERE is_approved AND role = 'admin'"),
+    "manual_list": (manual_list, f"WITH {_USERS}, n AS (SELECT l_orderkey AS mid, count(*) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT m.id, title, coalesce(d.name, 'N/A') AS department, coalesce(u.username, 'N/A') AS uploaded_by, strftime(uploaded_at, '%Y-%m-%d') AS uploaded_at, 1 AS version, coalesce(c, 0) AS sections FROM m LEFT JOIN d ON m.department_id = d.id LEFT JOIN u ON u.id = m.uploaded_by_id AND u.id % 5 <> 0 LEFT JOIN n ON n.mid = m.id"),
+    "section_list": (section_list, f"WITH {_USERS} SELECT title AS manual, coalesce(d.name, 'N/A') AS department, l_partkey AS id, l_returnflag AS content, l_returnflag AS preview, l_linestatus AS tag, l_linenumber AS \"order\", 1 AS version FROM lineitem JOIN m ON l_orderkey = m.id LEFT JOIN d ON m.department_id = d.id WHERE m.id = 1"),
+    "section_preview": (section_preview, "SELECT doc_id, substring(text, 1, 200) AS preview FROM documents"),
+    "revision_list": (revision_list, _REVISIONS),
+    "revision_list_by_status": (revision_list_by_status, f"{_REVISIONS} WHERE e.event_type = 'purchase'"),
+    "access_filter": (access_filter, f"WITH {_USERS}, o AS (SELECT department_id, count(*) AS n FROM m GROUP BY 1) SELECT u.id, CASE WHEN is_staff THEN (SELECT count(*) FROM m) ELSE coalesce(n, 0) END AS may_list, coalesce(n, 0) AS may_upload FROM u LEFT JOIN o USING (department_id)"),
+    "readable_manuals": (readable_manuals, f"WITH {_USERS} SELECT id, department_id FROM m WHERE department_id = 3"),
+    "unique_check": (unique_check, "SELECT -s_suppkey AS id, s_name AS name, 'there' AS state FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'refused' ELSE 'there' END FROM supplier"),
+    "point_lookup": (point_lookup, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7"),
+    "type_dispatch": (type_dispatch, "SELECT page_id, lower(list_last(string_split(url, '.'))) AS ext FROM pages"),
+    "cascade_delete": (cascade_delete, f"WITH {_USERS} SELECT 'department' AS entity, count(*) AS n_rows, 0 AS n_nulls FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'user', count(*), count(*) FILTER (WHERE department_id = 3 OR department_id IS NULL) FROM u UNION ALL SELECT 'manual', count(*), 0 FROM m WHERE department_id <> 3 UNION ALL SELECT 'section', count(*), 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM m WHERE department_id = 3)"),
+    "set_null_delete": (set_null_delete, f"WITH {_USERS} SELECT m.id, m.department_id, CASE WHEN u.department_id = 5 THEN NULL ELSE uploaded_by_id END AS uploaded_by_id FROM m LEFT JOIN u ON u.id = uploaded_by_id"),
+    "review_status": (review_status, "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type IN ('purchase', 'view')) SELECT c_custkey AS id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'view' THEN 'rejected' ELSE 'pending' END AS status, '' AS reviewer_notes FROM customer LEFT JOIN r ON user_id = c_custkey AND k = 1"),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
