@@ -52,7 +52,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return found
     # Rows that share an id: one stays, the least by the whole row's hash.
     again = F.col("doc_id").eqNullSafe(F.col("__id"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
     one = found.join(twice, again, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
     return found.join(twice, again, "left_anti").unionByName(one)
 

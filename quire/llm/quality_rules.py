@@ -28,9 +28,9 @@ CHUNK = 4096
 CHUNK_SHARE = 0.5
 LEVEL = 3
 #: (bytes up to, lowest and highest ratio) for whole documents.
-BANDS = ((100, 0.0, 3.0), (300, 0.6, 4.0), (1000, 0.95, 5.0), (3000, 1.15, 6.0), (10_000, 1.3, 7.0), (None, 1.4, 8.0))
+BANDS = ((100, 0.0, 2.5), (300, 0.6, 3.0), (1000, 0.95, 3.5), (3000, 1.15, 4.0), (10_000, 1.3, 4.5), (None, 1.4, 5.0))
 #: The same for a full chunk.
-CHUNK_BAND = (1.25, 7.0)
+CHUNK_BAND = (1.25, 5.0)
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 

@@ -52,10 +52,14 @@ LOOKALIKES = {
 }
 SEPARATORS = set(" .-_*'/\\|~^,:;")
 #: Costs (negative log probability) of the channel's acts.
-SWAP, DROP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT = 0.7, 0.3, 0.3, 1.5
+SWAP, DROP_SEPARATOR, DROP_SYMBOL = 0.7, 0.3, 4.0
+#: (keep, drop) of a letter that repeats the one before: the second of two, the second of more, later ones.
+REPEATS = ((0.0, 1.2), (0.7, 0.3), (3.0, 0.1))
 
 _WORD_MAP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_EDGE = ".,;:!?\"'()[]{}<>|*&%#$=-_/\\"
+#: Punctuation around a word; a single $ or @ at an end may be a letter, a run of symbols after the word is not.
+_AROUND = ".,;:!?\"'()[]{}<>|*&%#=-_/\\"
+_TAIL = re.compile(r"([^\w\s])\1+\Z")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_]")
@@ -125,13 +129,15 @@ class Decoder:
         ch = token[i]
         out: list[tuple[str, float]] = []
         if ch.isalpha():
-            repeat = i > 0 and token[i - 1] == ch
-            out.append((ch, KEEP_REPEAT if repeat else 0.0))
-            if repeat:
-                out.append(("", DROP_REPEAT))
+            if i > 0 and token[i - 1] == ch:
+                later = i > 1 and token[i - 2] == ch
+                keep, drop = REPEATS[2 if later else int(token[i + 1 : i + 2] == ch)]
+                out += [(ch, keep), ("", drop)]
+            else:
+                out.append((ch, 0.0))
         out += [(x, SWAP) for x in LOOKALIKES.get(ch, "")]
         if ch in SEPARATORS or not out:
-            out.append(("", DROP_SEPARATOR if ch in SEPARATORS else 4.0))
+            out.append(("", DROP_SEPARATOR if ch in SEPARATORS else DROP_SYMBOL))
         return out
 
     def viterbi(self, token: str) -> str:
@@ -158,10 +164,9 @@ class Decoder:
         if len(self.known) >= self.most:
             self.known.clear()
         out = None
-        core = token.strip(_EDGE)
-        if not (_PLAIN.match(core) and not _TRIPLE.search(core)) and len(_MIXED.findall(token)) >= 2:
-            whole = token.rstrip(".,;:?\"')]}").lstrip("\"'([{")
-            out = self.viterbi(whole) or None
+        core = _TAIL.sub("", token).strip(_AROUND)
+        if not (_PLAIN.match(core) and not _TRIPLE.search(core)) and len(_MIXED.findall(core)) >= 2:
+            out = self.viterbi(core) or None
         self.known[token] = out
         return out
 
