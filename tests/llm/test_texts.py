@@ -24,7 +24,7 @@ def lower(text):
 
 
 LICENSED = [
-    "x. Licensed under the MIT License. y under the MIT license", "Apache License, Version 2.0", "CC BY-NC 4.0", "Licensed under the Apache Lisence, Versoin 2", "This work is licensed under the GNU Genral Public License",
+    "x. Licensed under the MIT License. y under the MIT license", "Apache License, Version 2.0", "CC BY-NC 4.0", "Licensed under the Apache Lisence, Verson 2", "This work is licensed under the GNU Genral Public License",
     "Permission is hereby grantd, free of charg, to any persn", "nothing of the kind under the tree", "under the mit", None, "",
 ]
 
