@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import strip
 from quire.operators.diffs import unified
 from quire.operators.entities import FOREIGN_KEYS, STATUSES
+from quire.operators.listings import can_upload
+from quire.operators.structure import split_sections
 from quire.operators.tagging import UNTAGGED, TagModel, tag
 
 #: What an edit may change: column and the flag that says it was given.
@@ -70,6 +72,31 @@ def create_sections(sections: DataFrame, rows: DataFrame, model: TagModel | None
     return append(sections, good), bad
 
 
+def upload_manuals(manuals: DataFrame, sections: DataFrame, rows: DataFrame, texts: DataFrame, model: TagModel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manuals, sections, refused rows) after uploads.
+
+    ``rows`` need title, department_id and file. ``texts`` (file, text, error) are the
+    cleaned extractions; a manual whose file can't be read or is blank is kept without
+    sections. A section's id is a hash of manual and place, so a repeated run gives
+    the same ids.
+    """
+    good, bad = require(rows, "title", "department_id", "file")
+    good = good.withColumn("version", F.lit(1))
+    found = good.select(F.col("id").alias("manual_id"), "title", "file").join(texts.filter("error is null").select("file", "text"), "file").filter(~blank_content(F.col("text")))
+    made = tag(split_sections(found, "text", F.col("title"), ("manual_id",)), model=model)
+    made = made.select(F.xxhash64("manual_id", "ord").alias("id"), "manual_id", "subtitle", "content", "tag", F.lit(None).cast("int").alias("page_number"), F.col("ord").alias("order"), F.lit(1).alias("version"))
+    return append(manuals, good), append(sections, made), bad
+
+
+def valid_edits(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edits, refused edits): an explicit null is for the page number only."""
+    ok = F.lit(True)
+    for column, flag in EDITABLE:
+        if column != "page_number":
+            ok = ok & (~F.coalesce(F.col(flag), F.lit(False)) | F.col(column).isNotNull())
+    return events.filter(ok), events.filter(~ok)
+
+
 def fold_edits(sections: DataFrame, events: DataFrame, model: TagModel | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections after their edits, history rows).
 
@@ -113,6 +140,15 @@ def submit_revisions(revisions: DataFrame, sections: DataFrame, uploads: DataFra
     return append(revisions, new)
 
 
+def allowed_uploads(uploads: DataFrame, users: DataFrame, sections: DataFrame, manuals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uploads, refused ones): a file is needed, and submitter and manual must be of one department, staff or not."""
+    good, bad = require(uploads, "uploaded_file")
+    where = sections.select(F.col("id").alias("section_id"), "manual_id").join(manuals.select(F.col("id").alias("manual_id"), F.col("department_id").alias("__md")), "manual_id")
+    who = users.select(F.col("id").alias("submitted_by_id"), F.col("department_id").alias("__ud"))
+    allowed = good.join(where, "section_id").join(who, "submitted_by_id").filter(can_upload(F.col("__ud"), F.col("__md"))).select("id")
+    return good.join(allowed, "id", "left_semi"), bad.unionByName(good.join(allowed, "id", "left_anti"))
+
+
 def review(revisions: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(revisions with their latest review, refused reviews); ``reviews``: id, seq, status, notes, ts. A revision may be reviewed again."""
     valid = F.coalesce(F.col("status").isin("approved", "rejected"), F.lit(False))
@@ -159,6 +195,11 @@ def delete(tables: Mapping[str, DataFrame], entity: str, keys: DataFrame) -> dic
     return out
 
 
+def password_problem(password: Column, again: Column) -> Column:
+    """What is wrong with a new password, or null."""
+    return F.when(~password.eqNullSafe(again), "passwords do not match").when(F.coalesce(F.length(password), F.lit(0)) < 8, "password is shorter than 8 characters")
+
+
 def check_status(status: str) -> str:
     if status not in STATUSES[1:]:
         raise Rejected(f"status must be one of {STATUSES[1:]}")

@@ -77,6 +77,13 @@ def stored(df: DataFrame, files: DataFrame, path_col: str = "file") -> DataFrame
     return df.join(files.select(F.col("path").alias(path_col), "content"), path_col, "left")
 
 
+def read_back(manuals: DataFrame, files: DataFrame) -> DataFrame:
+    """The cleaned text of each manual's stored file: (id, text, error); a manual without a file, or whose file is gone, says so."""
+    found = extract(stored(manuals.select("id", "file"), files), "file")
+    problem = F.when(F.coalesce(F.col("file"), F.lit("")) == "", "no file").when(F.col("content").isNull(), "file not found").otherwise(F.col("error"))
+    return clean(found, "raw_text", "text").select("id", F.when(problem.isNull(), F.col("text")).alias("text"), problem.alias("error"))
+
+
 def ingest(files: DataFrame, name_col: str = "path") -> DataFrame:
     """Files to tagged sections: (name, ord, subtitle, content, tag); a file that fails gives no section."""
     text = clean(extract(files, name_col).filter("error is null"), "raw_text", "text")

@@ -141,3 +141,28 @@ def test_old_tables(spark, tmp_path):
     tables.write_entity(upgrade(spark.createDataFrame([(2, "N")], "id long, title string"), "manual"), str(tmp_path), "manual")
     assert tables.read_entity(spark, str(tmp_path), "manual").count() == 2
     assert tables.as_json(spark.createDataFrame([(None,)], "a string")).first()[0] == '{"a":null}'
+
+
+def test_uploads(spark, world, tmp_path):
+    rows = spark.createDataFrame([(5, "New", 1, "a.txt"), (6, "Broken", 1, "b.txt"), (7, "", 1, "c.txt"), (8, "Headings", 2, "d.txt")], "id long, title string, department_id long, file string")
+    texts = spark.createDataFrame([("a.txt", "Intro line here.\n1. Steps\nFollow these steps", None), ("b.txt", None, "unreadable"), ("d.txt", "SCOPE", None)], "file string, text string, error string")
+    manuals, sections, refused = workflow.upload_manuals(world["manual"], world["section"], rows, texts)
+    assert ids(refused) == [7] and ids(manuals) == [1, 2, 5, 6, 8]
+    made = [(r["manual_id"], r["order"], r["subtitle"], r["tag"], r["version"]) for r in sections.filter("manual_id > 2").orderBy("manual_id", "order").collect()]
+    assert made == [(5, 0, "Introduction", "PROCEDURE", 1), (5, 1, "1. Steps", "PROCEDURE", 1), (8, 0, "Headings", "PROCEDURE", 1)]
+    (tmp_path / "a.txt").write_text("SCOPE\nAll of the staff are covered.")
+    path = f"file:{tmp_path}/a.txt"
+    stored = spark.createDataFrame([(1, path), (2, ""), (3, "file:/gone.txt")], "id long, file string")
+    got = {r["id"]: (r["text"], r["error"]) for r in files.read_back(stored, files.read_files(spark, str(tmp_path))).collect()}
+    assert got == {1: ("SCOPE\nAll of the staff are covered.", None), 2: (None, "no file"), 3: (None, "file not found")}
+
+
+def test_refusals(spark, world):
+    up = spark.createDataFrame([(1, 1, 1, "f"), (2, 1, 2, "f"), (3, 1, 3, "f"), (4, 1, 1, "")], "id long, section_id long, submitted_by_id long, uploaded_file string")
+    good, bad = workflow.allowed_uploads(up, world["user"], world["section"], world["manual"])
+    assert ids(good) == [1] and ids(bad) == [2, 3, 4]
+    log = events(spark, {"section_id": 1, "seq": 1, "has_content": True}, {"section_id": 1, "seq": 2, "has_page": True}, {"section_id": 1, "seq": 3, "has_subtitle": False})
+    good, bad = workflow.valid_edits(log)
+    assert [r["seq"] for r in bad.collect()] == [1] and good.count() == 2
+    df = spark.createDataFrame([("abcdefgh", "abcdefgh"), ("abc", "abc"), ("abcdefgh", "x")], "a string, b string")
+    assert [bool(r[0]) for r in df.select(workflow.password_problem(F.col("a"), F.col("b"))).collect()] == [False, True, True]
