@@ -41,7 +41,7 @@ def _sections_ctes(source: str, text: str) -> str:
     flagged AS (SELECT *, (length(s) < 80 AND (regexp_matches(s, '^\d+[\.\)]\s+\w+') OR regexp_matches(s, '^[A-Z][A-Z\s]{{2,60}}$') OR regexp_matches(s, '^[A-Z][a-z]+(\s[A-Z][a-z]+){{0,6}}$'))) AS h FROM kept),
     numbered2 AS (SELECT *, sum(h::int) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM flagged),
     made AS (SELECT doc_id, g, coalesce(max(s) FILTER (WHERE h), 'Introduction') AS subtitle, string_agg(s, E'\n' ORDER BY i) FILTER (WHERE NOT h) AS content FROM numbered2 GROUP BY doc_id, g),
-    full_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS ord, subtitle, content FROM made WHERE content IS NOT NULL),
+    full_ AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INTEGER AS ord, subtitle, content FROM made WHERE content IS NOT NULL),
     sections AS (SELECT doc_id, ord, subtitle, content FROM full_ UNION ALL SELECT doc_id, 0, 'Full Document', trim(text, {_STRIP}) FROM body WHERE doc_id NOT IN (SELECT doc_id FROM full_))"""
 
 
@@ -97,7 +97,7 @@ _POSITIONAL_SQL = rf"""WITH pairs AS ({_PAIRS_SQL}),
     rows_ AS (SELECT section_id, version, i, 0 AS j, 'same' AS kind, x AS line FROM compared WHERE x = y
         UNION ALL SELECT section_id, version, i, 1, 'removed', x FROM compared WHERE x IS NOT NULL AND x IS DISTINCT FROM y
         UNION ALL SELECT section_id, version, i, 2, 'added', y FROM compared WHERE y IS NOT NULL AND x IS DISTINCT FROM y)
-    SELECT section_id, version, row_number() OVER (PARTITION BY section_id, version ORDER BY i, j) - 1 AS ord, kind, line FROM rows_"""
+    SELECT section_id, version, (row_number() OVER (PARTITION BY section_id, version ORDER BY i, j) - 1)::INTEGER AS ord, kind, line FROM rows_"""
 
 
 def _conversation_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +113,7 @@ def history_with_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.history(old, sections, people).select("section_id", "version", "subtitle", "content", "edited_by", "is_current")
 
 
-_HISTORY_SQL = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations)
+_HISTORY_SQL = """WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS version, turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations)
     SELECT conv_id AS section_id, version, role AS subtitle, text AS content, CASE WHEN is_current THEN 'Current' WHEN role = 'user' THEN 'editor' ELSE 'N/A' END AS edited_by, is_current FROM t"""
 
 
@@ -145,7 +145,7 @@ def manual_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.bump_manuals(manuals, sections, events)
 
 
-_STATES = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+_STATES = """WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS version, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
     s AS (SELECT conv_id, version, turn, turn = first AS start,
         last_value(CASE WHEN turn = first OR turn > 2 THEN role END IGNORE NULLS) OVER w AS subtitle,
         last_value(CASE WHEN turn = first OR turn % 2 = 0 THEN text END IGNORE NULLS) OVER w AS content,
@@ -154,7 +154,7 @@ _STATES = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER
         FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
 _FOLD_SQL = f"{_STATES} SELECT conv_id AS id, subtitle, content, page_number, version FROM s WHERE edited_by_id IS NULL"
 _EDIT_HISTORY_SQL = f"{_STATES} SELECT conv_id AS section_id, version, subtitle, content, edited_by_id FROM s WHERE edited_by_id IS NOT NULL"
-_MANUAL_VERSIONS_SQL = f"{_STATES}, n AS (SELECT conv_id % 10 AS m, count(*) FILTER (WHERE NOT start) AS n FROM s GROUP BY 1) SELECT id, 1 + coalesce(n, 0) AS version FROM range(12) r(id) LEFT JOIN n ON n.m = r.id"
+_MANUAL_VERSIONS_SQL = f"{_STATES}, n AS (SELECT conv_id % 10 AS m, count(*) FILTER (WHERE NOT start) AS n FROM s GROUP BY 1) SELECT id, (1 + coalesce(n, 0))::INTEGER AS version FROM range(12) r(id) LEFT JOIN n ON n.m = r.id"
 
 # ---- listings --------------------------------------------------------------------------
 
