@@ -71,13 +71,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> str:
+    """Have the driver delete ``path`` when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with a single run of the plan (``checkpoint()`` runs it
-    twice), and the files outlive any executor.
+    twice), and the files outlive any executor. They go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
