@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.llm.common import map_texts, table
-from quire.llm.fast_bpe import ODD_SPACE, UNIT, encoder
+from quire.llm.fast_bpe import ODD_SPACE, UNIT, byte_letters, encoder
 
 WINDOW = 16
 MASK = 0xFF  # a cut at about every 256th byte
@@ -128,8 +128,7 @@ class ChunkEncoder:
     def pieces(self) -> list[bytes]:
         """The bytes of each id."""
         if self._pieces is None:
-            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+            byte_of = {letter: b for b, letter in byte_letters().items()}
             vocab = self.base.tokenizer.get_vocab(with_added_tokens=True)
             self._pieces = [b""] * (max(vocab.values(), default=-1) + 1)
             for token, i in vocab.items():
