@@ -6,22 +6,23 @@ Parquet files, so a lost executor never sends the run back over a stage.
 1. language ID: documents without a letter, or whose language the kernel classifier
    can't tell (score below LEAST_LANGUAGE_SCORE), go.
 2. quality classifier: documents scored below the rule ensemble's threshold go.
-3. SimHash near-dedup: of each class of near copies the smallest doc_id stays; of
-   rows that share it, one.
+3. SimHash near-dedup: of each class of near copies one row stays, that of the
+   smallest doc_id; of rows that share it in the class, one. What other classes
+   hold doesn't matter, so rows of unlike text stay even if they share an id.
 4. mixing: rows are put into the order of a Pfair schedule with equal weights for
    all sources; the files' order is the mixture's. No document goes.
 5. BPE encoding: doc_id, source, the number of tokens, the digests of ids and of the
    decoded text.
 
-Rows with a null doc_id can't be named as a class's representative; they stay in
-stage 3 only if no row of their class has an id.
+Rows with a null doc_id come after all others of their class in stage 3: one stays
+if no row of the class has an id.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe_reuse, language_id, mixing, rule_ensemble, simhash
@@ -43,18 +44,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    fps = materialize(simhash.fingerprints(docs, keep=["doc_id"], prefix=_P).select("doc_id", F.col(_P + "fp").alias("fp")), "simhash")
-    named = simhash.classes(fps, "doc_id")
-    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    twice = materialize(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "twice")
+    # A row is known by its whole content; a class's survivor is its least row: by id, null last, then by content.
+    key = F.md5(F.to_json(F.struct(*docs.columns)))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+    fps = simhash.fingerprints(docs.select(row.alias("row"), "text"), keep=["row"], prefix=_P)
+    fps = materialize(fps.select("row", F.col(_P + "fp").alias("fp")), "simhash")
+    kept = simhash.classes(fps, "row").select(F.col("component_id.key").alias("__key")).distinct()
+    found = docs.withColumn("__row", key).join(kept, F.col("__row") == F.col("__key"), "left_semi")
+    twice = materialize(fps.groupBy(F.col("row.key").alias("__key")).count().filter("count > 1").select("__key"), "twice")
     if twice.isEmpty():
-        return found
-    # Rows that share an id: one stays, the least by the whole row's hash.
-    again = F.col("doc_id").eqNullSafe(F.col("__id"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
-    one = found.join(twice, again, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
-    return found.join(twice, again, "left_anti").unionByName(one)
+        return found.select(*docs.columns)
+    # Rows of the same content: one stays.
+    again = F.col("__row") == F.col("__key")
+    one = found.join(twice, again, "left_semi").groupBy("__row").agg(F.first(F.struct(*docs.columns)).alias("__one")).select("__one.*")
+    return found.join(twice, again, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,3 +148,14 @@ def test_pipeline(spark, rows, labels, tmp_path):
             assert out.count() == corpus_pipeline.run(spark, str(tmp_path)).count()
         if k < 4:
             docs, kept = out, list(got.elements())
+
+
+def test_dedup_keeps_one_row_of_every_class(spark):
+    text = {k: " ".join(f"{k}{i * i}" for i in range(60)) for k in "abcdefg"}
+    rows = [(None, text["a"], "x"), (None, text["b"], "x"), (None, text["b"], "y"), (None, text["c"], "x"), (None, text["c"], "x"), (1, text["c"], "x")]  # c has an id
+    rows += [(2, text["d"], "x"), (2, text["e"], "x"), (2, text["e"], "x"), (3, text["f"], "x"), (3, text["f"], "y"), (4, text["f"], "x"), (None, text["g"], None), (None, text["g"], None)]
+    out = corpus_pipeline.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "")
+    assert out.columns == ["doc_id", "text", "source"]
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(r[:2] for r in got) == Counter([(None, text["a"]), (None, text["b"]), (1, text["c"]), (2, text["d"]), (2, text["e"]), (3, text["f"]), (None, text["g"])])
+    assert set(got) <= set(rows)
