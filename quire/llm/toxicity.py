@@ -4,7 +4,9 @@ Channel: a writer hides a word by look-alike characters (1 for i or l, @ for a),
 by separators between its letters (single spaces, dots, dashes), or by repeating
 letters. A disguised token gives a lattice in which each character stands for some
 letters, or for none. Viterbi search finds the most likely letters under a character
-trigram model and the channel's costs. The restored words join the text's own, and
+trigram model and the channel's costs. A run of single characters may hide several
+words: each space is dropped or ends a word, and the words of every division whose
+cost comes near the cheapest one's are restored. The restored words join the text's own, and
 logistic regression over a lexicon learned from labels scores them; a word that
 almost only labelled documents have decides by itself.
 
@@ -55,6 +57,10 @@ SEPARATORS = set(" .-_*'/\\|~^,:;")
 SWAP, DROP_SEPARATOR, DROP_SYMBOL = 0.7, 0.3, 4.0
 #: (keep, drop) of a letter that repeats the one before: the second of two, the second of more, later ones.
 REPEATS = ((0.0, 1.2), (0.7, 0.3), (3.0, 0.1))
+#: In runs of single characters: a space that ends a word, a lone symbol that is only punctuation.
+END_WORD, DROP_LONE = 1.35, 2.0
+#: Divisions of a run count if they cost so much more than the cheapest at most; words in longer runs have LONGEST letters at most, or are the whole run.
+NEAR, LONGEST = 12.0, 32
 
 _WORD_MAP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Punctuation around a word; a single $ or @ at an end may be a letter, a run of symbols after the word is not.
@@ -123,7 +129,7 @@ class Decoder:
     def __init__(self, model: Model, most: int = 200_000) -> None:
         self.cost, self.most = model.cost.tolist(), most
         self.code = {ch: k + 2 for k, ch in enumerate(LETTERS)}
-        self.known: dict[str, str | None] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def options(self, token: str, i: int) -> list[tuple[str, float]]:
         ch = token[i]
@@ -140,47 +146,82 @@ class Decoder:
             out.append(("", DROP_SEPARATOR if ch in SEPARATORS else DROP_SYMBOL))
         return out
 
-    def viterbi(self, token: str) -> str:
-        """The cheapest letters of the token's lattice."""
+    def viterbi(self, token: str, left: int = 0, right: int = 0) -> str:
+        """The cheapest letters of the token's lattice, in which the first ``left`` and last ``right`` characters stand for letters."""
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for i in range(len(token)):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
-                for letter, paid in self.options(token, i):
-                    if letter:
-                        c = self.code.get(letter, 1)
-                        state, total, longer = (b, c), cost + paid + self.cost[a][b][c], text + letter
-                    else:
-                        state, total, longer = (a, b), cost + paid, text
-                    if state not in new or (total, longer) < new[state]:
-                        new[state] = (total, longer)
-            best = new
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in best.items())[1]
-
-    def token(self, token: str) -> str | None:
-        """The restored word of a lower-case token, or None if it isn't disguised."""
+            options = self.options(token, i)
+            if i < left or i >= len(token) - right:
+                options = [o for o in options if o[0]]
+            best = self.step(best, options)
+        return self.ended(best)[1]
+
+    def step(self, best: dict[tuple[int, int], tuple[float, str]], options: list[tuple[str, float]]) -> dict[tuple[int, int], tuple[float, str]]:
+        new: dict[tuple[int, int], tuple[float, str]] = {}
+        for (a, b), (cost, text) in best.items():
+            for letter, paid in options:
+                if letter:
+                    c = self.code.get(letter, 1)
+                    state, total, longer = (b, c), cost + paid + self.cost[a][b][c], text + letter
+                else:
+                    state, total, longer = (a, b), cost + paid, text
+                if state not in new or (total, longer) < new[state]:
+                    new[state] = (total, longer)
+        return new
+
+    def ended(self, best: dict[tuple[int, int], tuple[float, str]]) -> tuple[float, str]:
+        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in best.items())
+
+    def divided(self, run: list[str]) -> set[str]:
+        """The words of all near-cheapest divisions of single characters, and the whole run as one word.
+
+        A word's cost doesn't depend on the word before, so costs up to and from each
+        place tell the cheapest division that any word is part of.
+        """
+        n, spaced = len(run), " ".join(run)
+        options = [self.options(spaced, 2 * k) + [("", DROP_LONE)] * (run[k] in _AROUND and run[k] in LOOKALIKES) for k in range(n)]
+        words = []
+        upto = [0.0] + [math.inf] * n
+        for i in range(n):
+            best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+            for j in range(i, min(n, i + LONGEST)):
+                best = self.step(best, options[j] if j == i else [(x, paid + DROP_SEPARATOR) for x, paid in options[j]])
+                cost, text = self.ended(best)
+                cost += END_WORD if i else 0.0
+                words.append((i, j + 1, cost, text))
+                upto[j + 1] = min(upto[j + 1], upto[i] + cost)
+        after = [math.inf] * n + [0.0]
+        for i, j, cost, _ in reversed(words):
+            after[i] = min(after[i], cost + after[j])
+        found = {text for i, j, cost, text in words if upto[i] + cost + after[j] <= upto[n] + NEAR}
+        found.add(self.viterbi(spaced))
+        return found - {""}
+
+    def token(self, token: str) -> tuple[str, ...]:
+        """The restored word of a lower-case token; none if it isn't disguised."""
         if token in self.known:
             return self.known[token]
         if len(self.known) >= self.most:
             self.known.clear()
-        out = None
+        out: tuple[str, ...] = ()
         core = _TAIL.sub("", token).strip(_AROUND)
         if not (_PLAIN.match(core) and not _TRIPLE.search(core)) and len(_MIXED.findall(core)) >= 2:
-            out = self.viterbi(core) or None
+            out = tuple(filter(None, [self.viterbi(core)]))
         self.known[token] = out
         return out
 
     def restored(self, words: list[str]) -> list[str]:
         """Words that stand behind disguised tokens and behind runs of single characters."""
-        found = [w for w in map(self.token, set(words)) if w]
-        singles = bytes(map((1).__eq__, map(len, words)))
+        found = [w for ws in map(self.token, set(words)) for w in ws]
+        cores = [w.strip(_AROUND) or w for w in words]
+        singles = bytes(map((1).__eq__, map(len, cores)))
         at = singles.find(b"\1\1\1")
         while at >= 0:
             end = singles.find(b"\0", at)
             end = len(words) if end < 0 else end
-            run = words[at:end]
+            run = cores[at:end]
             if len(set(run)) > 1:
-                found.append(self.viterbi(" ".join(run)))
+                found += self.divided(run)
             at = singles.find(b"\1\1\1", end)
         return found
 

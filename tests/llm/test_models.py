@@ -79,6 +79,17 @@ def test_toxicity(spark, docs, labels, rows, empty):
     assert none.score(set()) == pytest.approx(0.5)
 
 
+SPACED = {"you are a i d i o t": "idiot", "s c u m i d i o t": "idiot scum", "i d i o t!": "idiot", "i d i o t, and": "idiot", "( s c u m )": "scum", "s c u m !": "scum", "an i d ! o t": "idiot"}
+
+
+def test_spaced_words_are_found_beside_others(docs, labels):
+    model, _ = toxicity.train(docs, labels)
+    decoder = toxicity.Decoder(model)
+    for text, words in SPACED.items():
+        assert set(words.split()) <= toxicity.words_of(f"the {text} and", decoder), text
+    assert "scum" not in toxicity.words_of("a b c d e f g", decoder)
+
+
 def test_trigram_counts_cover_all_texts(docs, rows):
     counts = {r["gram"]: r["n"] for r in toxicity.trigrams(docs).collect()}
     total, codes = np.zeros(toxicity.SIZE**3, np.int64), toxicity.letter_codes()
