@@ -17,7 +17,8 @@ training fold, read through the same decoding; MOST_WORDS bounds the lexicon.
 
 Cases: null texts are empty and score as a text without any lexicon word. Without
 labels of both kinds every score is the share of label 1 (0.5 without labels).
-Repeated rows give repeated results; very long texts and tokens are whole.
+Repeated rows give repeated results; very long texts and tokens are whole. A number
+in its usual form is a number: '455' is never read as letters, '4$5' is.
 """
 
 from __future__ import annotations
@@ -63,12 +64,17 @@ END_WORD, DROP_LONE = 1.35, 2.0
 NEAR, LONGEST = 12.0, 32
 
 _WORD_MAP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-#: Punctuation around a word; a single $ or @ at an end may be a letter, a run of symbols after the word is not.
+#: Punctuation around a word; one or two symbols at an end may be letters, a longer run of a symbol is not.
 _AROUND = ".,;:!?\"'()[]{}<>|*&%#=-_/\\"
 _TAIL = re.compile(r"([^\w\s])\1+\Z")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_MIXED = re.compile(r"[^\W\d_]")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[a-zß-ɏ]")
+_NUMBER = re.compile(r"[+\-(#]?[$€£]?\d[\d.,:;/'\-+]*[%€$£]?\)?\Z")
+#: Letters of other scripts that look like one of ours.
+_OTHER = {ord(ch): x for ch, x in LOOKALIKES.items() if ch.isalpha()}
+_OTHERS = re.compile("[" + "".join(map(chr, _OTHER)) + "]")
 
 
 def letter_codes() -> np.ndarray:
@@ -197,17 +203,40 @@ class Decoder:
         found.add(self.viterbi(spaced))
         return found - {""}
 
+    def cores(self, token: str) -> list[tuple[str, int, int]]:
+        """The token without what stands around it, and with up to two symbols at each end that may be letters, and how many."""
+        core = _TAIL.sub("", token).strip(_AROUND)
+        if not core or _NUMBER.match(core) or core == token:
+            return [(core, 0, 0)]
+        start = len(token) - len(token.lstrip(_AROUND))
+        end = start + len(core)
+        left, right = [start], [end]
+        for k in (start - 1, start - 2):
+            if k < 0 or token[k] not in LOOKALIKES or token[max(0, k - 2) : k + 1] == token[k] * 3:
+                break
+            left.append(k)
+        for k in (end, end + 1):
+            if k >= len(token) or token[k] not in LOOKALIKES or token[k : k + 3] == token[k] * 3:
+                break
+            right.append(k + 1)
+        return [(token[i:j], start - i, j - end) for i in left for j in right]
+
     def token(self, token: str) -> tuple[str, ...]:
-        """The restored word of a lower-case token; none if it isn't disguised."""
+        """The words that a lower-case token may hide; none if it is an ordinary word or number."""
         if token in self.known:
             return self.known[token]
         if len(self.known) >= self.most:
             self.known.clear()
-        out: tuple[str, ...] = ()
-        core = _TAIL.sub("", token).strip(_AROUND)
-        if not (_PLAIN.match(core) and not _TRIPLE.search(core)) and len(_MIXED.findall(core)) >= 2:
-            out = tuple(filter(None, [self.viterbi(core)]))
-        self.known[token] = out
+        found = []
+        for core, left, right in self.cores(token):
+            plain = core
+            if _OTHERS.search(core) and (_LATIN.search(core) or all(ord(ch) in _OTHER for ch in _LETTER.findall(core))):
+                plain = core.translate(_OTHER)
+            if _PLAIN.match(plain) and not _DOUBLE.search(plain):
+                found += [plain] * (plain != core)
+            elif not _NUMBER.match(plain) and (_LETTER.search(plain) or len(set(plain)) > 1 and all(ch in LOOKALIKES for ch in plain)):
+                found.append(self.viterbi(plain, left, right))
+        out = self.known[token] = tuple(w for w in found if w)
         return out
 
     def restored(self, words: list[str]) -> list[str]:

@@ -90,6 +90,17 @@ def test_spaced_words_are_found_beside_others(docs, labels):
     assert "scum" not in toxicity.words_of("a b c d e f g", decoder)
 
 
+GATED = {"iiddiioott": "idiot", "idiiot": "idiot", "idіоt": "idiot", "!diot": "idiot", "|diot": "idiot", '"!diot"': "idiot", "1d107": "idiot", "5cum": "scum", "$(um": "scum"}
+
+
+def test_disguises_of_the_lattice_are_decoded(docs, labels):
+    model, _ = toxicity.train(docs, labels)
+    decoder = toxicity.Decoder(model)
+    missed = [token for token, word in GATED.items() if word not in toxicity.words_of(f"the {token} and", decoder)]
+    assert missed == []
+    assert all(decoder.token(t) == () for t in ("455", "12:30", "the", "3.5%", "сказал"))
+
+
 def test_trigram_counts_cover_all_texts(docs, rows):
     counts = {r["gram"]: r["n"] for r in toxicity.trigrams(docs).collect()}
     total, codes = np.zeros(toxicity.SIZE**3, np.int64), toxicity.letter_codes()
