@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -119,3 +120,27 @@ def test_schedules_keep_every_lag_below_one():
             seen[s] += 1
             assert all(abs(seen[k] * total - t * a) < total for k, a in enumerate(parts))
         assert all(seen[k] == a for k, a in enumerate(parts))
+
+
+def test_mixing_keeps_to_the_asked_weights_over_many_slots(spark):
+    cases = [([Fraction(1)] * 21, [3000] * 21), ([Fraction(1)] * 3, [20_000] * 3), ([Fraction(1, 5000), Fraction("0.3"), Fraction("0.123456789012345")], [9, 30_000, 20_000]), ([Fraction(1, 7), Fraction(2, 3)], [4, 50])]
+    for weights, blocks in cases:
+        slots, windows = {}, []
+        for i, f, last, start, a, p, c, places, releases, deadlines in mixing.schedule(blocks, mixing.exact(weights)):
+            for j in range(f, last + 1):
+                at = (j - f) % a - c
+                if 0 <= at < len(places):
+                    base = start + p * ((j - f) // a)
+                    slots[base + places[at]] = i
+                    windows.append(base + releases[at] <= base + places[at] < base + deadlines[at])
+        assert sorted(slots) == list(range(sum(blocks))) and all(windows)
+        assert Counter(slots.values()) == dict(enumerate(blocks))
+        share, seen = [w / sum(weights) for w in weights], Counter()
+        for t in range(len(slots)):
+            seen[slots[t]] += 1
+            assert all(abs(seen[i] * x.denominator - (t + 1) * x.numerator) < x.denominator for i, x in enumerate(share))
+            if any(seen[i] == n for i, n in enumerate(blocks)):
+                break
+    df = spark.range(3000).selectExpr("id doc_id", "case when id % 10 = 0 then 'a' when id % 3 = 0 then 'b' else 'c' end source")
+    got = mixing.mix(df, block=1, weights={"a": 0.10007, "b": 0.30011}).orderBy("position").collect()
+    assert [r["slot"] for r in got] == list(range(3000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
