@@ -4,7 +4,9 @@ Method: zstandard's ratio (bytes to compressed bytes) of the whole document and
 each fixed chunk of CHUNK bytes. Repetitive text compresses too well, noise too
 little; what is usual grows with length, so each band of lengths has limits of its
 own (BANDS). A document is rejected if its whole ratio leaves its band, or if more
-than CHUNK_SHARE of its full chunks leave the chunk band.
+than CHUNK_SHARE of its bytes stand in chunks that leave theirs. What is left after
+the full chunks (all of a shorter text) is a chunk with the band of its own length:
+the floors lie between the ratios of base64 and of clean prose of that length.
 
 Counted rules: words, code points in words, symbols, repeated lines, and words in
 8-word windows that occur twice or more. Windows are compared exactly: a rolling
@@ -25,12 +27,14 @@ from pyspark.sql import types as T
 from quire.llm.common import map_texts, table
 
 CHUNK = 4096
-CHUNK_SHARE = 0.5
+CHUNK_SHARE = 0.15
 LEVEL = 3
 #: (bytes up to, lowest and highest ratio) for whole documents.
 BANDS = ((100, 0.0, 2.5), (300, 0.6, 3.0), (1000, 0.95, 3.5), (3000, 1.15, 4.0), (10_000, 1.3, 4.5), (None, 1.4, 5.0))
 #: The same for a full chunk.
-CHUNK_BAND = (1.25, 5.0)
+CHUNK_BAND = (1.45, 5.0)
+#: (bytes, lowest ratio) for a last chunk, with straight lines between; shorter ones don't tell. Its highest is that of BANDS.
+FLOORS = ((100, 0.92), (150, 1.03), (200, 1.08), (300, 1.15), (500, 1.25), (1000, 1.35), (2000, 1.4), (4096, 1.45))
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
@@ -88,18 +92,28 @@ class Bands:
         self.bands, self.chunk, self.chunk_band, self.share = bands, chunk, chunk_band, chunk_share
         self.compress = zstandard.ZstdCompressor(level=level).compress
 
+    def chunk_limits(self, n: int) -> tuple[float, float]:
+        """The band of a chunk of n bytes."""
+        if n == self.chunk:
+            return self.chunk_band
+        low = float(np.interp(n, *zip(*FLOORS, strict=True), left=0.0))
+        high = next(b for top, _, b in self.bands if top is None or n < top)
+        return min(low, self.chunk_band[0]), min(high, self.chunk_band[1])
+
     def verdict(self, data: bytes) -> tuple[bool, float, int]:
-        """Within its bands, the whole ratio, full chunks outside theirs."""
+        """Within its bands, the whole ratio, chunks outside theirs."""
         if not data:
             return True, 0.0, 0
         ratio = len(data) / len(self.compress(data))
         low, high = next((a, b) for top, a, b in self.bands if top is None or len(data) < top)
-        full = len(data) // self.chunk
-        bad = 0
-        for i in range(full):
-            r = self.chunk / len(self.compress(data[i * self.chunk : (i + 1) * self.chunk]))
-            bad += not self.chunk_band[0] <= r <= self.chunk_band[1]
-        return low <= ratio <= high and bad <= self.share * full, ratio, bad
+        bad = lost = 0
+        for i in range(0, len(data), self.chunk):
+            part = data[i : i + self.chunk]
+            least, most = self.chunk_limits(len(part))
+            r = len(part) / len(self.compress(part)) if len(part) < len(data) else ratio
+            if not least <= r <= most:
+                bad, lost = bad + 1, lost + len(part)
+        return low <= ratio <= high and lost <= self.share * len(data), ratio, bad
 
 
 def rules(df: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "", bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, chunk_share: float = CHUNK_SHARE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on single texts against plain restatements: 1, 5, 7 and 10."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -121,6 +122,25 @@ def test_compression_bands():
     assert not bands.verdict(clean[:3000] + b"ab " * 9000)[0]
 
 
+def test_incompressible_parts_are_found():
+    import base64
+    import os
+
+    bands = quality_rules.Bands()
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(1500)]
+    clean = " ".join(words[int(1500 * rng.random() ** 3)] for _ in range(25_000)).encode()
+    noise = base64.b64encode(os.urandom(120_000))
+    assert bands.verdict(clean)[0]
+    for share in (0.2, 0.45, 0.85):
+        whole = 120_000
+        mixed = clean[: int(whole * (1 - share))] + noise[: int(whole * share)]
+        assert not bands.verdict(mixed)[0], share
+    for n in (200, 500, 1000, 2000, 4000):
+        assert not bands.verdict(noise[:n])[0] and bands.verdict(clean[:n])[0], n
+    assert bands.verdict(clean[:4096] + noise[:3000])[2] == 1 and not bands.verdict(clean[:4096] + noise[:3000])[0]
+
+
 def test_token_files(spark, docs, rows, empty):
     import public_tokenizers
 
