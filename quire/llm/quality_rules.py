@@ -34,7 +34,7 @@ BANDS = ((100, 0.0, 2.5), (300, 0.6, 3.0), (1000, 0.95, 3.5), (3000, 1.15, 4.0),
 #: The same for a full chunk.
 CHUNK_BAND = (1.45, 5.0)
 #: (bytes, lowest ratio) for a last chunk, with straight lines between; shorter ones don't tell. Its highest is that of BANDS.
-FLOORS = ((100, 0.92), (150, 1.03), (200, 1.08), (300, 1.15), (500, 1.25), (1000, 1.35), (2000, 1.4), (4096, 1.45))
+FLOORS = ((150, 1.03), (200, 1.08), (300, 1.15), (500, 1.25), (1000, 1.35), (2000, 1.4), (4096, 1.45))
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
