@@ -8,17 +8,26 @@ number of collisions a pair must have is the largest that still finds a pair at
 the threshold with probability RECALL (``calibrate``). Pairs that have it are
 verified by their cosine in double precision.
 
-Scale: exact copies of a vector are one entry. A label's entries are cut by their
-first projection into slabs of SLAB at most; only slabs whose ranges come within a
-window (widened so that it costs no more than 1e-6 of recall) meet in a task, so
-a label with a third of all rows is dealt over many tasks, and small labels share
-tasks. A task returns each entry's number of links and its links' spanning forest,
-never pairs. Components come from distributed min-label rounds.
+Scale: exact copies of a vector are one entry. A label with more than CELL entries
+is halved again and again by further projections, as often as its size asks for.
+A cut stands where few entries are, and entries within half a zone of it go to
+both sides, so that a near pair stays together on one side at least; the zone's
+width keeps the recall lost over all cuts below LOSS (``zone``). Work and shuffle
+grow as n to the power of 1.3 to 1.5 of a label's distinct vectors (isotropic
+ones; less where they gather in clusters) instead of its square. A cell that stays
+larger than CELL is dealt by pairs of blocks. A pair that meets in several cells
+counts in the one that takes the lower side of every cut whose zone holds both.
+A task returns each entry's number of links and its links' spanning forest, never
+pairs. Components come from distributed min-label rounds; rows find their entry by
+``join_dealt``, so the copies of a vector stay where they are.
 
 Cases: vectors that are null, zero, of null label or id, or with null or
 non-finite components link with nothing and are their own component. Vectors of
 unlike length don't link. Repeated rows are vectors of their own and link with each
-other. Empty tables give empty results.
+other. Ids must be integers (else TypeError, before any work); rows of one id with
+unlike vectors have their own numbers of links and one component. Only the four
+result columns are returned, so extra columns can't clash. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -27,19 +36,24 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import col, components, materialize, prepare, table
-from quire.llm.simhash import forest
+from quire.llm.common import col, components, integer_ids, join_dealt, materialize, prepare, table
+from quire.llm.simhash import MOST_BROADCAST, forest
 
 COSINE = 0.98
 PROJECTIONS = 16
 RECALL = 0.9999
 WIDTH = 3.0  # half a window, in spreads of a pair at the least cosine
-SLAB = 1024
-BINS = 512  # of the first projection, for cutting slabs
+LOSS = 5e-4  # of recall, by all cuts together
+CELL = 2048
+CUTS = 32  # projections that cells may be cut by
+SHRINK = 0.62  # of a cut: the share of the entries on one side
+BINS, REACH = 512, 4.0  # of the projections' counts; unit vectors' projections spread about 1
+MOST_DIMS = 32  # unlike lengths of vectors for which cuts are made
 
 
 def calibrate(projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> int:
@@ -57,106 +71,245 @@ def lines(dim: int, projections: int = PROJECTIONS, seed: int = 7) -> np.ndarray
     return np.random.default_rng((seed, dim)).standard_normal((dim, projections))
 
 
-def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
-    """For projections a (queries) and b, how often each pair's b stands in the window centred on a."""
-    count = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(a.shape[1]):
-        order = np.argsort(b[:, k], kind="stable")
-        placed = b[order, k]
-        low = np.searchsorted(placed, a[:, k] - half, "left").tolist()
-        high = np.searchsorted(placed, a[:, k] + half, "right").tolist()
-        for q, (i, j) in enumerate(zip(low, high, strict=True)):
-            count[q, order[i:j]] += 1
-    return count
+def zone(spread: float, density: float, loss: float) -> float:
+    """Width around a cut so that a pair ``spread`` apart (normal) stands across it with probability ``loss`` at most.
+
+    Only pairs further apart than the zone is wide can, by the excess over it:
+    the chance is the density at the cut times the mean excess.
+    """
+    if spread <= 0:
+        return 0.0
+    excess = lambda t: 2 * (math.exp(-t * t / 2) / math.sqrt(2 * math.pi) - t * 0.5 * math.erfc(t / math.sqrt(2)))
+    t = 0.0
+    while density * spread * excess(t) > loss and t < 8:
+        t += 0.05
+    return t * spread
+
+
+def splits(n: int, cell: int = CELL) -> int:
+    """Cuts for a label of n entries."""
+    return 0 if n <= cell else min(CUTS, math.ceil(math.log(n / cell) / -math.log(SHRINK)))
+
+
+def choose_cuts(counts: np.ndarray, spread: float, loss: float) -> list[tuple[int, float, float]]:
+    """(projection, place, half a zone), best first, from counts (projections x BINS): few in the zone, sides of like size."""
+    found = []
+    step = 2 * REACH / BINS
+    for k, row in enumerate(counts):
+        total = row.sum()
+        if not total:
+            continue
+        share = np.concatenate([[0.0], np.cumsum(row) / total])
+        best = None
+        for i in np.flatnonzero((share > 0.3) & (share < 0.7)):
+            density = (share[min(BINS, i + 8)] - share[max(0, i - 8)]) / (16 * step)
+            half = max(zone(spread, max(density, 0.25), loss) / 2, 0.0)
+            bins = math.ceil(half / step)
+            inside = share[min(BINS, i + bins)] - share[max(0, i - bins)]
+            worst = max(share[i], 1 - share[i]) + inside / 2
+            if best is None or worst < best[0]:
+                best = (worst, k, -REACH + i * step, half)
+        if best is not None and best[0] < 0.95:
+            found.append(best)
+    return [b[1:] for b in sorted(found)]
+
+
+def flat(column: pa.Array, dim: int) -> np.ndarray:
+    """A list column of vectors of one length as a matrix of doubles."""
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)  # so that squares neither vanish nor overflow
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
 def near(a: np.ndarray, b: np.ndarray, cosine: float, need: int, rays: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of verified pairs of unit vectors a x b."""
-    half = width * math.sqrt(max(0.0, 2 - 2 * cosine))
-    x, y = np.nonzero(collisions(a @ rays, b @ rays, half) >= need)
-    keep = [np.einsum("ij,ij->i", a[x[i : i + 50_000]], b[y[i : i + 50_000]]) >= cosine for i in range(0, len(x), 50_000)]
-    ok = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return x[ok], y[ok]
+    """Places of verified pairs of unit vectors a x b.
+
+    The first projection's windows are stretches of its sorted order; inside them
+    the other windows' collisions are counted, pairs that can't reach ``need`` any
+    more go, and the rest are verified.
+    """
+    half = np.float32(width * math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6)
+    p, q = (a @ rays).astype(np.float32), (b @ rays).astype(np.float32)
+    k = rays.shape[1]
+    dense = (k + 1) // 2
+    rows, order = np.argsort(p[:, 0], kind="stable"), np.argsort(q[:, 0], kind="stable")
+    first = q[order, 0]
+    xs, ys = [], []
+    for s in range(0, len(rows), 256):
+        mine = rows[s : s + 256]
+        low = np.searchsorted(first, p[mine[0], 0] - half, "left")
+        high = np.searchsorted(first, p[mine[-1], 0] + half, "right")
+        for at in range(low, high, 8192):
+            others = order[at : min(high, at + 8192)]
+            count = np.zeros((len(mine), len(others)), np.uint8)
+            for d in range(dense):
+                count += np.abs(p[mine, d][:, None] - q[others, d]) <= half
+            i, j = np.nonzero(count >= need - (k - dense))
+            if len(i):
+                x, y, got = mine[i], others[j], count[i, j]
+                for d in range(dense, k):
+                    got = got + (np.abs(p[x, d] - q[y, d]) <= half)
+                x, y = x[got >= need], y[got >= need]
+                for c in range(0, len(x), 50_000):
+                    ok = np.einsum("ij,ij->i", a[x[c : c + 50_000]], b[y[c : c + 50_000]]) >= cosine
+                    xs.append(x[c : c + 50_000][ok])
+                    ys.append(y[c : c + 50_000][ok])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
+def by_length(batch: pa.RecordBatch, sizes: str = "dim") -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column(sizes).to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch if (dims == dim).all() else batch.filter(pa.array(dims == dim))
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, projections: int = PROJECTIONS, recall: float = RECALL, width: float = WIDTH, slab: int = SLAB) -> DataFrame:
+def cut_counts(entries: DataFrame, cuts: int = CUTS) -> DataFrame:
+    """Rows (dim, k, bin, n): how the entries lie on each of the cutting lines, pre-aggregated in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dim, part in by_length(batch):
+                p = units(flat(part.column("v"), dim)) @ lines(dim, cuts, 8)
+                at = np.clip(((p + REACH) * (BINS / (2 * REACH))).astype(np.int64), 0, BINS - 1) + BINS * np.arange(cuts)
+                held = total.setdefault(dim, np.zeros(cuts * BINS, np.int64))
+                held += np.bincount(at.ravel(), minlength=cuts * BINS)
+        for dim, held in total.items():
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), dim, np.int32)), pa.array(some.astype(np.int32)), pa.array(held[some])], names=["dim", "place", "n"])
+
+    return entries.select("v", "dim").mapInArrow(run, "dim int, place int, n long").groupBy("dim", "place").agg(F.sum("n").alias("n"))
+
+
+def to_cells(entries: DataFrame, cuts: dict[int, list[tuple[int, float, float]]], columns: list[str]) -> DataFrame:
+    """``entries`` (with ``halvings``), each in all its cells: adds cell and both (the cuts whose zones hold it)."""
+    fields = [entries.schema[c] for c in columns]
+    schema = T.StructType([*fields, T.StructField("cell", T.LongType()), T.StructField("both", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in by_length(batch):
+                own = cuts.get(dim, [])
+                n, halvings = part.num_rows, np.minimum(part.column("halvings").to_numpy(), len(own))
+                row, cell, both = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                if len(own) and halvings.max(initial=0) > 0:
+                    p = units(flat(part.column("v"), dim)) @ lines(dim, CUTS, 8)
+                    for i, (k, place, half) in enumerate(own[: int(halvings.max())]):
+                        d, bit = p[:, k] - place, np.int64(1 << i)
+                        cut = halvings > i
+                        twice = cut & (np.abs(d) <= half)
+                        both |= np.where(twice, bit, 0)
+                        cell |= np.where((cut & (d > half))[row], bit, 0)
+                        again = np.flatnonzero(twice[row])
+                        row, cell = np.concatenate([row, row[again]]), np.concatenate([cell, cell[again] | bit])
+                out = part.select(columns)
+                for at in range(0, len(row), 4096):
+                    some = row[at : at + 4096]
+                    made = out.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([*made.columns, pa.array(cell[at : at + 4096]), pa.array(both[some])], names=schema.names)
+
+    return entries.mapInArrow(run, schema)
+
+
+def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, projections: int = PROJECTIONS, recall: float = RECALL, width: float = WIDTH, cell: int = CELL, loss: float = LOSS) -> DataFrame:
     """One row a vector: its id, n_links, component_id and kept."""
     spark = prepare(df.sparkSession)
     need = calibrate(projections, width, recall)
-    slack = 5.0 * math.sqrt(max(0.0, 2 - 2 * cosine))
-    rows = df.select(col(id_col).cast("long").alias("id"), col(label_col).cast("string").alias("label"), col(vector_col).cast("array<double>").alias("v"))
+    kind = df.select(col(vector_col)).schema[0].dataType
+    floats = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = df.select(integer_ids(df, id_col).alias("id"), col(label_col).cast("string").alias("label"), col(vector_col).cast("array<float>" if floats else "array<double>").alias("v"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("good", F.coalesce(good & finite, F.lit(False)))
-    entries = rows.filter("good").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            first = [float(u @ lines(len(u), projections)[:, 0]) for u in map(unit, part["v"])]
-            yield part.assign(dim=part["v"].map(len).astype("int32"), p=first)
-
-    placed = materialize(entries.mapInPandas(place, "label string, v array<double>, rep long, copies long, dim int, p double"), "placed")
-    # Slabs: consecutive bins of the first projection up to `slab` entries; a fuller bin is cut by hash.
-    reach = 6.0  # unit vectors' projections are standard normal; the outermost bins take what lies beyond
-    bins = F.least(F.greatest(F.floor((F.col("p") + reach) * (BINS / (2 * reach))), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    placed = placed.withColumn("bin", bins)
-    sizes = placed.groupBy("label", "dim", "bin").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"))
-    by = Window.partitionBy("label", "dim")
-    upto = F.sum("n").over(by.orderBy("bin"))
-    sizes = sizes.withColumn("slab", F.floor((upto - F.col("n")) / slab)).withColumn("all", F.sum("n").over(by))
-    slabs = sizes.groupBy("label", "dim", "slab", "all").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    slabs = slabs.withColumn("cut", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / (2 * slab)) - 1)))
-    slabs = slabs.select("label", "dim", "all", "low", "high", F.concat_ws(".", "slab", "cut").alias("name"))
-    other = slabs.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("name").alias("name2"))
-    meet = slabs.join(other, (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("name") <= F.col("name2")) & (F.col("low2") - F.col("high") <= slack) & (F.col("low") - F.col("high2") <= slack))
-    # Labels of one slab share tasks of about `slab` entries by their hash.
-    small = slabs.filter(F.col("all") <= slab).agg(F.sum("all").alias("n")).first()["n"] or 0
-    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("label", "dim"), F.lit(max(1, -(-small // slab)))).cast("string"))
-    task = F.when(F.col("all") <= slab, shared).otherwise(F.concat_ws("/", "label", F.col("dim").cast("string"), "name", "name2"))
-    meet = meet.select("label", "dim", "name", "name2", task.alias("task"))
-    sides = meet.select("label", "dim", "task", "name", F.lit(0).alias("side"), (F.col("name") == F.col("name2")).alias("self"))
-    sides = sides.union(meet.filter("name <> name2").select("label", "dim", "task", "name2", F.lit(1), F.lit(False)))
-    cuts = sizes.groupBy("label", "dim", "slab").agg(F.ceil(F.sum("n") / (2 * slab)).alias("cuts"))
-    where = sizes.join(cuts, ["label", "dim", "slab"]).select("label", "dim", "bin", "slab", "cuts")
-    named = placed.join(where, ["label", "dim", "bin"]).withColumn("name", F.concat_ws(".", "slab", F.pmod(F.xxhash64("rep"), F.col("cuts"))))
-    work = named.select("label", "dim", "name", "v", "rep", "copies").join(sides, ["label", "dim", "name"])
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, dim), group in part.groupby(["label", "dim"], sort=False):
-            rays = lines(dim, projections)
-            vectors = np.stack([unit(v) for v in group["v"]])
-            side, self_ = group["side"].to_numpy(), bool(group["self"].iloc[0])
-            rep, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
-            first = np.flatnonzero(side == 0)
-            second = first if self_ else np.flatnonzero(side == 1)
-            x, y = near(vectors[first], vectors[second], cosine, need, rays, width)
-            if self_:
-                x, y = x[x < y], y[x < y]
-            a, b = first[x], second[y]
-            links = np.bincount(a, copies[b], len(group)) + np.bincount(b, copies[a], len(group))
-            order = np.argsort(rep, kind="stable")
-            rank = np.empty(len(rep), np.int64)
-            rank[order] = np.arange(len(rep))
-            root = rep[order][forest(rank[a], rank[b], len(rep))][rank]
-            some = links > 0
-            out.append(pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-
-    found = materialize(work.groupBy("task").applyInPandas(solve, "rep long, links long, root long"), "collisions")
+    good = F.coalesce(good & finite, F.lit(False))
+    entries = rows.filter(good).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    entries = materialize(entries.withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("label", "v")), "entries")
+
+    # Labels that don't fit a cell, and how often to halve them.
+    sizes = entries.groupBy("label", "dim").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+    large = materialize(sizes.filter(F.col("n") > cell), "labels")
+    few = large.count()
+    columns = ["label", "v", "rep", "copies", "dim", "h"]
+    if few:
+        halvings = F.least(F.ceil(F.log(F.col("n") / cell) / -math.log(SHRINK)), F.lit(CUTS)).cast("int")
+        large = large.select("label", "dim", halvings.alias("halvings"))
+        marked = entries.join(F.broadcast(large) if few <= MOST_BROADCAST else large, ["label", "dim"], "left").fillna(0, ["halvings"])
+        dims = [r[0] for r in large.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_DIMS).collect()]
+        most = large.agg(F.max("halvings")).first()[0]
+        held = {d: np.zeros(CUTS * BINS) for d in dims}
+        for r in cut_counts(entries.filter(F.col("dim").isin(dims))).collect():  # CUTS x BINS numbers a length
+            held[r["dim"]][r["place"]] = r["n"]
+        spread = math.sqrt(max(0.0, 2 - 2 * cosine))
+        cuts = {d: choose_cuts(x.reshape(CUTS, BINS), spread, loss / most) for d, x in held.items()}
+        sized = to_cells(marked, cuts, ["label", "dim"]).groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * cell)
+        full = materialize(sized.select("label", "dim", "cell", F.ceil(F.col("n") / (2 * cell)).cast("int").alias("blocks")), "cells")
+        work = to_cells(marked, cuts, columns)
+        many = full.count()
+        if many:
+            work = work.join(F.broadcast(full) if many <= MOST_BROADCAST else full, ["label", "dim", "cell"], "left").fillna(1, ["blocks"])
+            work = work.withColumn("own", F.pmod(F.xxhash64("rep", "h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            work = work.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+        else:
+            work = work.select("*", *[F.lit(0).alias(c) for c in ("own", "x", "y")])
+    else:
+        work = entries.select("*", *[F.lit(0).cast("long").alias(c) for c in ("cell", "both")], *[F.lit(0).alias(c) for c in ("own", "x", "y")])
+    group = ["label", "dim", "cell", "x", "y"]
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work = work.select(*group, "own", "both", "rep", "copies", "h", "v").repartition(n_tasks, *group).sortWithinPartitions(*group)
+
+    def solve(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        dim, x, y, code = (part.column(c)[0].as_py() for c in ("dim", "x", "y", "cell"))
+        own, both, rep, copies, h = (part.column(c).to_numpy() for c in ("own", "both", "rep", "copies", "h"))
+        if len(rep) < 2:
+            return None
+        vectors, rays = units(flat(part.column("v"), dim)), lines(dim, projections)
+        first, second = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        i, j = near(vectors[first], vectors[second], cosine, need, rays, width)
+        a, b = first[i], second[j]
+        once = (both[a] & both[b] & code) == 0  # else the pair counts on the lower side of that cut
+        if x == y:
+            once &= a < b
+        a, b = a[once], b[once]
+        if not len(a):
+            return None
+        links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
+        order = np.argsort(rep, kind="stable")
+        rank = np.empty(len(rep), np.int64)
+        rank[order] = np.arange(len(rep))
+        root = rep[order][forest(rank[a], rank[b], len(rep))][rank]
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(h[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["rep", "h", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in group], strict=True))
+            marks = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for s, e in zip(marks, marks[1:], strict=False):
+                if s == e:
+                    continue
+                if keys[s] != last:
+                    if held and (out := solve(pa.concat_batches(held))) is not None:
+                        yield out
+                    held, last = [], keys[s]
+                held.append(batch.slice(s, e - s))
+        if held and (out := solve(pa.concat_batches(held))) is not None:
+            yield out
+
+    found = materialize(work.mapInArrow(run, "rep long, h long, links long, root long"), "collisions")
     tree = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    result = placed.select("rep", "label", "v", "copies").join(totals, "rep", "left").join(tree, F.col("rep") == F.col("node"), "left")
-    result = result.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.join(result, F.col("good") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
-    component = F.coalesce("component_id", "id")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def unit(v) -> np.ndarray:
-    v = np.asarray(v, np.float64)
-    v = v / np.abs(v).max()  # so that squares neither vanish nor overflow
-    return v / math.sqrt(float(v @ v))
+    totals = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
+    result = entries.select("rep", "h", "label", "v", "copies").join(totals, ["rep", "h"], "left").join(tree, F.col("rep") == F.col("node"), "left")
+    result = result.select("label", "v", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    result = materialize(result, "linked")
+    total = result.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    joined = join_dealt(rows.filter(good), result, ["label", "v"], "copies", total).select("id", "n_links", "component_id")
+    joined = joined.unionByName(rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return joined.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op3_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

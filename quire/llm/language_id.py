@@ -8,13 +8,18 @@ is solved. Scoring is two matrix products a batch: presence by landmarks, then k
 rows by coefficients. ``score`` is the softmax over the classes' outputs.
 
 Training uses whole texts of a bounded sample: about PER_LANGUAGE labelled rows of
-each language, chosen by a hash of their ids (landmarks: LANDMARKS of those). Features
-are made on the executors; the driver gets bit vectors, FEATURES / 8 bytes a row.
+each of the MOST_LANGUAGES most frequent languages, fewer if TRAIN_ROWS don't do,
+chosen by a hash of their ids and texts; landmarks are the first of those, LANDMARKS
+of a language and MOST_LANDMARKS in all. Features are made on the executors; the
+driver gets bit vectors, FEATURES / 8 bytes a row.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is every
-text if nothing could be learned. Rows with null lang, null text or without a letter
-don't train. Very long texts are processed in whole. Repeated rows train as often as
-they stand.
+text if nothing could be learned (empty tables). Numerals and fractions aren't
+letters. Rows with null lang, null text or without a letter don't train; a null id
+does. Very long texts are processed in whole. Repeated rows give repeated results and
+train as often as they stand; if more of them are chosen than 2 * TRAIN_ROWS, the
+first by hash count. Extra columns are kept whatever their names; those named as a
+result, in any case, are replaced by it.
 """
 
 from __future__ import annotations
@@ -34,13 +39,20 @@ ORDERS = 3
 FEATURES = 1 << 13
 PER_LANGUAGE = 400
 LANDMARKS = 48  # of each language
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 200
+TRAIN_ROWS = 8000
+MOST_LANDMARKS = 2000
 RIDGE = 1e-3
 SHARPNESS = 8.0
-LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")
 _PRIME = (2654435761, 2246822519, 3266489917, 668265263)
 
 
+def has_letter(text: str | None) -> bool:
+    """A letter, not only a numeral such as a fraction or a superscript."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def presence(texts: Sequence[str], orders: int = ORDERS, features: int = FEATURES) -> np.ndarray:
     """For each text, which hashed n-grams are present (uint8, texts x features)."""
     out = np.zeros((len(texts), features), np.uint8)
@@ -101,45 +113,50 @@ def fit_kernel(bits: np.ndarray, langs: list[str], orders: int = ORDERS, feature
     return made
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, orders: int = ORDERS, features: int = FEATURES) -> Kernel | None:
-    """Fit on about ``per_language`` rows of each language, by a hash of their ids."""
-    labelled = df.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    sample = share_of_rows(labelled, "id", ["lang"], per_language)
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, orders: int = ORDERS, features: int = FEATURES, rows: int = TRAIN_ROWS) -> Kernel | None:
+    """Fit on about ``per_language`` rows of each language, ``rows`` in all, by a hash of their ids and texts."""
+    labelled = df.select(col(id_col).cast("string").alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
+    groups = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not groups:
+        return None
+    per_language = max(1, min(per_language, rows // len(groups)))
+    known = df.sparkSession.createDataFrame(groups, "lang string, n long")
+    sample = share_of_rows(labelled, ["id", "text"], ["lang"], per_language, known)
+    sample = sample.withColumn("place", F.xxhash64("id", "text"))
 
     def factory():
         def work(texts):
             bits = np.packbits(presence(texts, orders, features), axis=1)
-            return [pa.array([b.tobytes() for b in bits]), [bool(LETTER.search(t)) for t in texts]]
+            return [pa.array([b.tobytes() for b in bits]), [has_letter(t) for t in texts]]
 
         return work
 
     fields = T.StructType([T.StructField("bits", T.BinaryType()), T.StructField("letter", T.BooleanType())])
-    rows = map_texts(sample, "text", fields, factory, keep=["id", "lang"]).filter("letter").select("id", "lang", "bits").limit(MOST_LANGUAGES * per_language).collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["lang"], bytes(r["bits"])))
-    if not rows:
+    got = map_texts(sample, "text", fields, factory, keep=["place", "lang"]).filter("letter").orderBy("place", "lang").select("lang", "bits").limit(2 * rows).collect()
+    if not got:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    return fit_kernel(bits, [r["lang"] for r in rows], orders, features)
+    bits = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1)
+    return fit_kernel(bits, [r["lang"] for r in got], orders, features, max(1, min(LANDMARKS, MOST_LANDMARKS // len(groups))))
 
 
 def classify(df: DataFrame, kernel: Kernel | None, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
-    """Adds lang_pred and score (0 to 1)."""
-    fields = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """Adds lang_pred, score (0 to 1) and output, the best class's raw output (about 1: like its texts, -1: like none; null for und)."""
+    fields = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("output", T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(kernel)
 
     def factory():
         model = sent.value
 
         def work(texts):
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if t and model is not None and LETTER.search(t)]
+            lang, score, raw = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             if known:
-                f = SHARPNESS * model.outputs([texts[i] for i in known]).astype(np.float64)
-                p = np.exp(f - f.max(1, keepdims=True))
+                out = model.outputs([texts[i] for i in known]).astype(np.float64)
+                p = np.exp(SHARPNESS * (out - out.max(1, keepdims=True)))
                 p /= p.sum(1, keepdims=True)
-                for i, best, s in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                    lang[i], score[i] = model.languages[best], min(1.0, s)
-            return lang, score
+                for i, best, s, f in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), out.max(1).tolist(), strict=True):
+                    lang[i], score[i], raw[i] = model.languages[best], min(1.0, s), f
+            return lang, score, raw
 
         return work
 

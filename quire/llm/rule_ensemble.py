@@ -6,14 +6,17 @@ with a lasso penalty (proximal gradient) keeps few of the rules, and those are
 compiled into one Spark column expression over the statistics' columns, which
 scores all rows within code generation.
 
-Training uses a bounded sample: about TRAIN_ROWS labelled rows, by a hash of their
-ids. Statistics come from the executors; the driver gets one row of numbers a
-document. Labelled ids are broadcast (TRAIN_ROWS rows), so no text is shuffled.
+Training uses a bounded sample: about TRAIN_ROWS labelled ids, by a hash of them. Of
+several documents of one id one trains, by a hash of its text. Statistics come from
+the executors; the driver gets one row of numbers a document. Labelled ids are
+broadcast (2 * TRAIN_ROWS at most), so no text is shuffled unless ids repeat.
 
 Cases: null texts are empty; the empty text is scored by its statistics like any
-other. Labels other than 0 and 1 or with null ids don't train; of several labels of
-one id the smallest counts. Without labels of both kinds every score is the share of
-label 1 (0.5 without labels). Repeated rows give repeated results.
+other, and very long texts in whole. Labels other than 0 and 1 or with null ids don't
+train; of several labels of one id the smallest counts. Without labels of both kinds
+(empty tables) every score is the share of label 1 (0.5 without labels). Repeated rows
+give repeated results. Extra columns are kept whatever their names; those named as a
+result, in any case, are replaced by it.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import col, crc_mod, map_texts, share_of_rows, table
+from quire.llm.common import col, crc_mod, map_texts, materialize, share_of_rows, table
 
 TRAIN_ROWS = 8000
 TREES = 40
@@ -176,25 +179,34 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, sh
     return Ensemble(intercept, [(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-9])
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
-    """``documents`` of a bounded sample of the labels, with ``__y``; the labels' ids are few and broadcast."""
-    known = labels.filter(col(label).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("__id")).agg(F.min(col(label)).cast("int").alias("__y"))
-    some = share_of_rows(known.withColumn("__all", F.lit(1)), "__id", ["__all"], rows).drop("__all").limit(2 * rows)
-    return documents.join(F.broadcast(some), col(id_col) == F.col("__id")).drop("__id")
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """Rows (id, text, y), one an id, of a bounded sample of the labels, whose ids are few and broadcast."""
+    known = labels.filter(col(label).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.min(col(label)).cast("int").alias("y"))
+    known = known.withColumn("all", F.lit(1))
+    some = materialize(share_of_rows(known, ["id"], ["all"], rows).drop("all").orderBy(F.xxhash64("id"), "id").limit(2 * rows), "labelled")
+    texts = documents.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    sample = texts.join(F.broadcast(some), "id")
+    if sample.select("id").count() <= some.count():
+        return sample
+    return sample.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Ensemble:
-    sample = labelled_sample(documents.select(col(id_col), col(text_col)), labels, label, id_col, rows)
-    got = with_statistics(sample, text_col, keep=[id_col, "__y"], prefix="stat_").collect()  # numbers of `rows` documents
-    got.sort(key=lambda r: (r[id_col], r["__y"], *r[2:]))
+    sample = labelled_sample(documents, labels, label, id_col, text_col, rows)
+    got = with_statistics(sample, "text", keep=["id", "y"], prefix="stat_").collect()  # numbers of 2 * `rows` documents at most
+    got.sort(key=lambda r: (r["id"], r["y"], *r[2:]))
     x = np.array([r[2:] for r in got], np.float64).reshape(len(got), len(STATS))
-    return fit(x, np.array([r["__y"] for r in got], np.float64))
+    return fit(x, np.array([r["y"] for r in got], np.float64))
 
 
 def score(df: DataFrame, model: Ensemble, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score (0 to 1) and predicted (score >= threshold)."""
-    inner = "__stat_"
-    out = with_statistics(df, text_col, keep, inner).withColumn(prefix + "score", model.column(inner)).drop(*[inner + s for s in STATS])
+    made = {(prefix + c).lower() for c in ("score", "predicted")}
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
+    inner = "stat_"
+    while any(c.lower().startswith(inner) for c in df.columns):
+        inner += "_"
+    out = with_statistics(df, text_col, names, inner).select(*[col(c) for c in names], model.column(inner).alias(prefix + "score"))
     return out.withColumn(prefix + "predicted", (col(prefix + "score") >= threshold).cast("int"))
 
 

@@ -9,15 +9,20 @@ segments meet under the plain key, segments that differ in bit i under variant i
 where only fingerprints of unlike bit i need comparing. Pairs are verified by the
 number of differing bits of the whole fingerprint.
 
-Scale: documents of one fingerprint are one entry, so copies don't multiply. A
-key's entries are compared in blocks of BLOCK; a large key is dealt out over tasks
-by pairs of blocks, and a task returns the links' spanning forest, never all
-pairs. Components come from distributed min-label rounds. Texts aren't shuffled.
+Scale: documents of one fingerprint are one entry, so copies don't multiply. Keys
+that may be large are told by counts of plain segments, before the variants are
+made, and are dealt over tasks by pairs of blocks of BLOCK; no task or window holds
+more than two blocks of a key. A task returns the links' spanning forest, never
+all pairs. Components come from distributed min-label rounds, and what belongs to a
+fingerprint or component of very many rows is joined without moving these rows
+(``join_dealt``). Texts aren't shuffled.
 
 Cases: a null text is empty; a text without words has fingerprint zero, linked
 like any other. A text of fewer words than a shingle is one shingle. A null id
 keeps its row; it can't be a component's name unless all ids there are null.
-Repeated rows keep their number. An empty table gives an empty result.
+Repeated rows keep their number, and of equal ids each row has its own class. Very
+long texts are hashed in whole. An empty table gives an empty result. Extra columns
+are kept, whatever their names; only one named as the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,15 +31,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import col, components, map_texts, materialize, prepare, table
+from quire.llm.common import col, components, free, join_dealt, map_texts, materialize, prepare, table
 
 SHINGLE = 3
 MOST_BITS = 3
-BLOCK = 2048
+BLOCK = 8192
+MOST_BROADCAST = 200_000  # rows of keys and block numbers
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -108,32 +114,55 @@ def _links(fps: np.ndarray, first: np.ndarray, second: np.ndarray, most: int) ->
     return np.concatenate(a), np.concatenate(b)
 
 
-def variants(fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """Rows (key, bit, fp): both segments as they are (bit -1) and with each bit struck out."""
-    low = F.lit(0xFFFFFFFF)
-    segments = F.array(F.col(fp).bitwiseAND(low), F.shiftrightunsigned(fp, 32))
+def _key(value: str, side: str, bit: str) -> Column:
+    """A segment's value with one bit struck out (none if ``bit`` is -1), the bit and the segment's side in one number."""
+    mask = F.when(F.col(bit) < 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, greatest({bit}, 0))"))
+    return F.shiftleft(F.col(value).bitwiseAND(F.bitwise_not(mask)), 8).bitwiseOR((F.col(bit) + 1).cast("long") * 2 + F.col(side).cast("long"))
+
+
+def variants(fps: DataFrame, fp: str = "fp", bits: int = 32) -> DataFrame:
+    """Rows (key, bit, fp): both segments as they are (bit -1) and with each of the first ``bits`` bits struck out."""
+    segments = F.array(F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))
     one = fps.select(fp, F.posexplode(segments).alias("s", "v"))
-    bits = F.sequence(F.lit(-1), F.lit(31))
-    one = one.select(fp, "s", "v", F.explode(bits).alias("i"))
-    mask = F.when(F.col("i") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, greatest(i, 0))"))
-    value = F.col("v").bitwiseAND(F.bitwise_not(mask))
-    key = F.shiftleft(value, 8).bitwiseOR((F.col("i") + 1).cast("long") * 2 + F.col("s").cast("long"))
+    one = one.select(fp, "s", "v", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("i"))
     bit = F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.col("i") + 32 * F.col("s"))
-    return one.select(key.alias("key"), bit.cast("int").alias("bit"), F.col(fp))
+    return one.select(_key("v", "s", "i").alias("key"), bit.cast("int").alias("bit"), F.col(fp))
+
+
+def hot_keys(distinct_fps: DataFrame, block: int) -> DataFrame | None:
+    """Rows (key, blocks) of the keys that may hold more than ``block`` fingerprints; None if there are none.
+
+    A variant's fingerprints are those of two segments, so counts of the segments
+    as they are (two rows a fingerprint, pre-aggregated) tell which keys are large.
+    """
+    plain = variants(distinct_fps, bits=0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
+    plain = materialize(plain, "segments")
+    if plain.isEmpty():
+        return None
+    value, side = F.shiftright("key", 8), F.col("key").bitwiseAND(F.lit(1))
+    each = plain.select("n", value.alias("v"), side.alias("s"), F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
+    return each.select(_key("v", "s", "i").alias("key"), "n").groupBy("key").agg(F.ceil((F.sum("n") + block // 2) / block).cast("int").alias("blocks"))
 
 
 def links(distinct_fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all fingerprint pairs with at most ``most`` (3 or fewer) differing bits."""
     if not 0 <= most <= 3:
         raise ValueError("two segments cover up to three differing bits")
-    spark = prepare(distinct_fps.sparkSession)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = variants(distinct_fps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = keyed.withColumn("blocks", blocks).withColumn("own", own).select("key", "bit", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "bit", "fp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    dealt = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "fp")
+    prepare(distinct_fps.sparkSession)
+    keyed, hot = variants(distinct_fps), hot_keys(distinct_fps, block)
+    if hot is None:
+        dealt = keyed.select("key", "bit", "fp", *[F.lit(0).alias(c) for c in ("own", "x", "y")])
+    else:
+        hot = materialize(hot, "hot")
+        if hot.count() <= MOST_BROADCAST:
+            hot = F.broadcast(hot)
+        keyed = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        keyed = keyed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        dealt = keyed.select("key", "bit", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("key", "bit", "fp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    # Keys of one fingerprint go before Python sees them; no window holds more than two blocks.
+    dealt = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key", "x", "y"))).filter("n > 1").drop("n")
+    dealt = dealt.sortWithinPartitions("key", "x", "y", "own", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -194,14 +223,24 @@ def links(distinct_fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) ->
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(fps: DataFrame, id_col: str, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
-    """``fps`` (with ``fp``) plus component_id: the smallest id reachable over links of at most ``most`` bits."""
-    one = materialize(fps.groupBy("fp").agg(F.min(col(id_col)).alias("low")), "fps")
+def classes(fps: DataFrame, id_col: str, fp_col: str = "fp", most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
+    """``fps`` plus component_id: the smallest id reachable over links of at most ``most`` bits.
+
+    A component_id that is there already, in any case, is replaced.
+    """
+    low, root, n = "low", "root", "n"
+    one = materialize(fps.groupBy(col(fp_col).alias("fp")).agg(F.min(col(id_col)).alias(low), F.count("*").alias(n)), "fps")
     tree = components(links(one.select("fp"), most, block))
-    named = one.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(named.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id"), "classes")
-    return fps.join(named, F.col("fp") == F.col("__fp")).drop("__fp")
+    named = materialize(one.join(tree, F.col("fp") == F.col("node"), "left").select("fp", low, n, F.coalesce("component", "fp").alias(root)), "roots")
+    lows = materialize(named.groupBy(root).agg(F.min(low).alias("component_id"), F.count("*").alias("size")), "lows")
+    total, rows = one.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
+    named = materialize(join_dealt(named.drop(low), lows, [root], "size", total).select("fp", n, "component_id"), "classes")
+    kept = [c for c in fps.columns if c.lower() != "component_id"]
+    base = fps.select(*[col(c) for c in kept])
+    key, count = free(base, "fp_", "n_")
+    named = named.select(F.col("fp").alias(key), F.col(n).alias(count), "component_id")
+    found = join_dealt(base.withColumn(key, col(fp_col)), named, [key], count, rows)
+    return found.select(*[col(c) for c in kept], "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,16 @@ almost only labelled documents have decides by itself.
 The language model's counts come from all characters of all documents: every task
 counts trigrams over its texts and sends its non-zero counts. The lexicon and its
 weights come from a bounded sample of about TRAIN_ROWS labelled rows of the
-training fold, read through the same decoding; MOST_WORDS bounds the lexicon.
+training fold, one document an id, read through the same decoding; words that stand
+in fewer than three of its labelled documents aren't looked at. The MOST_WORDS most
+surprising ones have weights, the MOST_TELLING most telling ones decide alone.
 
 Cases: null texts are empty and score as a text without any lexicon word. Without
-labels of both kinds every score is the share of label 1 (0.5 without labels).
-Repeated rows give repeated results; very long texts and tokens are whole. A number
-in its usual form is a number: '455' is never read as letters, '4$5' is.
+labels of both kinds (empty tables) every score is the share of label 1 (0.5 without
+labels). Repeated rows give repeated results; very long texts and tokens are whole,
+in time and memory in proportion. A number in its usual form is a number: '455' is
+never read as letters, '4$5' is. Extra columns are kept whatever their names; those
+named as a result, in any case, are replaced by it.
 """
 
 from __future__ import annotations
@@ -34,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import TEXT, col, crc_mod, map_texts, prepare, slices, table
+from quire.llm.common import col, crc_mod, map_texts, materialize, prepare, slices, table
 from quire.llm.rule_ensemble import labelled_sample, lasso
 
 TRAIN_ROWS = 12_000
-MOST_WORDS = 400
+MOST_WORDS, MOST_TELLING = 400, 4000
 THRESHOLD = 0.5
 LASSO = 1e-5
 #: A word tells by itself if so large a share of its documents is labelled, at the lower end of its confidence interval of Z spreads.
@@ -112,7 +116,7 @@ def trigrams(df: DataFrame, text_col: str = "text") -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["gram", "n"])
 
-    return df.select(col(text_col).cast("string").alias(TEXT)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return df.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -129,11 +133,24 @@ class Model:
         self.cost[:, 0, :] = -np.log(p2[0])
 
 
+#: The cheapest path to each state (last two letters): its cost and its letters as (path before, letter).
+Paths = dict[tuple[int, int], tuple[float, tuple | None]]
+
+
+def spelled(path: tuple | None) -> str:
+    """A path's letters; paths share what stands before, so that long tokens take time and memory in proportion."""
+    out = []
+    while path is not None:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
+
+
 class Decoder:
-    """Restores disguised tokens; remembers them up to ``most``."""
+    """Restores disguised tokens; remembers them up to ``most`` and ``most_chars`` of them."""
 
-    def __init__(self, model: Model, most: int = 200_000) -> None:
-        self.cost, self.most = model.cost.tolist(), most
+    def __init__(self, model: Model, most: int = 200_000, most_chars: int = 4_000_000) -> None:
+        self.cost, self.most, self.most_chars, self.chars = model.cost.tolist(), most, most_chars, 0
         self.code = {ch: k + 2 for k, ch in enumerate(LETTERS)}
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -154,29 +171,29 @@ class Decoder:
 
     def viterbi(self, token: str, left: int = 0, right: int = 0) -> str:
         """The cheapest letters of the token's lattice, in which the first ``left`` and last ``right`` characters stand for letters."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: Paths = {(0, 0): (0.0, None)}
         for i in range(len(token)):
             options = self.options(token, i)
             if i < left or i >= len(token) - right:
                 options = [o for o in options if o[0]]
             best = self.step(best, options)
-        return self.ended(best)[1]
+        return spelled(self.ended(best)[1])
 
-    def step(self, best: dict[tuple[int, int], tuple[float, str]], options: list[tuple[str, float]]) -> dict[tuple[int, int], tuple[float, str]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+    def step(self, best: Paths, options: list[tuple[str, float]]) -> Paths:
+        new: Paths = {}
+        for (a, b), (cost, path) in best.items():
             for letter, paid in options:
                 if letter:
                     c = self.code.get(letter, 1)
-                    state, total, longer = (b, c), cost + paid + self.cost[a][b][c], text + letter
+                    state, total = (b, c), cost + paid + self.cost[a][b][c]
                 else:
-                    state, total, longer = (a, b), cost + paid, text
-                if state not in new or (total, longer) < new[state]:
-                    new[state] = (total, longer)
+                    state, total = (a, b), cost + paid
+                if state not in new or total < new[state][0]:
+                    new[state] = (total, (path, letter) if letter else path)
         return new
 
-    def ended(self, best: dict[tuple[int, int], tuple[float, str]]) -> tuple[float, str]:
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in best.items())
+    def ended(self, best: Paths) -> tuple[float, tuple | None]:
+        return min(((cost + self.cost[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
 
     def divided(self, run: list[str]) -> set[str]:
         """The words of all near-cheapest divisions of single characters, and the whole run as one word.
@@ -189,17 +206,17 @@ class Decoder:
         words = []
         upto = [0.0] + [math.inf] * n
         for i in range(n):
-            best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+            best: Paths = {(0, 0): (0.0, None)}
             for j in range(i, min(n, i + LONGEST)):
                 best = self.step(best, options[j] if j == i else [(x, paid + DROP_SEPARATOR) for x, paid in options[j]])
-                cost, text = self.ended(best)
+                cost, path = self.ended(best)
                 cost += END_WORD if i else 0.0
-                words.append((i, j + 1, cost, text))
+                words.append((i, j + 1, cost, path))
                 upto[j + 1] = min(upto[j + 1], upto[i] + cost)
         after = [math.inf] * n + [0.0]
         for i, j, cost, _ in reversed(words):
             after[i] = min(after[i], cost + after[j])
-        found = {text for i, j, cost, text in words if upto[i] + cost + after[j] <= upto[n] + NEAR}
+        found = {spelled(path) for i, j, cost, path in words if upto[i] + cost + after[j] <= upto[n] + NEAR}
         found.add(self.viterbi(spaced))
         return found - {""}
 
@@ -225,8 +242,10 @@ class Decoder:
         """The words that a lower-case token may hide; none if it is an ordinary word or number."""
         if token in self.known:
             return self.known[token]
-        if len(self.known) >= self.most:
+        if len(self.known) >= self.most or self.chars > self.most_chars:
             self.known.clear()
+            self.chars = 0
+        self.chars += len(token)
         found = []
         for core, left, right in self.cores(token):
             plain = core
@@ -280,58 +299,55 @@ class Lexicon:
         return sorted((self.weights.keys() | self.telling.keys()) & words)
 
 
-def least_share(k: int, n: int, z: float = Z) -> float:
-    """The lower end of Wilson's interval for k of n."""
-    p = k / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-
-
-def fit(samples: list[tuple[set[str], int]], most: int = MOST_WORDS, penalty: float = LASSO) -> Lexicon:
-    """Words that stand in label 1 far more often than by chance, with lasso logistic weights."""
+def weigh(samples: list[tuple[set[str], int]], chosen: list[str], telling: dict[str, float], penalty: float = LASSO) -> Lexicon:
+    """Lasso logistic weights of the chosen words."""
     n = len(samples)
     ones = sum(y for _, y in samples)
     if n == 0 or ones in (0, n):
         mean = ones / n if n else 0.5
         return Lexicon(math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)), {})
-    yes, all_ = Counter(), Counter()
-    for words, y in samples:
-        all_.update(words)
-        if y:
-            yes.update(words)
-    rate = ones / n
-
-    def surprise(word: str) -> float:
-        k, m = yes[word], all_[word]
-        return (k - m * rate) / math.sqrt(m * rate * (1 - rate))
-
-    scored = sorted(((surprise(w), w) for w in yes if yes[w] >= 3 and yes[w] > 2.5 * rate * all_[w]), reverse=True)
-    chosen = sorted(w for s, w in scored[:most] if s >= 4.0)
     z = np.array([[w in words for w in chosen] for words, _ in samples], np.float64).reshape(n, len(chosen))
     intercept, weights = lasso(z, np.array([y for _, y in samples], np.float64), penalty, 1500)
-    telling = {w: share for w in yes if yes[w] >= 3 and (share := least_share(yes[w], all_[w])) >= TELLING}
     return Lexicon(intercept, {w: float(x) for w, x in zip(chosen, weights, strict=True) if abs(x) > 1e-9}, telling)
 
 
+def choose(words: DataFrame, n: int, ones: int, most: int = MOST_WORDS, most_telling: int = MOST_TELLING) -> tuple[list[str], dict[str, float]]:
+    """From rows (y, words), one a document: the words that stand in label 1 far more often than by chance, and the telling ones."""
+    rate, k, m = ones / n, F.col("k"), F.col("m")
+    counts = words.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("k"), F.count("*").alias("m")).filter("k >= 3")
+    counts = counts.withColumn("surprise", (k - m * rate) / F.sqrt(m * (rate * (1 - rate))))
+    p = k / m
+    share = (p + Z * Z / (2 * m) - Z * F.sqrt(p * (1 - p) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)  # the lower end of Wilson's interval
+    counts = materialize(counts.withColumn("share", share), "counts")
+    chosen = counts.filter((k > 2.5 * rate * m) & (F.col("surprise") >= 4.0)).orderBy(F.desc("surprise"), "w").limit(most).collect()
+    telling = counts.filter(F.col("share") >= TELLING).orderBy(F.desc("share"), F.desc("k"), "w").limit(most_telling).collect()
+    return sorted(r["w"] for r in chosen), {r["w"]: r["share"] for r in telling}
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[Model, Lexicon]:
     """The language model from all ``documents``, the lexicon from a bounded sample of ``labels``."""
+    spark = documents.sparkSession
     counts = np.zeros(SIZE**3, np.int64)
     for r in trigrams(documents, text_col).collect():  # SIZE cubed rows at most
         counts[r["gram"]] = r["n"]
     model = Model(counts)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model)
 
     def factory():
         decoder = Decoder(sent.value)
         return lambda texts: [[sorted(words_of(t, decoder)) for t in texts]]
 
-    sample = labelled_sample(documents.select(col(id_col), col(text_col)), labels, label, id_col, rows)
-    words = map_texts(sample, text_col, T.StructType([T.StructField("words", T.ArrayType(T.StringType()))]), factory, keep=[id_col, "__y"])
-    # Only words of label 1, and how they stand in the sample, go to the driver.
-    likely = words.select("__y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("__y").alias("k"), F.count("*").alias("m")).filter("k >= 3 and k > 0.2 * m")
-    likely = {r["w"] for r in likely.orderBy((F.col("k") * F.col("k") / F.col("m")).desc(), "w").limit(20 * MOST_WORDS).collect()}
-    words = words.select(id_col, "__y", F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(likely)]) if likely else F.array().cast("array<string>")).alias("w"))
-    got = sorted(words.collect(), key=lambda r: (r[id_col], r["__y"], r["w"]))
-    return model, fit([(set(r["w"]), r["__y"]) for r in got])
+    sample = labelled_sample(documents, labels, label, id_col, text_col, rows)
+    fields = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
+    words = materialize(map_texts(sample, "text", fields, factory, keep=["id", "y"]), "words")  # decoded once
+    n, ones = words.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    chosen, telling = choose(words, n, ones) if 0 < ones < n else ([], {})
+    # Only the documents' chosen words go to the driver.
+    wanted = F.broadcast(spark.createDataFrame([(w,) for w in chosen], "w string"))
+    has = words.select("id", F.explode("words").alias("w")).join(wanted, "w").groupBy("id").agg(F.collect_list("w").alias("w"))
+    got = words.select("id", "y").join(has, "id", "left").collect()  # 2 * `rows` documents at most
+    got.sort(key=lambda r: (r["id"], r["y"]))
+    return model, weigh([(set(r["w"] or ()), r["y"]) for r in got], chosen, telling)
 
 
 def score(df: DataFrame, model: Model, lexicon: Lexicon, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "", threshold: float = THRESHOLD) -> DataFrame:

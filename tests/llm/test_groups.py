@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import collision, mixing, simhash
-from quire.llm.common import components
+from quire.llm.common import components, join_dealt
 
 
 def roots(n, pairs):
@@ -86,13 +86,58 @@ def test_collision_dedup(spark):
     root, links = roots(len(rows), pairs), Counter(x for p in pairs for x in p)
     low = {k: min(rows[j][0] for j in range(len(rows)) if root[j] == k) for k in set(root)}
     want = Counter((r[0], links[k], low[root[k]], r[0] == low[root[k]]) for k, r in enumerate(rows))
-    for slab in (8, 1024):
-        got = Counter(tuple(r) for r in collision.link(df, slab=slab).collect())
-        assert got == want, (slab, got - want, want - got)
+    for cell in (8, 2048):
+        got = Counter(tuple(r) for r in collision.link(df, cell=cell, loss=1e-6).collect())
+        assert got == want, (cell, got - want, want - got)
     assert collision.link(df.limit(0)).count() == 0
     assert collision.calibrate(16, 3.0, 0.9999) < 16 and collision.calibrate(16, 9.0, 0.9999) == 16
 
 
+def test_cells_keep_near_pairs_of_a_large_label_and_count_them_once(spark):
+    rng = np.random.default_rng(3)
+    center = rng.standard_normal((2500, 24))
+    vectors = np.concatenate([center, center[:1500] + 0.12 * rng.standard_normal((1500, 24)), center[:300] + 0.1 * rng.standard_normal((300, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").selectExpr("*", "1 label")
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in collision.link(df, cell=128).collect()}
+    found = np.array([got[k] for k in range(len(vectors))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and links.sum() > 1000
+
+
+def test_zones_lose_no_more_than_allowed():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(400_000)
+    y = x + 0.2 * rng.standard_normal(len(x))
+    half = collision.zone(0.2, 0.4, 1e-3) / 2
+    apart = (np.minimum(x, y) < -half) & (np.maximum(x, y) > half)
+    assert 0 < apart.mean() < 1.3e-3
+    counts = np.bincount(np.clip((rng.standard_normal(100_000) + 4) * 64, 0, 511).astype(int), minlength=512)
+    ((_, place, half),) = collision.choose_cuts(counts[None], 0.2, 1e-4)
+    assert abs(place) < 0.6 and 0 < half < 0.6
+
+
+def test_many_links_of_a_node_or_key_are_dealt_out(spark):
+    pairs = spark.range(1, 3000).selectExpr("0L a", "id b").union(spark.range(3000, 3010).selectExpr("id a", "id + 1 b"))
+    got = {r["node"]: r["component"] for r in components(pairs, hot_rows=100).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(3000, 3011), 3000)}
+    rows = spark.range(4000).selectExpr("id", "if(id % 4 = 0, id, 7L) k")
+    other = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2)
+    joined = join_dealt(rows, other, ["k"], "n", 4000, hot_rows=100)
+    assert {(r["id"], r["x"]) for r in joined.collect()} == {(k, 2 * (k if k % 4 == 0 else 7)) for k in range(4000)} and joined.columns == ["k", "id", "x"]
+
+
+def test_copies_of_one_fingerprint_and_one_vector(spark):
+    docs = spark.range(100_000).selectExpr("id doc_id", "if(id % 3 = 0, 0L, id * 2654435761) fp", "id component_ID")
+    got = simhash.classes(docs, "doc_id")
+    assert got.columns == ["doc_id", "fp", "component_id"]
+    assert got.filter("fp = 0").agg(F.count("*"), F.min("component_id"), F.max("component_id")).first()[:] == (33_334, 0, 0) and got.count() == 100_000
+    same = spark.range(100_000).selectExpr("id vec_id", "if(id % 3 = 0, array(1f, 2f), array(float(-id), 1f / (id + 1))) embedding", "1 label")
+    top = collision.link(same.filter("vec_id % 3 = 0 or vec_id < 50")).filter("n_links > 1000").agg(F.count("*"), F.min("component_id"), F.max("component_id")).first()
+    assert top[:] == (33_334, 0, 0)
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs, block=2, parts=10, weights={"a": 3, "c": 1}).orderBy("position").collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
