@@ -3,17 +3,23 @@
 The text is lower-cased (A-Z) and cut into words in one pass over its bytes; words
 joined by single spaces are the search space. A notice with at most k errors, cut
 into k + 1 pieces, leaves at least one piece intact (pigeonhole), so exact hits of
-the pieces (one Aho-Corasick pass) locate every candidate, and the regex library's
-bounded-error matching of the whole notice in a window around each hit verifies it
-and gives its span and number of edits. Of overlapping matches the one with the
-fewest edits counts. There is no shuffle; rows are independent of each other.
-
-Cases: a null text is the empty text (no words, empty labels, score 0). Repeated
-rows give repeated results, very long texts are scanned in whole.
+the pieces (one Aho-Corasick pass, which also finds whole notices) locate every
+candidate, and the regex library's bounded-error matching of the whole notice at
+every place of a window around the hits verifies it and gives its span and number
+of edits. A notice's telling words, those that tell it from another license, must
+stand in the span without an edit. Of overlapping matches the one with the fewest
+edits counts, then the longest; every other match overlaps one that counts. Time
+is in proportion to the text. There is no shuffle; rows are independent.
+
+Cases: a null text is the empty text (no words, empty labels, score 0, no span), an
+empty table gives an empty result. Repeated rows give repeated results, very long
+texts are scanned in whole. Extra columns are kept whatever their names; those named
+as a result, in any case, are replaced by it.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -26,25 +32,28 @@ from quire.llm.common import map_texts, table
 #: Base phrases: exact places, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Short notices (label, words) for the fuzzy search.
+#: Short notices (label, words, telling words) for the fuzzy search.
 NOTICES = (
-    ("mit", "under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person"),
-    ("apache-2", "apache license version 2"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd"),
-    ("cc-by", "creative commons attribution 4 0 international"),
-    ("cc0", "cc0 1 0 universal public domain dedication"),
-    ("gpl", "under the gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("mpl-2", "mozilla public license version 2"),
-    ("bsd", "under the bsd license"),
-    ("bsd", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software"),
-    ("unlicense", "free and unencumbered software released into the public domain"),
-    ("all-rights-reserved", "all rights reserved worldwide"),
+    ("mit", "under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person", ""),
+    ("apache-2", "apache license version 2", "2"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
+    ("cc-by", "licensed under cc by 3 0", "cc by 3"),
+    ("cc-by", "creative commons attribution 4 0 international", "attribution 4"),
+    ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd", "cc by nd"),
+    ("cc0", "cc0 1 0 universal public domain dedication", "cc0"),
+    ("gpl", "under the gnu general public license", "gnu"),
+    ("lgpl", "gnu lesser general public license", "lesser"),
+    ("agpl", "gnu affero general public license", "affero"),
+    ("mpl-2", "mozilla public license version 2", "mozilla 2"),
+    ("bsd", "under the bsd license", "bsd"),
+    ("bsd", "redistribution and use in source and binary forms", ""),
+    ("isc", "under the isc license", "isc"),
+    ("isc", "permission to use copy modify and or distribute this software", ""),
+    ("unlicense", "free and unencumbered software released into the public domain", ""),
+    ("all-rights-reserved", "all rights reserved worldwide", "rights reserved"),
 )
 #: One error for so many characters of a notice, MOST_ERRORS at most.
 CHARS_PER_ERROR = 8
@@ -66,54 +75,92 @@ def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
 
 
+class Notice:
+    def __init__(self, label: str, text: str, telling: str, chars_per_error: int) -> None:
+        import regex
+
+        self.label, self.text, self.telling = label, text, telling.split()
+        self.errors = min(MOST_ERRORS, len(text) // chars_per_error)
+        # (?e): an earlier start comes first, and its match is then made as close as it can be.
+        self.pattern = regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={self.errors}}}")
+
+    def told(self, text: str, start: int, stop: int) -> bool:
+        """The telling words stand in the match, whole and unedited."""
+        if not self.telling:
+            return True
+        a, b = text.rfind(" ", 0, start + 1), text.find(" ", stop - 1)
+        words = text[max(a, 0) : b if b >= 0 else len(text)].split()
+        return all(w in words for w in self.telling)
+
+
 class Scanner:
-    def __init__(self, notices: Sequence[tuple[str, str]] = NOTICES, phrases: dict[str, str] = PHRASES, chars_per_error: int = CHARS_PER_ERROR) -> None:
+    def __init__(self, notices: Sequence[tuple[str, str, str]] = NOTICES, phrases: dict[str, str] = PHRASES, chars_per_error: int = CHARS_PER_ERROR) -> None:
         import ahocorasick
-        import regex
 
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = []
+        self.notices = [Notice(*n, chars_per_error) for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for i, (label, text) in enumerate(notices):
-            errors = min(MOST_ERRORS, len(text) // chars_per_error)
-            self.notices.append((label, text.split(), len(text), errors, regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={errors}}}")))
-            for offset, piece in pieces(text, errors):
+        for i, n in enumerate(self.notices):
+            for offset, piece in pieces(n.text, n.errors):
                 seeds.setdefault(piece, []).append((i, offset))
+            seeds.setdefault(n.text, []).append((i, -1))  # the notice as it is
         self.seeds = ahocorasick.Automaton()
         for piece, places in seeds.items():
             self.seeds.add_word(piece, (len(piece), places))
         self.seeds.make_automaton()
 
-    def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
-        """Verified matches (start, stop, label, edits) in space-joined words, fewest edits first, without overlaps."""
-        windows: dict[int, list[list[int]]] = {}
+    def candidates(self, text: str) -> tuple[set[tuple[int, int]], dict[int, list[list[int]]]]:
+        """Exact places (notice, start), and each notice's windows [first, last possible start] around other hits."""
+        exact: set[tuple[int, int]] = set()
+        hits: dict[int, list[int]] = {}
         for end, (size, places) in self.seeds.iter(text):
+            start = end - size + 1
             for i, offset in places:
-                _, _, length, errors, _ = self.notices[i]
-                start = end - size + 1 - offset
-                low, high = max(0, start - errors), start + length + errors
-                mine = windows.setdefault(i, [])
-                if mine and low <= mine[-1][1]:
-                    mine[-1][1] = max(high, mine[-1][1])
+                if offset < 0:
+                    exact.add((i, start))
+                else:
+                    hits.setdefault(i, []).append(start - offset)
+        windows: dict[int, list[list[int]]] = {}
+        for i, starts in hits.items():
+            reach, mine = 2 * self.notices[i].errors, windows.setdefault(i, [])
+            for start in sorted(starts):
+                if (i, start) in exact:
+                    continue
+                if mine and start - mine[-1][1] <= reach and start - mine[-1][0] <= reach:
+                    mine[-1][1] = start
                 else:
-                    mine.append([low, high])
+                    mine.append([start, start])
+        return exact, windows
+
+    def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
+        """Verified matches (start, stop, label, edits) in space-joined words, without overlaps, in order."""
+        exact, windows = self.candidates(text)
         found = set()
+        for i, start in exact:
+            n = self.notices[i]
+            if n.told(text, start, start + len(n.text)):
+                found.add((0, -len(n.text), start, start + len(n.text), n.label))
         for i, spans in windows.items():
-            label, words, _, errors, pattern = self.notices[i]
-            for low, high in spans:
+            n = self.notices[i]
+            words = n.text.split()
+            for first, last in spans:
+                low, high = max(0, first - n.errors), min(len(text), last + len(n.text) + n.errors)
                 # An error spoils at most two words, so the others of the notice stand in the window.
-                there = set(text[max(0, text.rfind(" ", 0, low)) : text.find(" ", high) + 1 or len(text)].split()) if len(words) > 2 * errors else ()
-                if sum(w in there for w in words) < len(words) - 2 * errors:
-                    continue
-                at = low
-                while m := pattern.search(text, at, min(high, len(text))):
-                    found.add((sum(m.fuzzy_counts), -(m.end() - m.start()), m.start(), m.end(), label))
-                    at = max(m.end(), at + 1)
+                if len(words) > 2 * n.errors:
+                    there = set(text[max(0, text.rfind(" ", 0, low)) : text.find(" ", high) + 1 or len(text)].split())
+                    if sum(w in there for w in words) < len(words) - 2 * n.errors:
+                        continue
+                for at in range(low, last + n.errors + 1):
+                    if (m := n.pattern.match(text, at, high)) and n.told(text, m.start(), m.end()):
+                        found.add((sum(m.fuzzy_counts), m.start() - m.end(), m.start(), m.end(), n.label))
+        starts: list[int] = []
         out: list[tuple[int, int, str, int]] = []
         for edits, _, start, stop, label in sorted(found):
-            if all(stop <= a or start >= b for a, b, _, _ in out):
-                out.append((start, stop, label, edits))
-        return sorted(out)
+            at = bisect.bisect_left(starts, start)
+            if (at == 0 or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= stop):
+                starts.insert(at, start)
+                out.insert(at, (start, stop, label, edits))
+        return out
 
     def scan(self, text: str | None) -> tuple:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_MAP).split()
@@ -122,22 +169,27 @@ class Scanner:
         base = set()
         for phrase, label in self.phrases:
             at = joined.find(phrase)
+            counted = number = 0
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                number += joined.count(b" ", counted, at)
+                counted = at
+                places.append(number)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
         labels, spans, score = set(base), [], 1.0 if base else 0.0
         plain = joined.decode("utf-8", "replace")
+        counted = number = 0
         for start, stop, label, edits in self.fuzzy(plain):
             labels.add(label)
-            first = plain.count(" ", 0, start + (plain[start] == " ")) - 1
-            last = plain.count(" ", 0, stop - (plain[stop - 1] == " ")) - 1
-            spans.append({"label": label, "first_word": first, "last_word": last, "edits": edits})
+            a, b = start + (plain[start] == " "), stop - (plain[stop - 1] == " ")
+            number += plain.count(" ", counted, a)
+            counted = a
+            spans.append({"label": label, "first_word": number - 1, "last_word": number - 1 + plain.count(" ", a, b), "edits": edits})
             score = max(score, 1 - edits / (stop - start))
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
-def scan(df: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "", notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "", notices: Sequence[tuple[str, str, str]] = NOTICES) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label, words, edits)."""
     kinds = [to_arrow_type(f.dataType) for f in FIELDS.fields]
 
