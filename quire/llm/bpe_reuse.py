@@ -2,20 +2,37 @@
 
 A rolling hash over the text's bytes cuts chunks where its low bits are zero, so
 equal passages give equal chunks wherever they stand. A chunk is encoded once in
-a worker and its ids are reused for all documents. At each join the last unit of
-one chunk and the first of the next are encoded again, together; the repaired
-span grows over further chunks until both of its ends are places where the text
-around can't change a token, and from there on the ids agree exactly with those
-of the whole text. The work needs no shuffle: a lost task is simply run again.
-
-Cases: a null text is encoded as the empty text (no ids, decoded to ""). Very
-long texts are processed in whole. Texts with uncommon white space are encoded
-by the tokenizers library directly. Repeated rows give repeated results.
+a worker, as a text of its own, and its ids are reused for all documents. Then the
+joins are repaired: the last tokens of what stands before and the first of the next
+chunk are encoded again as one span by the tokenizers library. If the span's first
+id is the id that stood at its first token and its last id the one that stood at its
+last, the sides agree and the span's ids replace theirs; else the span grows, up to
+the whole of both sides, and is encoded again until they agree.
+
+Why agreement is exact: spans begin and end where the pre-tokenizer has a boundary
+for sure (white space after something else) or within a run of one kind (letters,
+digits, white space, other marks), so its words inside the span are those of the
+whole text, cut at the ends at most; and a sequence of tokens is
+the BPE encoding of a word if and only if each pair of neighbours is the encoding of
+what they spell; every pair of the result stood side by side in one encoding.
+
+Chunks have LEAST to MOST bytes, and all caches are bounded in bytes as well as in
+number, so a text without white space takes memory in proportion to its length. To
+encode a new chunk its words are looked up among those met before and only new ones
+go to the library, which is as exact (see fast_bpe.py) and in budget. The work needs
+no shuffle: a lost task is simply run again.
+
+Cases: a null text is encoded as the empty text (no ids, decoded to ""); an empty
+table gives an empty result. Texts with uncommon white space or the vocabulary's
+special tokens are encoded by the tokenizers library in whole. Repeated rows give
+repeated results. Extra columns are kept whatever their names; those named as a
+result, in any case, are replaced by it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from array import array
 from collections.abc import Sequence
 
@@ -27,8 +44,12 @@ from quire.llm.common import map_texts, table
 from quire.llm.fast_bpe import ODD_SPACE, UNIT, byte_letters, encoder
 
 WINDOW = 16
-MASK = 0xFF  # a cut at about every 256th byte
+MASK = 0x1FF  # a cut at about every 512th byte
+LEAST, MOST = 64, 4096
 MULTIPLIER = 0x9E3779B1
+BLOCK = 1 << 20
+GUARD = 2  # tokens of each side that a span has at first
+_SPACE = frozenset(b" \t\r\n")
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,93 +58,212 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def cuts(data: bytes, window: int = WINDOW, mask: int = MASK) -> list[int]:
-    """Where chunks of UTF-8 ``data`` end, by the polynomial hash of the ``window`` bytes before (a power of two)."""
+def marks(data: bytes, window: int = WINDOW, mask: int = MASK) -> np.ndarray:
+    """Places whose ``window`` bytes before (a power of two) have a polynomial hash with low bits zero."""
     if len(data) <= window:
-        return [len(data)] if data else []
-    raw = np.frombuffer(data, np.uint8)
-    h, width, factor = raw.astype(np.uint32) + np.uint32(1), 1, MULTIPLIER
+        return np.zeros(0, np.int64)
+    h, width, factor = np.frombuffer(data, np.uint8).astype(np.uint32) + np.uint32(1), 1, MULTIPLIER
     while width < window:  # h[i] covers the bytes i .. i + width - 1
         h = h[:-width] * np.uint32(factor) + h[width:]
         width, factor = width * 2, factor * factor & 0xFFFFFFFF
-    ends = np.flatnonzero((h >> np.uint32(11)) & np.uint32(mask) == 0) + window
-    ends = ends[(ends < len(data))]
-    ends = ends[(raw[ends] & 0xC0) != 0x80]  # not inside a character
-    return [*ends.tolist(), len(data)]
+    return np.flatnonzero((h >> np.uint32(11)) & np.uint32(mask) == 0) + window
+
+
+def cuts(data: bytes, window: int = WINDOW, mask: int = MASK, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Where chunks of UTF-8 ``data`` end: at marks, ``least`` to ``most`` bytes apart, never inside a character."""
+    out, at, n = [], 0, len(data)
+    for base in range(0, n, BLOCK):  # the hash is made by blocks, so that memory is bounded
+        low, high = max(0, base - window), min(n, base + BLOCK)
+        ends = marks(data[low:high], window, mask) + low
+        while at < high:
+            k = int(np.searchsorted(ends, at + least))
+            end = int(ends[k]) if k < len(ends) else high
+            if end - at > most:
+                end = at + most
+            elif k >= len(ends):
+                break
+            while end < n and data[end] & 0xC0 == 0x80:
+                end -= 1
+            if end >= n:
+                break
+            out.append(end)
+            at = end
+    return [*out, n] if n else out
+
+
+def kind(ch: str) -> str:
+    """L letter, N number, P anything else, as the pre-tokenizer tells them apart; white space is told before."""
+    return "L" if ch.isalpha() else "N" if unicodedata.category(ch)[0] == "N" else "P"
+
+
+_KINDS = bytes(ord(kind(chr(k))) for k in range(128))
+
+
+def anchor(data: bytes, at: int) -> bool:
+    """A span may begin or end here: white space begins, or a run of one kind goes on.
+
+    Not before an apostrophe, which may begin a word of its own, nor before the
+    last character of a run of white space, which the next word may take.
+    """
+    b, c = data[at - 1], data[at]
+    if c in _SPACE:
+        return b not in _SPACE or at + 1 < len(data) and data[at + 1] in _SPACE
+    if b in _SPACE or c & 0xC0 == 0x80 or c == 0x27:
+        return False
+    if b < 128 and c < 128:
+        return _KINDS[b] == _KINDS[c]
+    before, after = data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], data[at : at + 4].decode("utf-8", "ignore")[:1]
+    return before != "" and after != "" and kind(before) == kind(after)
+
+
+class Chunk:
+    """A chunk's ids, cut where spans begin and end at first: head and tail are None if it is too short for both."""
+
+    __slots__ = ("ids", "head", "tail")
+
+    def __init__(self, ids: bytes, head: tuple | None, tail: tuple | None) -> None:
+        self.ids, self.head, self.tail = ids, head, tail  # head, tail: (bytes of text, tokens)
 
 
 class ChunkEncoder:
     """Encodes and decodes as the tokenizers library does with a byte-level BPE file."""
 
-    def __init__(self, path: str, most_chunks: int = 60_000) -> None:
-        self.path, self.most = path, most_chunks
+    def __init__(self, path: str, most_chunks: int = 40_000, most_spans: int = 100_000) -> None:
+        self.path, self.most, self.most_spans = path, most_chunks, most_spans
         self.base = encoder(path, True)
-        self.chunks: dict[str, tuple[str, bytes, str] | None] = {}
-        self.reused = self.encoded = 0
+        self.special = [t.content for t in self.base.tokenizer.get_added_tokens_decoder().values()]
+        self.chunks: dict[bytes, Chunk] = {}
+        self.spans: dict[bytes, bytes] = {}
+        self.reused = self.encoded = self.welds = self.grown = 0
         self._pieces: list[bytes] | None = None
-
-    def encode(self, texts: Sequence[str | None]) -> list[array]:
-        texts = [t or "" for t in texts]
-        plain = [not ODD_SPACE.search(t) for t in texts]
-        split: list[list[str]] = []
-        for text, ok in zip(texts, plain, strict=True):
-            data, at, parts = text.encode() if ok else b"", 0, []
-            for end in cuts(data):
-                parts.append(data[at:end].decode())
-                at = end
-            split.append(parts)
+        self._sizes: list[int] | None = None
+
+    def chunk(self, data: bytes, ids: bytes) -> Chunk:
+        made = array("I")
+        made.frombytes(ids)
+        n, size = len(made), self.sizes
+        a, at = 0, len(data)
+        while a < n - 1:  # backwards to an anchor before GUARD tokens or more
+            a += 1
+            at -= size[made[-a]]
+            if a >= GUARD and at > 0 and anchor(data, at):
+                break
+        b, to = 0, 0
+        while b < n - 1:
+            to += size[made[b]]
+            b += 1
+            if b >= GUARD and to < len(data) and anchor(data, to):
+                break
+        if a + b >= n or not (0 < at < len(data) and anchor(data, at)) or not (0 < to < len(data) and anchor(data, to)):
+            return Chunk(ids, None, None)
+        return Chunk(ids, (data[:to], b), (data[at:], a))
+
+    def library(self, spans: list[bytes]) -> None:
+        """Encode spans that aren't known yet, in one call."""
+        if len(self.spans) + len(spans) > self.most_spans:
+            self.spans.clear()
+        new = list(dict.fromkeys(s for s in spans if s not in self.spans))
+        for s, ids in zip(new, self.base.library([s.decode() for s in new]), strict=True):
+            self.spans[s] = ids.tobytes()
+
+    def split(self, texts: Sequence[bytes]) -> list[list[bytes]]:
+        """The texts' chunks, all of which are then in the cache."""
+        out, fresh = [], {}
         if len(self.chunks) > self.most:
             for c in list(self.chunks)[: len(self.chunks) // 2]:
                 del self.chunks[c]
-        # New chunks: the units inside are those of the whole text, except for the first and the last.
-        fresh: dict[str, list[str]] = {}
-        need: set[str] = set()
-        for parts in split:
+        for data in texts:
+            at, parts = 0, []
+            for end in cuts(data):
+                parts.append(data[at:end])
+                at = end
+            out.append(parts)
             for c in parts:
-                if c not in self.chunks and c not in fresh:
-                    fresh[c] = units = UNIT.findall(c)
-                    need.update(units[1:-1])
-                    self.encoded += 1
-                else:
+                if c in self.chunks or c in fresh:
                     self.reused += 1
-        # The joins: what stands between the last sure place of one chunk and the first of the next.
-        seams: list[list[list[str]]] = []
-        for parts in split:
-            open_, mine = "", []
-            for c in parts:
-                if (units := fresh.get(c)) is not None:
-                    ends = (units[0], units[-1]) if len(units) > 1 else None
                 else:
-                    ends = (r[0], r[2]) if (r := self.chunks[c]) else None
-                if ends is None:
-                    open_ += c
-                    continue
-                mine.append(UNIT.findall(open_ + ends[0]))
-                open_ = ends[1]
-            mine.append(UNIT.findall(open_))
-            for units in mine:
-                need.update(units)
-            seams.append(mine)
-        known = self.base.learn(need)
-        get = known.__getitem__
+                    self.encoded += 1
+                    fresh[c] = UNIT.findall(c.decode())
+        known = self.base.learn({u for units in fresh.values() for u in units})
         for c, units in fresh.items():
-            self.chunks[c] = (units[0], b"".join(map(get, units[1:-1])), units[-1]) if len(units) > 1 else None
-        out = []
-        for text, ok, parts, mine in zip(texts, plain, split, seams, strict=True):
-            if not ok:
-                out += self.base.library([text])
-                continue
-            found, joins = [], iter(mine)
-            for c in parts:
-                if r := self.chunks[c]:
-                    found += map(get, next(joins))
-                    found.append(r[1])
-            found += map(get, next(joins))
-            ids = array("I")
-            ids.frombytes(b"".join(found))
-            out.append(ids)
+            self.chunks[c] = self.chunk(c, b"".join(map(known.__getitem__, units)))
+        return out
+
+    def encode(self, texts: Sequence[str | None]) -> list[array]:
+        texts = [t or "" for t in texts]
+        plain = [not ODD_SPACE.search(t) and not any(x in t for x in self.special) for t in texts]
+        split = iter(self.split([t.encode() for t, ok in zip(texts, plain, strict=True) if ok]))
+        parts = [next(split) if ok else [] for ok in plain]
+        get = self.chunks.__getitem__
+        self.library([get(x).tail[0] + get(y).head[0] for p in parts for x, y in zip(p, p[1:], strict=False) if get(x).tail and get(y).head])
+        return [self.welded(p) if ok else self.base.library([t])[0] for t, ok, p in zip(texts, plain, parts, strict=True)]
+
+    def welded(self, parts: list[bytes]) -> array:
+        """The ids of the text that the chunks make up."""
+        out, done = array("I"), 0
+        last = None  # the chunk at the end of ``out``, if it stands there as it was encoded
+        for data in parts:
+            c = self.chunks[data]
+            if out:
+                self.welds += 1
+                span = self.spans.get(last.tail[0] + c.head[0]) if last and last.tail and c.head else None
+                if span is not None:
+                    a, b = last.tail[1], 4 * c.head[1]
+                    if span[:4] == last.ids[-4 * a :][:4] and span[-4:] == c.ids[b - 4 : b]:
+                        del out[-a:]
+                        out.frombytes(span)
+                        out.frombytes(c.ids[b:])
+                        last, done = c, done + 1
+                        continue
+                taken = self.weld(out, parts, done, c)
+                last = c if c.tail and 4 * (taken + c.tail[1]) <= len(c.ids) else None
+            else:
+                out.frombytes(c.ids)
+                last = c
+            done += 1
         return out
 
+    def weld(self, out: array, parts: list[bytes], k: int, c: Chunk) -> int:
+        """Append chunk k to ``out``, the ids of the chunks before it, by spans that grow until both sides agree; how many of its ids the span replaced."""
+        right, size, reach = array("I"), self.sizes, GUARD
+        right.frombytes(c.ids)
+        while True:
+            # The text that may be needed of the left: enough chunks to hold its last tokens.
+            left, first = b"", k
+            a = at = 0
+            while a < len(out):
+                a += 1
+                at += size[out[-a]]
+                while len(left) < at + 4 and first > 0:
+                    first -= 1
+                    left = parts[first] + left
+                if a >= reach and at < len(left) and anchor(left + parts[k][:4], len(left) - at):
+                    break
+            if a == len(out):
+                at = len(left)
+            b = to = 0
+            ahead = parts[k] + (parts[k + 1][:4] if k + 1 < len(parts) else b"")
+            while b < len(right):
+                to += size[right[b]]
+                b += 1
+                if b >= reach and to < len(parts[k]) and anchor(ahead, to):
+                    break
+            (span,) = self.base.library([(left[len(left) - at :] + parts[k][:to]).decode()])
+            if (a == len(out) or span[0] == out[-a]) and (b == len(right) or span[-1] == right[b - 1]):
+                del out[-a:]
+                out.extend(span)
+                out.extend(right[b:])
+                return b
+            self.grown += 1
+            reach *= 2
+
+    @property
+    def sizes(self) -> list[int]:
+        """Bytes of each id."""
+        if self._sizes is None:
+            self._sizes = list(map(len, self.pieces))
+        return self._sizes
+
     @property
     def pieces(self) -> list[bytes]:
         """The bytes of each id."""

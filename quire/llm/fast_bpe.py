@@ -26,6 +26,7 @@ ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]"
 UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
+MOST_CHARS = 12_000_000
 #: Texts for which lower-casing and composition are plain and letters are told from others by range.
 LATIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*\Z")
 #: The words of such a text, lower-cased.
@@ -56,6 +57,7 @@ class EndedWords:
         letters = byte_letters()
         self.spell = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def learn(self, words: list[str]) -> None:
         table = str.maketrans(self.spell)
@@ -70,8 +72,9 @@ class EndedWords:
 
     def encode(self, texts: list[str | None], most: int) -> list[array | None]:
         """Ids of the texts, None for those that this way doesn't cover."""
-        if len(self.known) > most:
-            for word in list(self.known)[: len(self.known) // 2]:
+        if len(self.known) > most or self.chars > MOST_CHARS:
+            for word in list(self.known)[: -(-len(self.known) // 2)]:
+                self.chars -= len(word)
                 del self.known[word]
         get, new, rows = self.known.get, set(), []
         for text in texts:
@@ -83,6 +86,7 @@ class EndedWords:
             gaps = [k for k, x in enumerate(found) if x is None] if None in found else []
             new.update([words[k] for k in gaps])
             rows.append((found, [(k, words[k]) for k in gaps]))
+        self.chars += sum(map(len, new))
         self.learn(list(new))
         out: list[array | None] = []
         for row in rows:
@@ -102,13 +106,14 @@ class UnitEncoder:
     """``encode(texts)`` gives an ``array('I')`` of ids for each text.
 
     ``keep_space``: white space before a word belongs to its unit (byte-level
-    vocabularies); else it is dropped. ``most_units`` bounds the cache; beyond it
-    the older half goes, which costs time only.
+    vocabularies); else it is dropped. ``most_units`` and ``most_chars`` bound the
+    cache; beyond them the older half goes, which costs time only.
     """
 
-    def __init__(self, path: str, keep_space: bool, most_units: int = 700_000) -> None:
+    def __init__(self, path: str, keep_space: bool, most_units: int = 600_000, most_chars: int = 12_000_000) -> None:
         from tokenizers import Tokenizer
 
+        self.most_chars, self.chars = most_chars, 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -125,10 +130,12 @@ class UnitEncoder:
     def learn(self, units: set[str]) -> dict[str, bytes]:
         """The cache (unit to its ids as bytes), with all of ``units`` in it."""
         known = self.known
-        if len(known) > self.most:
-            for unit in list(known)[: len(known) // 2]:
+        if len(known) > self.most or self.chars > self.most_chars:
+            for unit in list(known)[: -(-len(known) // 2)]:
+                self.chars -= len(unit)
                 del known[unit]
         new = [u for u in units if u not in known]
+        self.chars += sum(map(len, new))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -155,7 +162,7 @@ class UnitEncoder:
 _ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool, most_units: int = 700_000) -> UnitEncoder:
+def encoder(path: str, keep_space: bool, most_units: int = 600_000) -> UnitEncoder:
     """This worker's encoder; its cache serves all tasks of the worker."""
     key = (path, keep_space, most_units)
     if key not in _ENCODERS:
