@@ -12,32 +12,38 @@ Level k holds bits 8k .. 8k+7 of every id that reaches it. Token p is byte p of
 level 0; if its bit is set, it goes on at entry rank1(bitmap, p) of level 1, and so
 on: at most four lookups, and no block is decoded.
 
-Documents are dealt by range of doc_id and sorted (the text moves once), then each
-task encodes its documents and writes its shards to the shared folder under a
-temporary name and renames them. Names follow from the partition alone, so a task
-that is run again replaces its own files with equal ones. The manifest (one row a
-shard) is written as a table; offsets are prefix sums over it.
+Documents are dealt by range of doc_id and a hash of the text and sorted (the text
+moves once; rows of one id may lie in several ranges, so a repeated id is no hot
+task), then each task encodes its documents and writes its shards to the shared
+folder under a temporary name and renames them. Names follow from the partition
+alone, so a task that is run again replaces its own files with equal ones; a task
+that fails deletes what it had begun. The manifest (one row a shard) is written as
+a table; offsets are prefix sums over it. ``Shard.open`` reads a stored shard's
+tokens by ranges of bytes, without loading the file.
 
 Cases: a null text is encoded as empty (its end id alone). A null id sorts first
-and is stored as the smallest long; read() gives it back as null. Repeated ids
-keep all their rows; rows of equal id are ordered by text. An empty table gives
-no shard. Texts of any length are whole, as one document never spans shards.
+and is stored as the smallest long; read() gives it back as null. Ids must be
+integers (else TypeError, before any work). Repeated ids and rows keep all their
+rows; rows of equal id are ordered by a hash of their text. An empty table gives no
+shard and an empty result. Texts of any length are whole, as one document never
+spans shards. Only the id and the text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, materialize, prepare, shared_dir, slices, table
+from quire.llm.common import col, integer_ids, materialize, prepare, shared_dir, slices, table
 from quire.llm.fast_bpe import encoder
 
 MAGIC = b"QDAC1\0\0\0"
@@ -80,42 +86,51 @@ def dump(doc_ids: Sequence[int], counts: Sequence[int], ids: np.ndarray) -> byte
 
 
 class Shard:
-    """Random access to a shard's tokens and documents."""
+    """Random access to a shard's tokens and documents through ``fetch(at, size)``, which gives bytes of the file."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:8] != MAGIC:
+    def __init__(self, fetch: Callable[[int, int], bytes]) -> None:
+        self.fetch = fetch
+        if bytes(fetch(0, 8)) != MAGIC:
             raise ValueError("not a shard of token ids")
-        levels, docs, self.n_tokens = struct.unpack_from("<IIQ", data, 8)
-        at = 24
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.starts = np.frombuffer(data, "<u8", docs + 1, at + 8 * docs).astype(np.int64)
-        at += 8 * (2 * docs + 1)
-        self.levels = []
+        levels, docs, self.n_tokens = struct.unpack("<IIQ", fetch(8, 16))
+        self.doc_ids = np.frombuffer(fetch(24, 8 * docs), "<i8")
+        self.starts = np.frombuffer(fetch(24 + 8 * docs, 8 * (docs + 1)), "<u8").astype(np.int64)
+        at = 24 + 8 * (2 * docs + 1)
+        self.levels = []  # where the bytes, the bitmap and the rank directory of each level begin
         for _ in range(levels):
-            (n,) = struct.unpack_from("<Q", data, at)
-            words, blocks = -(-n // 64), -(-n // BLOCK)
-            low = np.frombuffer(data, np.uint8, n, at + 8)
-            bits = np.frombuffer(data, np.uint8, 8 * words, at + 8 + n)
-            ranks = np.frombuffer(data, "<u4", blocks + 1, at + 8 + n + 8 * words)
-            self.levels.append((low, bits, ranks))
-            at += 8 + n + 8 * words + 4 * (blocks + 1)
+            (n,) = struct.unpack("<Q", fetch(at, 8))
+            bits = at + 8 + n
+            ranks = bits + 8 * -(-n // 64)
+            self.levels.append((at + 8, bits, ranks))
+            at = ranks + 4 * (-(-n // BLOCK) + 1)
+
+    @classmethod
+    def load(cls, data: bytes) -> Shard:
+        view = memoryview(data)
+        return cls(lambda at, size: view[at : at + size])
+
+    @classmethod
+    def open(cls, uri: str) -> Shard:
+        """A stored shard, of which only what is asked for is read."""
+        store, path = filesystem(uri)
+        file = store.open_input_file(path)
+        return cls(lambda at, size: file.read_at(size, at))
 
     def rank(self, level: int, p: int) -> int:
         """Ones before bit ``p``: the directory's entry and at most one block's popcount."""
         _, bits, ranks = self.levels[level]
         block = p // BLOCK
-        base, part = block * (BLOCK // 8), bits[block * (BLOCK // 8) : p // 8]
-        extra = int(np.bitwise_count(part).sum()) if len(part) else 0
-        if p % 8:
-            extra += (int(bits[base + len(part)]) & ((1 << p % 8) - 1)).bit_count()
-        return int(ranks[block]) + extra
+        (ones,) = struct.unpack("<I", self.fetch(ranks + 4 * block, 4))
+        first = block * (BLOCK // 8)
+        part = int.from_bytes(self.fetch(bits + first, p // 8 + 1 - first), "little") if p % BLOCK else 0
+        return ones + (part & ((1 << p % BLOCK) - 1)).bit_count()
 
     def token(self, p: int) -> int:
         value = shift = level = 0
         while True:
             low, bits, _ = self.levels[level]
-            value |= int(low[p]) << shift
-            if not bits[p // 8] >> (p % 8) & 1:
+            value |= self.fetch(low + p, 1)[0] << shift
+            if not self.fetch(bits + p // 8, 1)[0] >> (p % 8) & 1:
                 return value
             p, level, shift = self.rank(level, p), level + 1, shift + 8
 
@@ -126,9 +141,9 @@ class Shard:
         for level, (low, bits, _) in enumerate(self.levels):
             if stop <= start:
                 break
-            out[live] |= low[start:stop].astype(np.uint32) << np.uint32(8 * level)
+            out[live] |= np.frombuffer(self.fetch(low + start, stop - start), np.uint8).astype(np.uint32) << np.uint32(8 * level)
             first = start // 8
-            flags = np.unpackbits(bits[first : -(-stop // 8)], bitorder="little")[start - 8 * first :][: stop - start].astype(bool)
+            flags = np.unpackbits(np.frombuffer(self.fetch(bits + first, -(-stop // 8) - first), np.uint8), bitorder="little")[start - 8 * first :][: stop - start].astype(bool)
             live = live[flags]
             start = self.rank(level, start) if len(live) else 0
             stop = start + len(live)
@@ -147,7 +162,8 @@ def write(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
         path = public_tokenizers.path("word_bpe_49k.json")
     folder = folder or f"{shared_dir(spark)}/quire-dac-{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    rows = df.select(integer_ids(df, id_col).alias("id"), col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,9 +180,15 @@ def write(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
 
         def flush() -> None:
             name = f"part-{part:06d}-{len(rows):06d}.dac"
-            with store.open_output_stream(f"{root}/.{name}.{tries}") as out:
-                out.write(dump(doc_ids, counts, np.frombuffer(ids, np.uint32)))
-            store.move(f"{root}/.{name}.{tries}", f"{root}/{name}")
+            begun = f"{root}/.{name}.{tries}"
+            try:
+                with store.open_output_stream(begun) as out:
+                    out.write(dump(doc_ids, counts, np.frombuffer(ids, np.uint32)))
+                store.move(begun, f"{root}/{name}")
+            except BaseException:
+                with contextlib.suppress(OSError):
+                    store.delete_file(begun)
+                raise
             rows.append((part, len(rows), f"{folder}/{name}", len(counts), sum(counts)))
 
         for batch in batches:
@@ -200,7 +222,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for uri, base in zip(batch.column("uri").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 store, name = filesystem(uri)
                 with store.open_input_stream(name) as stream:
-                    shard = Shard(stream.read())
+                    shard = Shard.load(stream.read())
                 sizes = np.diff(shard.starts)
                 crc = [zlib.crc32(shard.document(i).tobytes()) for i in range(len(sizes))]
                 key = pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID)
