@@ -44,6 +44,7 @@ TRAIN_ROWS = 8000
 MOST_LANDMARKS = 2000
 RIDGE = 1e-3
 SHARPNESS = 8.0
+NEAREST = 5
 _LETTER = re.compile(r"[^\W\d_]")
 _PRIME = (2654435761, 2246822519, 3266489917, 668265263)
 
@@ -87,8 +88,13 @@ class Kernel:
         own = np.sqrt(np.maximum(found.sum(1, dtype=np.float32), 1))[:, None]
         return (found.astype(np.float32) @ self.landmarks) / own / self.norms
 
-    def outputs(self, texts: Sequence[str]) -> np.ndarray:
-        return self.rows(presence(texts, self.orders, self.features)) @ self.weights
+    def near(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel rows, and their mean over the NEAREST landmarks beyond what texts of that many n-grams share by chance."""
+        found = presence(texts, self.orders, self.features)
+        rows = self.rows(found)
+        chance = np.sqrt(found.sum(1, dtype=np.float32))[:, None] * self.norms / self.features
+        k = min(NEAREST, rows.shape[1])
+        return rows, np.maximum(np.partition(rows - chance, -k, axis=1)[:, -k:].mean(1), 0).astype(np.float64)
 
 
 def fit_kernel(bits: np.ndarray, langs: list[str], orders: int = ORDERS, features: int = FEATURES, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel | None:
@@ -140,23 +146,24 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def classify(df: DataFrame, kernel: Kernel | None, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and output, the best class's raw output (about 1: like its texts, -1: like none; null for und)."""
-    fields = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("output", T.DoubleType())])
+    """Adds lang_pred, score (0 to 1) and likeness, the kernel with the nearest landmarks beyond chance (0: like no language learned)."""
+    fields = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("likeness", T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(kernel)
 
     def factory():
         model = sent.value
 
         def work(texts):
-            lang, score, raw = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            lang, score, like = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             if known:
-                out = model.outputs([texts[i] for i in known]).astype(np.float64)
+                near, likeness = model.near([texts[i] for i in known])
+                out = (near @ model.weights).astype(np.float64)
                 p = np.exp(SHARPNESS * (out - out.max(1, keepdims=True)))
                 p /= p.sum(1, keepdims=True)
-                for i, best, s, f in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), out.max(1).tolist(), strict=True):
-                    lang[i], score[i], raw[i] = model.languages[best], min(1.0, s), f
-            return lang, score, raw
+                for i, best, s, f in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), likeness.tolist(), strict=True):
+                    lang[i], score[i], like[i] = model.languages[best], min(1.0, s), f
+            return lang, score, like
 
         return work
 

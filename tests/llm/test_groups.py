@@ -138,54 +138,85 @@ def test_copies_of_one_fingerprint_and_one_vector(spark):
     assert top[:] == (33_334, 0, 0)
 
 
-def test_mixing(docs, rows, empty):
-    got = mixing.mix(docs, block=2, parts=10, weights={"a": 3, "c": 1}).orderBy("position").collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
-    assert {"text", "score", "fp", "component_id"} <= set(got[0].asDict())
+def checked_lags(order, weights):
+    """Shares kept within one block of the asked weights until a source has no block left."""
+    left, seen = Counter(order), Counter()
+    total = sum(weights[s] for s in left)
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - t * weights[x] / total) < 1 for x in left), (t, s)
+        if any(seen[x] == left[x] for x in left):
+            return t
+
+
+def slots_of(got):
     slots = {}
     for r in got:
         assert slots.setdefault(r["slot"], r["source"]) == r["source"]
         assert r["release"] <= r["slot"] < r["deadline"]
     assert sorted(slots) == list(range(len(slots)))
-    order = [slots[k] for k in range(len(slots))]
-    left, seen = Counter(order), Counter()
-    part = dict(zip([None, "a", "b", "c"], mixing.apportion([1, 3, 1, 1], 10), strict=True))
-    for t, s in enumerate(order, 1):  # the first phase: until a source has no block left
-        seen[s] += 1
-        assert all(abs(seen[x] - t * part[x] / 10) < 1 for x in left)
-        if any(seen[x] == left[x] for x in left):
-            break
+    return [slots[k] for k in range(len(slots))]
+
+
+def test_mixing(docs, rows, empty):
+    for weights in (None, {"a": 3, None: 0.7, "c": 1}):
+        got = mixing.mix(docs, block=2, weights=weights).orderBy("position").collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+        assert {"text", "score", "fp", "component_id"} <= set(got[0].asDict())
+        asked = {None: Fraction(1), "a": Fraction(1), "b": Fraction(1), "c": Fraction(1)} | {k: Fraction(str(v)) for k, v in (weights or {}).items()}
+        assert checked_lags(slots_of(got), asked) >= 2
     assert mixing.mix(empty).count() == 0
+    assert mixing.mix(docs.withColumnRenamed("rank", "Position")).columns[-1] == "position"
 
 
 def test_schedules_keep_every_lag_below_one():
     for parts in ([1, 1, 1], [5, 3, 2], [97, 2, 1], [33, 33, 33, 1], [1]):
         total, seen = sum(parts), Counter()
-        for t, s in enumerate(mixing.period(parts), 1):
+        for t, s in enumerate(mixing.slots(parts), 1):
             seen[s] += 1
             assert all(abs(seen[k] * total - t * a) < total for k, a in enumerate(parts))
         assert all(seen[k] == a for k, a in enumerate(parts))
 
 
+def planned(blocks, weights, most=mixing.MOST_PLACES):
+    """Sources in the order of their slots, for each source's blocks and weight."""
+    shares = sorted(set(weights))
+    members = [[i for i in sorted(range(len(blocks)), key=lambda i: (-blocks[i], i)) if weights[i] == w] for w in shares]
+    plan = mixing.Plan([Counter(blocks[i] for i in m) for m in members], shares, most)
+    held = {(k, p, c): s for k, p, c, s in plan.make()}
+    order = {}
+    for k, m in enumerate(members):
+        for rank, i in enumerate(m):
+            j = np.arange(blocks[i])
+            for r in plan.places(np.full(len(j), k), j, np.full(len(j), rank)).itertuples():
+                slot = r.slot if r.slot >= 0 else held[k, r.phase, r.at // mixing.CHUNK][r.at % mixing.CHUNK]
+                assert slot not in order and r.release <= slot < r.deadline
+                order[slot] = i
+    assert sorted(order) == list(range(sum(blocks)))
+    return [order[t] for t in range(len(order))]
+
+
 def test_mixing_keeps_to_the_asked_weights_over_many_slots(spark):
-    cases = [([Fraction(1)] * 21, [3000] * 21), ([Fraction(1)] * 3, [20_000] * 3), ([Fraction(1, 5000), Fraction("0.3"), Fraction("0.123456789012345")], [9, 30_000, 20_000]), ([Fraction(1, 7), Fraction(2, 3)], [4, 50])]
+    rng = np.random.default_rng(1)
+    cases = [
+        ([Fraction(1)] * 21, [300] * 21), ([Fraction(1)] * 3, [7000] * 3), ([Fraction(1, 5000), Fraction("0.3"), Fraction("0.123456789012345")], [9, 9000, 7000]), ([Fraction(1, 7), Fraction(2, 3)], [4, 50]),
+        ([Fraction(1, 3), Fraction("0.12345"), Fraction("0.00001"), *[Fraction(1)] * 7], [500, 300, 3, *rng.integers(100, 900, 7).tolist()]), ([Fraction(1)] * 1001, rng.integers(1, 6, 1001).tolist()), ([Fraction(1 + i % 3, 7) for i in range(60)], rng.integers(20, 60, 60).tolist()),
+    ]
     for weights, blocks in cases:
-        slots, windows = {}, []
-        for i, f, last, start, a, p, c, places, releases, deadlines in mixing.schedule(blocks, mixing.exact(weights)):
-            for j in range(f, last + 1):
-                at = (j - f) % a - c
-                if 0 <= at < len(places):
-                    base = start + p * ((j - f) // a)
-                    slots[base + places[at]] = i
-                    windows.append(base + releases[at] <= base + places[at] < base + deadlines[at])
-        assert sorted(slots) == list(range(sum(blocks))) and all(windows)
-        assert Counter(slots.values()) == dict(enumerate(blocks))
-        share, seen = [w / sum(weights) for w in weights], Counter()
-        for t in range(len(slots)):
-            seen[slots[t]] += 1
-            assert all(abs(seen[i] * x.denominator - (t + 1) * x.numerator) < x.denominator for i, x in enumerate(share))
-            if any(seen[i] == n for i, n in enumerate(blocks)):
-                break
+        for most in (mixing.MOST_PLACES, 50):
+            order = planned(blocks, weights, most)
+            assert Counter(order) == dict(enumerate(blocks))
+            if len(blocks) < 100:
+                assert checked_lags(order, dict(enumerate(weights))) > 3
+    held = mixing.Plan([Counter(rng.integers(1, 6, 1001).tolist())], [Fraction(1)])
+    assert not list(held.make()) and sum(len(x) for r in held.rounds for x in r) < 30  # what the driver holds doesn't grow with sources
     df = spark.range(3000).selectExpr("id doc_id", "case when id % 10 = 0 then 'a' when id % 3 = 0 then 'b' else 'c' end source")
-    got = mixing.mix(df, block=1, weights={"a": 0.10007, "b": 0.30011}).orderBy("position").collect()
-    assert [r["slot"] for r in got] == list(range(3000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    for most in (1 << 20, 100):
+        got = mixing.mix(df, block=1, weights={"a": 0.10007, "b": 0.30011}, most_places=most).orderBy("position").collect()
+        assert checked_lags(slots_of(got), {"a": Fraction("0.10007"), "b": Fraction("0.30011"), "c": Fraction(1)}) > 900
+
+
+def test_mixing_of_many_sources(spark):
+    df = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 1500)) source")
+    got = mixing.mix(df, block=4).orderBy("position").collect()
+    assert len(got) == 5000 and len(set(slots_of(got)[:1001])) == 1001

@@ -21,7 +21,10 @@ def labels(spark, rows):
     return spark.createDataFrame([*made, (None, 1, 1), (3, None, None), (5, 7, 7)], "doc_id long, quality int, toxic int")
 
 
-def test_language(docs, rows, empty):
+OTHER = ["Привет, мир, как дела сегодня в этом большом городе " * 5, "中文文本在这里，我们说中文。", "Ελληνικά γράμματα εδώ και εκεί"]
+
+
+def test_language(spark, docs, rows, empty):
     kernel = language_id.train(docs.filter(crc_mod("doc_id", 4) != 2))
     got = language_id.classify(docs, kernel).collect()
     assert len(got) == len(rows)
@@ -31,6 +34,10 @@ def test_language(docs, rows, empty):
             assert r["lang_pred"] == r["lang"], r
         if r["doc_id"] in (120, 121, 122, 123):
             assert r["lang_pred"] == "und"
+    other = spark.createDataFrame([(k, t) for k, t in enumerate(OTHER)], "doc_id int, text string")
+    assert all(r["likeness"] < 0.06 for r in language_id.classify(other, kernel).collect())
+    assert all(r["likeness"] > 0.1 for r in got if r["doc_id"] is not None and r["doc_id"] < 120)
+    assert not any(map(language_id.has_letter, ("½ ² 12", "", None))) and language_id.has_letter("1 ª")
     assert language_id.train(empty) is None
     assert language_id.classify(empty, None).count() == 0
     assert {r["lang_pred"] for r in language_id.classify(docs.limit(3), None).collect()} == {"und"}
@@ -142,7 +149,9 @@ def test_pipeline(spark, rows, labels, tmp_path):
             out = spark.read.parquet(str(tmp_path / f"stage{k}"))
             got = Counter(map(tuple, out.collect()))
         if k == 0:
-            want = Counter(r for r in kept if language_id.has_letter(r[1]))
+            seen = language_id.classify(docs, language_id.train(docs)).collect()
+            want = Counter(tuple(r)[:5] for r in seen if language_id.has_letter(r["text"]) and r["likeness"] >= 0.06)
+            assert sum(want.values()) >= len([r for r in kept if language_id.has_letter(r[1])]) - 3
             assert got == want
         elif k == 1:
             model = rule_ensemble.train(docs, labels)
