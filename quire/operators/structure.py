@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_upper, split_lines, split_newline, strip, word_count
+from quire.functions.text import bound, few_words, is_upper, split_lines, split_newline, strip
 
 FULL_DOCUMENT = "Full Document"
 INTRODUCTION = "Introduction"
@@ -24,8 +24,10 @@ SECTION_HEADING_BELOW = 80
 
 def line_class(line: Column) -> Column:
     """B blank, H heading, S short (no more than three words, no closing mark), else L."""
-    heading = is_upper(line) | line.rlike(NAMED_HEADING) | line.rlike(NUMBERED_HEADING)
-    short = (word_count(line) <= 3) & ~line.rlike(r"[.?!:]\z")
+    named = F.substring(line, 1, 8).rlike(NAMED_HEADING)  # no name is longer
+    numbered = F.substring(line, 1, 1).rlike(r"(?U)\d") & line.rlike(NUMBERED_HEADING)
+    heading = named | numbered | is_upper(line)
+    short = ~F.substring(line, -1, 1).isin(".", "?", "!", ":") & few_words(line, 3)
     return F.when(line == "", "B").when(heading, "H").when(short, "S").otherwise("L")
 
 
@@ -35,8 +37,7 @@ def cleaned(text: Column) -> Column:
     A line continues the one before if that is short and itself is neither blank
     nor a heading; it is joined by a space then, by a newline otherwise.
     """
-    lines = F.transform(split_lines(text), lambda x: F.struct(strip(x).alias("s")))
-    classed = F.transform(lines, lambda x: F.struct(x["s"].alias("s"), line_class(x["s"]).alias("k")))
+    classed = F.transform(F.transform(split_lines(text), strip), lambda s: F.struct(s.alias("s"), line_class(s).alias("k")))
 
     def joined(these: Column) -> Column:
         def glue(x: Column, i: Column) -> Column:
@@ -45,8 +46,7 @@ def cleaned(text: Column) -> Column:
 
         return F.array_join(F.transform(these, glue), "")
 
-    # A one-element array binds the classed lines, so that they are computed once.
-    return strip(F.get(F.transform(F.array(classed), joined), F.lit(0)))
+    return bound(bound(classed, joined), strip)
 
 
 def clean(df: DataFrame, text_col: str = "text", out: str = "cleaned") -> DataFrame:
@@ -73,13 +73,13 @@ def sections_of(text: Column, fallback: Column) -> Column:
     parts = F.split(F.concat(F.lit("\n"), F.array_join(marked, "\n")), "\n\n", -1)
 
     def section(part: Column, i: Column) -> Column:
-        title = F.when(i == 0, INTRODUCTION).otherwise(F.substring_index(part, "\n", 1))
-        content = F.regexp_replace(part, r"^[^\n]*\n?", "")
-        return F.struct(title.alias("subtitle"), content.alias("content"))
+        first = F.substring_index(part, "\n", 1)
+        title = F.when(i == 0, INTRODUCTION).otherwise(first)
+        return F.struct(title.alias("subtitle"), F.substring(part, F.length(first) + 2, F.length(part)).alias("content"))
 
     found = F.filter(F.transform(parts, section), lambda x: x["content"] != "")
     whole = F.array(F.struct(fallback.alias("subtitle"), strip(text).alias("content")))
-    return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, whole).otherwise(x)), F.lit(0))
+    return bound(found, lambda x: F.when(F.size(x) == 0, whole).otherwise(x))
 
 
 def split_sections(df: DataFrame, text_col: str = "text", title: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -35,7 +35,6 @@ TRAINING = (
     ("WORKING INSTRUCTION", "Instructions for operating the scanning machine"),
     ("WORKING INSTRUCTION", "Refer to this guide when using the document portal"),
 )
-TOKEN = r"(?U)\b\w\w+\b"
 
 
 class TagModel:
@@ -95,13 +94,17 @@ def scores(text: Column, model: TagModel | None = None) -> Column:
     """array<double>: the decision value of each label, in label order."""
     model = model or train()
     words = list(model.idf)
-    vocabulary = F.array(*[F.lit(w) for w in words])
     # For each word idf, then idf times the label's weight.
     values = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*[F.lit(model.idf[w] * v) for v in (1.0, *model.weights[w])]))])
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+    # Only the vocabulary's words are taken from the text: a whole token is a run of word characters.
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(re.escape(w[1:]))
+    known = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(first.items()))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?:{known})\b"), F.lit(0))
 
     def scored(all_: Column) -> Column:
-        terms = F.transform(F.array_intersect(all_, vocabulary), lambda w: F.struct(F.size(F.filter(all_, lambda t: t == w)).cast("double").alias("n"), F.element_at(values, w).alias("v")))
+        terms = F.transform(F.array_distinct(all_), lambda w: F.struct(F.size(F.filter(all_, lambda t: t == w)).cast("double").alias("n"), F.element_at(values, w).alias("v")))
 
         def of(terms: Column) -> Column:
             total = lambda k: F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["n"] * t["v"][k])

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import strip
+from quire.functions.text import diff_or_note, preview, strip
 from quire.operators.diffs import unified
 from quire.operators.entities import FOREIGN_KEYS, STATUSES
 from quire.operators.listings import can_upload
@@ -103,7 +103,9 @@ def fold_edits(sections: DataFrame, events: DataFrame, model: TagModel | None =
     Every event snapshots the version before it, also if it changes nothing. A key that
     was given replaces the value, null included; others keep it. Content that was
     given is tagged again, blank or not. Versions count up from the section's own.
+    Events that ``valid_edits`` refuses are left out.
     """
+    events, _ = valid_edits(events)
     start = sections.select(F.col("id").alias("section_id"), F.lit(None).cast("int").alias("seq"), *[F.lit(True).alias(flag) for _, flag in EDITABLE], "subtitle", "content", "page_number", "order", F.lit(None).cast("long").alias("actor"), F.lit(None).cast("timestamp").alias("ts"), F.col("tag").alias("tag"), F.lit(False).alias("retag"), F.col("version").alias("base"))
     asked = events.join(sections.select(F.col("id").alias("section_id")), "section_id", "left_semi")
     asked = tag(asked, untag_blank=False, model=model).withColumn("retag", F.coalesce("has_content", F.lit(False)))
@@ -140,6 +142,11 @@ def submit_revisions(revisions: DataFrame, sections: DataFrame, uploads: DataFra
     return append(revisions, new)
 
 
+def submitted(revisions: DataFrame) -> DataFrame:
+    """What submitters see of revisions: the status and the first 500 characters of the diff, or a note if it is empty."""
+    return revisions.select("id", "status", preview(diff_or_note(F.col("diff_text")), 500).alias("diff_preview"))
+
+
 def allowed_uploads(uploads: DataFrame, users: DataFrame, sections: DataFrame, manuals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uploads, refused ones): a file is needed, and submitter and manual must be of one department, staff or not."""
     good, bad = require(uploads, "uploaded_file")
@@ -168,12 +175,14 @@ def approval_events(reviews: DataFrame, revisions: DataFrame, texts: DataFrame)
     """
     found = reviews.filter("status = 'approved'").select("id", "seq", "ts").join(revisions.select("id", "section_id", "submitted_by_id", "uploaded_file"), "id").join(texts, "uploaded_file")
     none = F.lit(False)
-    return found.filter("error is null").select("section_id", "seq", none.alias("has_subtitle"), F.lit(None).cast("string").alias("subtitle"), F.lit(True).alias("has_content"), F.col("text").alias("content"), none.alias("has_page"), F.lit(None).cast("int").alias("page_number"), none.alias("has_order"), F.lit(None).cast("int").alias("order"), F.col("submitted_by_id").alias("actor"), "ts")
+    return found.filter("error is null and text is not null").select("section_id", "seq", none.alias("has_subtitle"), F.lit(None).cast("string").alias("subtitle"), F.lit(True).alias("has_content"), F.col("text").alias("content"), none.alias("has_page"), F.lit(None).cast("int").alias("page_number"), none.alias("has_order"), F.lit(None).cast("int").alias("order"), F.col("submitted_by_id").alias("actor"), "ts")
 
 
 def failed_approvals(reviews: DataFrame, revisions: DataFrame, texts: DataFrame) -> DataFrame:
-    found = reviews.filter("status = 'approved'").select("id", "seq").join(revisions.select("id", "uploaded_file"), "id").join(texts.select("uploaded_file", "error"), "uploaded_file", "left")
-    return found.filter("error is not null").select("id", "seq", "error")
+    """Approving reviews that change nothing, as the file couldn't be read, has no text or is gone."""
+    known = texts.select("uploaded_file", F.when(F.col("error").isNull() & F.col("text").isNull(), "no text").otherwise(F.col("error")).alias("error"), F.lit(True).alias("__there"))
+    found = reviews.filter("status = 'approved'").select("id", "seq").join(revisions.select("id", "uploaded_file"), "id").join(known, "uploaded_file", "left")
+    return found.select("id", "seq", F.when(F.col("__there").isNull(), "file not found").otherwise(F.col("error")).alias("error")).filter("error is not null")
 
 
 def delete(tables: Mapping[str, DataFrame], entity: str, keys: DataFrame) -> dict[str, DataFrame]:

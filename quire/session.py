@@ -60,11 +60,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests on one machine, a temporary folder is made and set;
+    on a cluster a missing setting is an error, as executors don't see the driver's.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_quire_shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = Path(tempfile.mkdtemp(prefix="quire-shared-")).as_uri()
         spark.sparkContext._quire_shared = folder
         spark.sparkContext.setCheckpointDir(folder)

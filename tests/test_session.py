@@ -17,3 +17,13 @@ def test_ship_once(spark):
     ship(spark)
     ship(spark)
     assert spark.sparkContext._quire_shipped
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    context = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context))

@@ -1,6 +1,7 @@
 """Golden cases and properties of cleanup, sectioning, tags and diffs."""
 
 import difflib
+import itertools
 import re
 
 import pytest
@@ -59,16 +60,16 @@ def python_clean(text):
 
 
 def python_sections(text, title):
-    out, name, body = [], None, []
-    for line in filter(None, (x.strip() for x in text.split("\n"))):
-        if len(line) < 80 and any(re.match(p, line) for p in (r"\d+[\.\)]\s+\w+", r"[A-Z][A-Z\s]{2,60}$", r"[A-Z][a-z]+(\s[A-Z][a-z]+){0,6}$")):
-            out += [(name, "\n".join(body))] if body else []
-            name, body = line, []
-        else:
-            name = name or "Introduction"
-            body.append(line)
-    out += [(name, "\n".join(body))] if body else []
-    return out or [(title, text.strip())]
+    patterns = (r"\d+[\.\)]\s+\w+", r"[A-Z][A-Z\s]{2,60}$", r"[A-Z][a-z]+(\s[A-Z][a-z]+){0,6}$")
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    heads = [len(x) < 80 and any(re.match(p, x) for p in patterns) for x in lines]
+    number = list(itertools.accumulate(heads))
+    found = []
+    for _, group in itertools.groupby(range(len(lines)), number.__getitem__):
+        head, *rest = group if heads[(group := list(group))[0]] else (None, *group)
+        if rest:
+            found.append(("Introduction" if head is None else lines[head], "\n".join(lines[k] for k in rest)))
+    return found or [(title, text.strip())]
 
 
 def run_clean(spark, texts):
@@ -109,6 +110,11 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("  a b\x1f", "x/Report.Final.PDF", "a\n\n b")], "s string, f string, t string")
     r = df.select(X.strip(F.col("s")), X.extension(F.col("f")), X.shown_lines(F.col("t")), X.status_label(F.lit("pending")), X.diff_or_note(F.lit("")), X.tag_colour(F.lit("zzz"), {"UNTAGGED": "grey", "POLICY": "red"})).first()
     assert list(r) == ["a b", "pdf", ["a", " b"], "Pending", "No changes detected.", "grey"]
+    spaces = [" a", "a\t", "\x1fé ", "é", "  ", "", "a b", "\u2003x\u2003", "~", "\x85"]
+    got = spark.createDataFrame(list(enumerate(spaces)), "i int, s string").orderBy("i").select(X.strip(F.col("s")), X.few_words(X.strip(F.col("s")), 1)).collect()
+    assert [r[0] for r in got] == [x.strip() for x in spaces] and [r[1] for r in got] == [len(x.split()) == 1 for x in spaces]
+    day = spark.sql("select timestamp '2024-03-05 10:00:00' t").select(X.shown_date(F.col("t")), X.status_badge(F.lit("pending"))).first()
+    assert list(day) == ["3/5/2024", "PENDING"]
 
 
 TAGGED = [

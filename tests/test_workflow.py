@@ -38,13 +38,14 @@ def test_version_fold(spark, world):
         {"section_id": 1, "seq": 2, "has_subtitle": True, "subtitle": "T", "actor": 2},
         {"section_id": 1, "seq": 3, "has_content": True, "content": "", "has_page": True, "page_number": 9},
         {"section_id": 99, "seq": 1, "has_content": True, "content": "lost"},
+        {"section_id": 1, "seq": 4, "has_content": True, "content": None},
     )
     now, past = workflow.fold_edits(world["section"], log)
     row = now.filter("id = 1").first()
     assert (row["subtitle"], row["content"], row["page_number"], row["version"], row["tag"]) == ("T", "", 9, 4, "PROCEDURE")
     assert now.filter("id = 2").first() == world["section"].filter("id = 2").first()
     assert [(r["version"], r["subtitle"], r["content"], r["edited_by_id"]) for r in past.orderBy("version").collect()] == [(1, "S", "c0", 1), (2, "S", "c1", 2), (3, "T", "c1", None)]
-    manuals = workflow.bump_manuals(world["manual"], world["section"], log)
+    manuals = workflow.bump_manuals(world["manual"], world["section"], workflow.valid_edits(log)[0])
     assert {r["id"]: r["version"] for r in manuals.collect()} == {1: 4, 2: 1}
     seen = listings.history(past, now, world["user"], 1).collect()
     assert [(r["version"], r["edited_by"]) for r in seen] == [(1, "ann"), (2, "bob"), (3, "N/A"), (4, "Current")]
@@ -62,7 +63,9 @@ def test_review_and_approval(spark, world):
     assert now.filter("id = 1").first()["content"] == "new text" and past.first()["edited_by_id"] == 1
     broken = spark.createDataFrame([("f.txt", None, "unreadable")], "uploaded_file string, text string, error string")
     assert workflow.approval_events(reviews, world["revision"], broken).isEmpty()
-    assert workflow.failed_approvals(reviews, world["revision"], broken).count() == 1
+    assert [r["error"] for r in workflow.failed_approvals(reviews, world["revision"], broken).collect()] == ["unreadable"]
+    assert [r["error"] for r in workflow.failed_approvals(reviews, world["revision"], broken.limit(0)).collect()] == ["file not found"]
+    assert workflow.failed_approvals(reviews, world["revision"], texts).isEmpty()
     with pytest.raises(workflow.Rejected):
         workflow.check_status("pending")
 
