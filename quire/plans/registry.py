@@ -10,17 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import extension, preview
+from quire.functions.text import extension, preview, shown_date, shown_lines, status_badge, status_label, tag_colour
 from quire.operators import listings, tagging, workflow
 from quire.operators.diffs import positional_rows, unified
+from quire.operators.entities import SCHEMAS
 from quire.operators.structure import clean, split_sections
 from quire.session import table
+from quire.sources import files
 
 # ---- text ------------------------------------------------------------------------
 
 _STRIP = r"E' \t\n\r\x0b\x0c'"
-_CLEAN_CTES = rf"""
-    split AS (SELECT doc_id, string_split(text, E'\n') AS a FROM documents WHERE text IS NOT NULL),
+def _clean_ctes(source: str) -> str:
+    return rf"""
+    split AS (SELECT doc_id, string_split(text, E'\n') AS a FROM {source} WHERE text IS NOT NULL),
     trimmed AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM split),
     numbered AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, a FROM trimmed),
     lines AS (SELECT doc_id, i, trim(a[i], {_STRIP}) AS s FROM numbered),
@@ -45,6 +48,23 @@ def _sections_ctes(source: str, text: str) -> str:
     sections AS (SELECT doc_id, ord, subtitle, content FROM full_ UNION ALL SELECT doc_id, 0, 'Full Document', trim(text, {_STRIP}) FROM body WHERE doc_id NOT IN (SELECT doc_id FROM full_))"""
 
 
+_HEADED_SQL = r"""headed AS (SELECT doc_id, lang, source, n_chars, E'1. Purpose\n\n' || text || E'\n\nSCOPE\n' || coalesce(source, '') || E' keeps this and the next line.\nchapter notes\n\nQuality Policy\n\nshort line\nwritten in ' || coalesce(lang, 'none') || ' and no other language' AS text FROM documents)"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with headings of all kinds around their text, as the texts themselves have next to none."""
+    parts = ["1. Purpose\n\n", F.col("text"), "\n\nSCOPE\n", F.coalesce("source", F.lit("")), " keeps this and the next line.\nchapter notes\n\nQuality Policy\n\nshort line\nwritten in ", F.coalesce("lang", F.lit("none")), " and no other language"]
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+
+
+def headed_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(_headed(spark, sf_dir)).select("doc_id", "cleaned")
+
+
+def headed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sections(clean(_headed(spark, sf_dir)), "cleaned")
+
+
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents")).select("doc_id", "cleaned")
 
@@ -66,9 +86,31 @@ def edit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.tag(table(spark, sf_dir, "documents"), "text", untag_blank=False).select("doc_id", "tag")
 
 
-_TAGS_SQL = f"WITH {_CLEAN_CTES}, {_sections_ctes('cleaned', 'cleaned')}, {tagging.oracle_scores('content', 'sections', 'doc_id, ord')} SELECT doc_id, ord, subtitle, CASE WHEN trim(content, {_STRIP}) = '' THEN 'UNTAGGED' ELSE tag END AS tag FROM sections JOIN tags USING (doc_id, ord)"
+_TAGS_SQL = f"WITH {_clean_ctes('documents')}, {_sections_ctes('cleaned', 'cleaned')}, {tagging.oracle_scores('content', 'sections', 'doc_id, ord')} SELECT doc_id, ord, subtitle, CASE WHEN trim(content, {_STRIP}) = '' THEN 'UNTAGGED' ELSE tag END AS tag FROM sections JOIN tags USING (doc_id, ord)"
 _EDIT_TAGS_SQL = f"WITH {tagging.oracle_scores('text', 'documents', 'doc_id')} SELECT doc_id, tag FROM documents JOIN tags USING (doc_id)"
 
+
+def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files with an invalid byte at the end, which reading drops; some have a type that isn't read."""
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "de", ".doc").otherwise(".TXT"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", name.alias("path"), F.concat(F.encode("text", "utf-8"), F.lit(bytearray(b"\xff"))).alias("content"))
+    return files.extract(raw).select("doc_id", "raw_text", F.col("error").isNotNull().alias("failed"))
+
+
+def upload_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads titled by their source: what upload, cleanup, sectioning and tagging insert; German files can't be read."""
+    made = clean(_headed(spark, sf_dir)).withColumn("file", F.concat(F.lit("manual-"), "doc_id"))
+    rows = made.select(F.col("doc_id").alias("id"), F.when(F.col("source") != "src1", F.col("source")).alias("title"), F.pmod("n_chars", F.lit(25)).cast("long").alias("department_id"), "file")
+    texts = made.select("file", F.when(F.col("lang") != "de", F.col("cleaned")).alias("text"), F.when(F.col("lang") == "de", "unreadable").alias("error"))
+    none = spark.createDataFrame([], SCHEMAS["manual"]), spark.createDataFrame([], SCHEMAS["section"])
+    _, sections, _ = workflow.upload_manuals(*none, rows, texts)
+    return sections.select("manual_id", "order", "subtitle", "content", "tag", "version")
+
+
+_UPLOAD_SQL = f"""WITH {_HEADED_SQL}, {_clean_ctes('headed')}, {_sections_ctes('cleaned', 'cleaned')}, {tagging.oracle_scores('content', 'sections', 'doc_id, ord')}
+    SELECT s.doc_id AS manual_id, s.ord AS "order", s.subtitle, s.content, CASE WHEN trim(s.content, {_STRIP}) = '' THEN 'UNTAGGED' ELSE tag END AS tag, 1 AS version
+    FROM sections s JOIN tags t ON s.doc_id = t.doc_id AND s.ord = t.ord JOIN documents d ON d.doc_id = s.doc_id WHERE d.lang <> 'de' AND d.source <> 'src1'"""
+
 # ---- versions and diffs --------------------------------------------------------------
 
 
@@ -89,6 +131,33 @@ def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("section_id", "version", unified(F.col("previous_content"), F.col("content")).alias("diff_text"))
 
 
+def unified_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified diffs of one-line texts: equal, emptied, filled and changed ones, all of which SQL can tell."""
+    first = _pairs(spark, sf_dir).select("section_id", "version", F.substring_index(F.coalesce("previous_content", F.lit("")), "\n", 1).alias("old"), F.substring_index("content", "\n", 1).alias("line"))
+    new = F.when(F.col("version") % 3 == 1, F.col("old")).when(F.col("version") % 4 == 2, "").otherwise(F.col("line"))
+    return first.withColumn("new", new).select("section_id", "version", unified(F.col("old"), F.col("new")).alias("diff_text"))
+
+
+_DIFF_LINES_SQL = r"""WITH p AS (SELECT conv_id AS section_id, turn AS version, split_part(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), E'\n', 1) AS old, split_part(text, E'\n', 1) AS line FROM conversations),
+    q AS (SELECT *, CASE WHEN version % 3 = 1 THEN old WHEN version % 4 = 2 THEN '' ELSE line END AS new FROM p)
+    SELECT section_id, version, CASE WHEN old = new THEN '' ELSE E'--- \n+++ \n@@ -' || CASE WHEN old = '' THEN '0,0' ELSE '1' END || ' +' || CASE WHEN new = '' THEN '0,0' ELSE '1' END || ' @@' || CASE WHEN old = '' THEN '' ELSE E'\n-' || old END || CASE WHEN new = '' THEN '' ELSE E'\n+' || new END END AS diff_text FROM q"""
+
+
+def submit_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-line revisions of suppliers' names as sections: the submission with its diff as the submitter sees it; those of other departments are refused."""
+    s = table(spark, sf_dir, "supplier")
+    sections = s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("manual_id"), F.col("s_name").alias("content"))
+    manuals = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("department_id"))
+    users = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_regionkey").cast("long").alias("department_id"))
+    text = F.when(F.col("s_suppkey") % 2 == 0, F.rpad("s_name", 600, "x")).otherwise(F.col("s_name"))
+    uploads = s.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("section_id"), F.col("s_suppkey").alias("submitted_by_id"), F.when(F.col("s_suppkey") % 5 != 0, "file.txt").alias("uploaded_file"), text.alias("text"), F.lit(None).cast("timestamp").alias("submitted_at"))
+    good, _ = workflow.allowed_uploads(uploads, users, sections, manuals)
+    return workflow.submitted(workflow.submit_revisions(spark.createDataFrame([], SCHEMAS["revision"]), sections, good))
+
+
+_SUBMIT_SQL = r"""SELECT s_suppkey AS id, 'pending' AS status, CASE WHEN s_suppkey % 2 = 0 THEN substring(E'--- \n+++ \n@@ -1 +1 @@\n-' || s_name || E'\n+' || rpad(s_name, 600, 'x'), 1, 500) ELSE 'No changes detected.' END AS diff_preview
+    FROM supplier JOIN nation m ON s_nationkey = m.n_nationkey JOIN customer ON c_custkey = s_suppkey JOIN nation u ON c_nationkey = u.n_nationkey WHERE s_suppkey % 5 <> 0 AND m.n_regionkey = u.n_regionkey"""
+
 _PAIRS_SQL = "SELECT conv_id AS section_id, turn AS version, text AS content, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_content FROM conversations"
 _POSITIONAL_SQL = rf"""WITH pairs AS ({_PAIRS_SQL}),
     arrays AS (SELECT section_id, version, string_split(coalesce(previous_content, ''), E'\n') AS a, string_split(coalesce(content, ''), E'\n') AS b FROM pairs),
@@ -131,7 +200,7 @@ def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def version_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, _ = workflow.fold_edits(*_edits(spark, sf_dir))
-    return now.select("id", "subtitle", "content", "page_number", "version")
+    return now.select("id", "subtitle", "content", "tag", "page_number", "version")
 
 
 def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +221,30 @@ _STATES = """WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER
         CASE WHEN count(*) FILTER (WHERE turn <> first AND turn = 1) OVER w > 0 THEN NULL ELSE 5 END AS page_number,
         lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS edited_by_id
         FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
-_FOLD_SQL = f"{_STATES} SELECT conv_id AS id, subtitle, content, page_number, version FROM s WHERE edited_by_id IS NULL"
 _EDIT_HISTORY_SQL = f"{_STATES} SELECT conv_id AS section_id, version, subtitle, content, edited_by_id FROM s WHERE edited_by_id IS NOT NULL"
+_RETAGGED_SQL = f"""{_STATES}, last AS (SELECT conv_id, subtitle, content, page_number, version FROM s WHERE edited_by_id IS NULL), {tagging.oracle_scores('content', 'last', 'conv_id')},
+    given AS (SELECT conv_id, bool_or(NOT start AND turn % 2 = 0) AS retag FROM s GROUP BY 1)
+    SELECT conv_id AS id, subtitle, content, CASE WHEN retag THEN tag ELSE 'UNTAGGED' END AS tag, page_number, version FROM last JOIN tags USING (conv_id) JOIN given USING (conv_id)"""
+
+
+def apply_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later turns as revisions of the first: those of assistants are approved, files of every third turn can't be read; sections after approval, with tag and version."""
+    sections, events = _edits(spark, sf_dir)
+    turns = events.select((F.col("section_id") * 1000 + F.col("seq")).alias("id"), "section_id", "seq", "content", "subtitle", "actor")
+    named = turns.withColumn("uploaded_file", F.concat(F.lit("revision-"), F.col("id")))
+    revisions = named.select("id", "section_id", F.col("actor").alias("submitted_by_id"), "uploaded_file")
+    reviews = named.select("id", "seq", F.when(F.col("subtitle") == "assistant", "approved").otherwise("rejected").alias("status"), F.lit(None).cast("timestamp").alias("ts"))
+    texts = named.filter("seq % 5 <> 0").select("uploaded_file", F.when(F.col("seq") % 3 != 0, F.col("content")).alias("text"), F.when(F.col("seq") % 3 == 0, "unreadable").alias("error"))
+    now, _ = workflow.fold_edits(sections, workflow.approval_events(reviews, revisions, texts))
+    failed = workflow.failed_approvals(reviews, revisions, texts).groupBy(F.floor(F.col("id") / 1000).alias("id")).agg(F.count("*").alias("n"))
+    return now.join(failed, "id", "left").select("id", "content", "tag", "version", F.coalesce("n", F.lit(0)).alias("failed"))
+
+
+_APPROVAL_SQL = f"""WITH t AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+    r AS (SELECT *, turn > first AND role = 'assistant' AS approved FROM t),
+    ok AS (SELECT *, approved AND turn % 3 <> 0 AND turn % 5 <> 0 AS applied FROM r),
+    last AS (SELECT conv_id, arg_max(text, turn) AS content, (1 + count(*) FILTER (WHERE applied))::INTEGER AS version FROM ok WHERE applied OR turn = first GROUP BY 1), {tagging.oracle_scores('content', 'last', 'conv_id')}
+    SELECT conv_id AS id, content, CASE WHEN version > 1 THEN tag ELSE 'UNTAGGED' END AS tag, version, (SELECT count(*) FROM ok o WHERE o.conv_id = last.conv_id AND approved AND NOT applied) AS failed FROM last JOIN tags USING (conv_id)"""
 _MANUAL_VERSIONS_SQL = f"{_STATES}, n AS (SELECT conv_id % 10 AS m, count(*) FILTER (WHERE NOT start) AS n FROM s GROUP BY 1) SELECT id, (1 + coalesce(n, 0))::INTEGER AS version FROM range(12) r(id) LEFT JOIN n ON n.m = r.id"
 
 # ---- listings --------------------------------------------------------------------------
@@ -191,13 +282,13 @@ def user_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), (F.col("o_custkey") % 25).alias("department_id"), F.col("o_custkey").alias("uploaded_by_id"), F.col("o_orderdate").alias("uploaded_at"), F.lit(1).alias("version"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), (F.col("o_custkey") % 25).alias("department_id"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("uploaded_by_id"), F.col("o_orderdate").alias("uploaded_at"), F.lit(1).alias("version"))
 
 
 def manual_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _users(spark, sf_dir).filter("id % 5 <> 0")
-    sections = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("manual_id"))
-    return listings.manuals(_manuals(spark, sf_dir), _departments(spark, sf_dir), people, sections).withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd"))
+    """All orders as manuals with all lines as sections; some have no uploader, some a department without a name."""
+    sections = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("manual_id"))
+    return listings.manuals(_manuals(spark, sf_dir), _departments(spark, sf_dir), _users(spark, sf_dir), sections).withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd"))
 
 
 def section_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +375,77 @@ def set_null_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.delete(tables, "user", gone)["manual"]
 
 
+def delete_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections, with lines' parts as their history, that stay after the manuals of user 4 go."""
+    tables = _entity_tables(spark, sf_dir)
+    line = table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    tables["section_history"] = line.select((key * 10).alias("id"), key.alias("section_id"), F.col("l_partkey").alias("edited_by_id"))
+    tables["revision"] = line.select((key * 10 + 1).alias("id"), key.alias("section_id"), F.col("l_suppkey").alias("submitted_by_id"))
+    return _remaining(workflow.delete(tables, "manual", tables["manual"].filter("uploaded_by_id = 4").select("id")))
+
+
+def delete_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hangs on sections that stay after all third lines go."""
+    tables = _entity_tables(spark, sf_dir)
+    line = table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    tables["revision"] = line.select((key * 10 + 1).alias("id"), key.alias("section_id"), F.col("l_suppkey").alias("submitted_by_id"))
+    return _remaining(workflow.delete(tables, "section", line.filter("l_linenumber = 3").select(key.alias("id"))))
+
+
+def _remaining(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in tables.items():
+        one = df.select(F.lit(name).alias("entity"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def register_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers ask for accounts named by the last digits of their key: taken and repeated names are refused, unknown departments are null."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 50 != 0, F.right(F.col("c_name"), F.lit(2))).otherwise("").alias("username"), F.col("c_nationkey").cast("long").alias("department_id"))
+    there = spark.createDataFrame([(-1, "07", None, True, "admin")], "id long, username string, department_id long, is_approved boolean, role string")
+    users, refused = workflow.register_users(there, _departments(spark, sf_dir), rows)
+    made = users.filter("id >= 0").select("id", "username", "department_id", "role", "is_approved", F.lit("made").alias("state"))
+    return made.unionByName(refused.select("id", "username", F.lit(None).cast("long").alias("department_id"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("boolean").alias("is_approved"), F.lit("refused").alias("state")))
+
+
+def approve_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.approve_user(_users(spark, sf_dir), 5).select("id", "is_approved")
+
+
+def create_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as new sections: titles are needed, page and order that aren't numbers become null and 0, empty content stays untagged."""
+    p = table(spark, sf_dir, "part")
+    content = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, F.concat(F.lit("The manager shall ensure compliance of the "), "p_name")).when(F.col("p_size") % 4 == 2, F.concat(F.lit("Follow these steps for the "), "p_name")).otherwise(F.col("p_name"))
+    page = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand"))
+    rows = p.select(F.col("p_partkey").alias("id"), F.lit(1).cast("long").alias("manual_id"), F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("subtitle"), content.alias("content"), page.alias("page_number"), page.alias("order"))
+    made, _ = workflow.create_sections(spark.createDataFrame([], SCHEMAS["section"]), rows)
+    return made.select("id", "subtitle", "tag", "page_number", "order", "version")
+
+
+_CREATE_SQL = f"""WITH rows_ AS (SELECT p_partkey AS id, p_name AS subtitle, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'The manager shall ensure compliance of the ' || p_name WHEN 2 THEN 'Follow these steps for the ' || p_name ELSE p_name END AS content, CASE WHEN p_size % 2 = 0 THEN p_size END AS page FROM part WHERE p_size % 7 <> 0), {tagging.oracle_scores('content', 'rows_', 'id')}
+    SELECT id, subtitle, CASE WHEN content = '' THEN 'UNTAGGED' ELSE tag END AS tag, page AS page_number, coalesce(page, 0) AS "order", 1 AS version FROM rows_ JOIN tags USING (id)"""
+
+
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.array(*[F.lit(x) for x in (".PDF", ".txt", ".b.JpEg", ".png", ".doc", "")])
+    name = F.concat("url", F.get(endings, (F.col("page_id") % 6).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", files.kind(name).alias("kind"))
+
+
+def revision_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How events look as revisions: label and badge of the status, the date, the colour of a tag."""
+    colours = {"purchase": "green", "view": "blue", "UNTAGGED": "grey"}
+    return table(spark, sf_dir, "events").select("event_id", status_label(F.col("event_type")).alias("label"), status_badge(F.col("event_type")).alias("badge"), shown_date(F.col("ts")).alias("day"), tag_colour(F.col("event_type"), colours).alias("colour"))
+
+
+def shown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(shown_lines(F.concat("text", F.lit("\n \nend"))), "|").alias("shown"))
+
+
 def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as revisions, events as their reviews: purchases approve, views reject, others are refused."""
     e = table(spark, sf_dir, "events")
@@ -293,7 +455,7 @@ def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.review(revisions, reviews)[0].select("id", "status", "reviewer_notes")
 
 
-_USERS = "u AS (SELECT c_custkey AS id, c_name AS username, c_name || '@example.org' AS email, CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'staff' END AS role, c_acctbal >= 0 AS is_approved, c_custkey % 7 = 0 AS is_staff, c_nationkey::bigint AS department_id FROM customer), d AS (SELECT n_nationkey::bigint AS id, n_name AS name FROM nation WHERE n_regionkey <> 0), m AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_custkey % 25 AS department_id, o_custkey AS uploaded_by_id, o_orderdate AS uploaded_at FROM orders)"
+_USERS = "u AS (SELECT c_custkey AS id, c_name AS username, c_name || '@example.org' AS email, CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'staff' END AS role, c_acctbal >= 0 AS is_approved, c_custkey % 7 = 0 AS is_staff, c_nationkey::bigint AS department_id FROM customer), d AS (SELECT n_nationkey::bigint AS id, n_name AS name FROM nation WHERE n_regionkey <> 0), m AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_custkey % 25 AS department_id, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS uploaded_by_id, o_orderdate AS uploaded_at FROM orders)"
 _JOINED = "FROM u LEFT JOIN d ON u.department_id = d.id"
 _REVISIONS = """SELECT e.event_id AS id, c.c_name AS section, n.n_name AS manual, r.r_name AS department, CASE WHEN e.user_id % 3 <> 0 THEN coalesce(p.c_name, 'N/A') ELSE 'N/A' END AS submitted_by, e.event_type AS status, substring(e.props, 1, 300) AS diff_preview
     FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN customer p ON p.c_custkey = e.user_id"""
@@ -301,15 +463,22 @@ _REVISIONS = """SELECT e.event_id AS id, c.c_name AS section, n.n_name AS manual
 #: name: (query, SQL or None)
 REGISTRY = {
     "section_split": (section_split, f"WITH {_sections_ctes('documents', 'text')} SELECT doc_id, ord, subtitle, content FROM sections"),
-    "text_cleanup": (text_cleanup, f"WITH {_CLEAN_CTES} SELECT doc_id, coalesce(cleaned, '') AS cleaned FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN cleaned USING (doc_id) UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
-    "cleanup_then_section": (cleanup_then_section, f"WITH {_CLEAN_CTES}, {_sections_ctes('cleaned', 'cleaned')} SELECT doc_id, ord, subtitle, content FROM sections"),
+    "text_cleanup": (text_cleanup, f"WITH {_clean_ctes('documents')} SELECT doc_id, coalesce(cleaned, '') AS cleaned FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN cleaned USING (doc_id) UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
+    "cleanup_then_section": (cleanup_then_section, f"WITH {_clean_ctes('documents')}, {_sections_ctes('cleaned', 'cleaned')} SELECT doc_id, ord, subtitle, content FROM sections"),
     "section_tags": (section_tags, _TAGS_SQL),
     "edit_tags": (edit_tags, _EDIT_TAGS_SQL),
     "previous_version": (previous_version, _PAIRS_SQL),
     "positional_diff": (positional_diff, _POSITIONAL_SQL),
     "unified_diff": (unified_diff, None),
     "history_with_current": (history_with_current, _HISTORY_SQL),
-    "version_fold": (version_fold, _FOLD_SQL),
+    "version_fold": (version_fold, _RETAGGED_SQL),
+    "apply_approval": (apply_approval, _APPROVAL_SQL),
+    "unified_diff_lines": (unified_diff_lines, _DIFF_LINES_SQL),
+    "submit_revision": (submit_revision, _SUBMIT_SQL),
+    "headed_cleanup": (headed_cleanup, f"WITH {_HEADED_SQL}, {_clean_ctes('headed')} SELECT doc_id, cleaned FROM cleaned UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
+    "headed_sections": (headed_sections, f"WITH {_HEADED_SQL}, {_clean_ctes('headed')}, {_sections_ctes('cleaned', 'cleaned')} SELECT doc_id, ord, subtitle, content FROM sections"),
+    "text_source": (text_source, "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE coalesce(text, '') END AS raw_text, coalesce(lang = 'de', false) AS failed FROM documents"),
+    "upload_sections": (upload_sections, _UPLOAD_SQL),
     "edit_history": (edit_history, _EDIT_HISTORY_SQL),
     "manual_versions": (manual_versions, _MANUAL_VERSIONS_SQL),
     "pending_users": (pending_users, f"WITH {_USERS} SELECT u.id, username, email, coalesce(name, 'N/A') AS department {_JOINED} WHERE NOT is_approved"),
@@ -317,7 +486,7 @@ REGISTRY = {
     "department_list": (department_list, f"WITH {_USERS} SELECT id, name FROM d"),
     "login_view": (login_view, f"WITH {_USERS} SELECT u.id, username, role, department_id, name AS department, is_approved AS allowed {_JOINED}"),
     "user_facets": (user_facets, f"WITH {_USERS} SELECT id, username, role FROM u WHERE is_approved AND role = 'admin'"),
-    "manual_list": (manual_list, f"WITH {_USERS}, n AS (SELECT l_orderkey AS mid, count(*) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT m.id, title, coalesce(d.name, 'N/A') AS department, coalesce(u.username, 'N/A') AS uploaded_by, strftime(uploaded_at, '%Y-%m-%d') AS uploaded_at, 1 AS version, coalesce(c, 0) AS sections FROM m LEFT JOIN d ON m.department_id = d.id LEFT JOIN u ON u.id = m.uploaded_by_id AND u.id % 5 <> 0 LEFT JOIN n ON n.mid = m.id"),
+    "manual_list": (manual_list, f"WITH {_USERS}, n AS (SELECT l_orderkey AS mid, count(*) AS c FROM lineitem GROUP BY 1) SELECT m.id, title, coalesce(d.name, 'N/A') AS department, coalesce(u.username, 'N/A') AS uploaded_by, strftime(uploaded_at, '%Y-%m-%d') AS uploaded_at, 1 AS version, coalesce(c, 0) AS sections FROM m LEFT JOIN d ON m.department_id = d.id LEFT JOIN u ON u.id = m.uploaded_by_id LEFT JOIN n ON n.mid = m.id"),
     "section_list": (section_list, f"WITH {_USERS} SELECT title AS manual, coalesce(d.name, 'N/A') AS department, l_partkey AS id, l_returnflag AS content, l_returnflag AS preview, l_linestatus AS tag, l_linenumber AS \"order\", 1 AS version FROM lineitem JOIN m ON l_orderkey = m.id LEFT JOIN d ON m.department_id = d.id WHERE m.id = 1"),
     "section_preview": (section_preview, "SELECT doc_id, substring(text, 1, 200) AS preview FROM documents"),
     "revision_list": (revision_list, _REVISIONS),
@@ -327,7 +496,15 @@ REGISTRY = {
     "unique_check": (unique_check, "SELECT -s_suppkey AS id, s_name AS name, 'there' AS state FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'refused' ELSE 'there' END FROM supplier"),
     "point_lookup": (point_lookup, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7"),
     "type_dispatch": (type_dispatch, "SELECT page_id, lower(list_last(string_split(url, '.'))) AS ext FROM pages"),
-    "cascade_delete": (cascade_delete, f"WITH {_USERS} SELECT 'department' AS entity, count(*) AS n_rows, 0 AS n_nulls FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'user', count(*), count(*) FILTER (WHERE department_id = 3 OR department_id IS NULL) FROM u UNION ALL SELECT 'manual', count(*), 0 FROM m WHERE department_id <> 3 UNION ALL SELECT 'section', count(*), 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM m WHERE department_id = 3)"),
+    "file_kinds": (file_kinds, "WITH n AS (SELECT page_id, lower(list_last(string_split(url || ['.PDF', '.txt', '.b.JpEg', '.png', '.doc', ''][page_id % 6 + 1], '.'))) AS ext FROM pages) SELECT page_id, CASE WHEN ext = 'txt' THEN 'text' WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('jpg', 'jpeg', 'png') THEN 'image' END AS kind FROM n"),
+    "revision_display": (revision_display, "SELECT event_id, upper(event_type[1]) || lower(event_type[2:]) AS label, upper(event_type) AS badge, strftime(ts, '%-m/%-d/%Y') AS day, CASE event_type WHEN 'purchase' THEN 'green' WHEN 'view' THEN 'blue' ELSE 'grey' END AS colour FROM events"),
+    "shown_text": (shown_text, rf"SELECT conv_id, turn, array_to_string(list_filter(string_split(text || E'\n \nend', E'\n'), lambda x: trim(x, {_STRIP}) <> ''), '|') AS shown FROM conversations"),
+    "register_users": (register_users, f"WITH {_USERS}, q AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 <> 0 THEN right(c_name, 2) ELSE '' END AS username, c_nationkey::bigint AS dep FROM customer), k AS (SELECT *, username <> '' AND username <> '07' AND row_number() OVER (PARTITION BY username ORDER BY id) = 1 AS ok FROM q) SELECT k.id, username, CASE WHEN ok THEN d.id END AS department_id, CASE WHEN ok THEN 'staff' END AS role, CASE WHEN ok THEN false END AS is_approved, CASE WHEN ok THEN 'made' ELSE 'refused' END AS state FROM k LEFT JOIN d ON k.dep = d.id"),
+    "approve_user": (approve_user, f"WITH {_USERS} SELECT id, is_approved OR id = 5 AS is_approved FROM u"),
+    "create_sections": (create_sections, _CREATE_SQL),
+    "delete_manual": (delete_manual, f"WITH {_USERS}, l AS (SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM m WHERE uploaded_by_id = 4)) SELECT 'department' AS entity, n_nationkey::bigint AS id FROM nation UNION ALL SELECT 'user', id FROM u UNION ALL SELECT 'manual', id FROM m WHERE uploaded_by_id IS DISTINCT FROM 4 UNION ALL SELECT 'section', id FROM l UNION ALL SELECT 'section_history', id * 10 FROM l UNION ALL SELECT 'revision', id * 10 + 1 FROM l"),
+    "delete_section": (delete_section, f"WITH {_USERS}, l AS (SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_linenumber <> 3) SELECT 'department' AS entity, n_nationkey::bigint AS id FROM nation UNION ALL SELECT 'user', id FROM u UNION ALL SELECT 'manual', id FROM m UNION ALL SELECT 'section', id FROM l UNION ALL SELECT 'revision', id * 10 + 1 FROM l"),
+    "cascade_delete": (cascade_delete, f"WITH {_USERS} SELECT 'department' AS entity, count(*) AS n_rows, 0 AS n_nulls FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'user', count(*), count(*) FILTER (WHERE department_id = 3 OR department_id IS NULL) FROM u UNION ALL SELECT 'manual', count(*), count(*) FILTER (WHERE uploaded_by_id IS NULL) FROM m WHERE department_id <> 3 UNION ALL SELECT 'section', count(*), 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM m WHERE department_id = 3)"),
     "set_null_delete": (set_null_delete, f"WITH {_USERS} SELECT m.id, m.department_id, CASE WHEN u.department_id = 5 THEN NULL ELSE uploaded_by_id END AS uploaded_by_id FROM m LEFT JOIN u ON u.id = uploaded_by_id"),
     "review_status": (review_status, "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type IN ('purchase', 'view')) SELECT c_custkey AS id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'view' THEN 'rejected' ELSE 'pending' END AS status, '' AS reviewer_notes FROM customer LEFT JOIN r ON user_id = c_custkey AND k = 1"),
 }
