@@ -31,6 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -133,16 +134,17 @@ class Model:
         self.cost[:, 0, :] = -np.log(p2[0])
 
 
-#: The cheapest path to each state (last two letters): its cost and its letters as (path before, letter).
-Paths = dict[tuple[int, int], tuple[float, tuple | None]]
+#: The cheapest path to each state (last two letters): its cost, its latest letters, and those before as (before, letters).
+Paths = dict[tuple[int, int], tuple[float, str, tuple | None]]
+FOLD = 64
 
 
-def spelled(path: tuple | None) -> str:
+def spelled(text: str, before: tuple | None) -> str:
     """A path's letters; paths share what stands before, so that long tokens take time and memory in proportion."""
-    out = []
-    while path is not None:
-        path, letter = path
-        out.append(letter)
+    out = [text]
+    while before is not None:
+        before, text = before
+        out.append(text)
     return "".join(reversed(out))
 
 
@@ -171,17 +173,19 @@ class Decoder:
 
     def viterbi(self, token: str, left: int = 0, right: int = 0) -> str:
         """The cheapest letters of the token's lattice, in which the first ``left`` and last ``right`` characters stand for letters."""
-        best: Paths = {(0, 0): (0.0, None)}
+        best: Paths = {(0, 0): (0.0, "", None)}
         for i in range(len(token)):
             options = self.options(token, i)
             if i < left or i >= len(token) - right:
                 options = [o for o in options if o[0]]
             best = self.step(best, options)
-        return spelled(self.ended(best)[1])
+            if i % FOLD == FOLD - 1:
+                best = {state: (cost, "", (before, text)) for state, (cost, text, before) in best.items()}
+        return spelled(*self.ended(best)[1:])
 
     def step(self, best: Paths, options: list[tuple[str, float]]) -> Paths:
         new: Paths = {}
-        for (a, b), (cost, path) in best.items():
+        for (a, b), (cost, text, before) in best.items():
             for letter, paid in options:
                 if letter:
                     c = self.code.get(letter, 1)
@@ -189,11 +193,11 @@ class Decoder:
                 else:
                     state, total = (a, b), cost + paid
                 if state not in new or total < new[state][0]:
-                    new[state] = (total, (path, letter) if letter else path)
+                    new[state] = (total, text + letter, before)
         return new
 
-    def ended(self, best: Paths) -> tuple[float, tuple | None]:
-        return min(((cost + self.cost[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
+    def ended(self, best: Paths) -> tuple[float, str, tuple | None]:
+        return min(((cost + self.cost[a][b][0], text, before) for (a, b), (cost, text, before) in best.items()), key=itemgetter(0))
 
     def divided(self, run: list[str]) -> set[str]:
         """The words of all near-cheapest divisions of single characters, and the whole run as one word.
@@ -206,17 +210,17 @@ class Decoder:
         words = []
         upto = [0.0] + [math.inf] * n
         for i in range(n):
-            best: Paths = {(0, 0): (0.0, None)}
+            best: Paths = {(0, 0): (0.0, "", None)}
             for j in range(i, min(n, i + LONGEST)):
                 best = self.step(best, options[j] if j == i else [(x, paid + DROP_SEPARATOR) for x, paid in options[j]])
-                cost, path = self.ended(best)
+                cost, text, _ = self.ended(best)
                 cost += END_WORD if i else 0.0
-                words.append((i, j + 1, cost, path))
+                words.append((i, j + 1, cost, text))
                 upto[j + 1] = min(upto[j + 1], upto[i] + cost)
         after = [math.inf] * n + [0.0]
         for i, j, cost, _ in reversed(words):
             after[i] = min(after[i], cost + after[j])
-        found = {spelled(path) for i, j, cost, path in words if upto[i] + cost + after[j] <= upto[n] + NEAR}
+        found = {text for i, j, cost, text in words if upto[i] + cost + after[j] <= upto[n] + NEAR}
         found.add(self.viterbi(spaced))
         return found - {""}
 

@@ -127,6 +127,17 @@ def test_viterbi_is_the_cheapest_path():
         assert decoder.viterbi(token) == best[1]
 
 
+def test_long_tokens_take_time_in_proportion():
+    import time
+
+    decoder, took = toxicity.Decoder(toxicity.Model(np.random.default_rng(0).integers(0, 50, toxicity.SIZE**3))), []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        assert len(decoder.viterbi("ab1c" * (n // 4))) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0]
+
+
 def spell(decoder, letters):
     a = b = total = 0
     for ch in letters:
