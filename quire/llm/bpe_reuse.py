@@ -301,7 +301,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, keep:
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-    """Adds ``decoded`` string, the text of each array of ids (null: empty)."""
+    """Adds ``decoded`` string, the text of each array of ids (null: empty); a column of that name is replaced."""
     from pyspark.sql import functions as F
 
     from quire.llm.common import col, prepare
@@ -314,7 +314,7 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, keep: S
         made = chunk_encoder(path)
         return ids.map(lambda x: made.decode(x) if x is not None else "")
 
-    return df.select(*[col(c) for c in (df.columns if keep is None else keep) if c != "decoded"], text_of(col(ids_col).cast("array<long>")).alias("decoded"))
+    return df.select(*[col(c) for c in (df.columns if keep is None else keep) if c.lower() != "decoded"], text_of(col(ids_col).cast("array<long>")).alias("decoded"))
 
 
 def digests(df: DataFrame, text_col: str = "text", path: str | None = None, keep: Sequence[str] | None = None, prefix: str = "") -> DataFrame:

@@ -105,8 +105,8 @@ def map_texts(
     out = T.StructType([T.StructField(prefix + f.name, f.dataType, True) for f in fields.fields])
     taken = {f.name.lower() for f in out.fields}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    text = free(df.select(*[col(c) for c in names]), "text")[0] if names else "text"
-    source = df.select(*[col(c) for c in names], col(text_col).cast("string").alias(text))
+    # mapInArrow takes plain names only, so columns have numbers on their way.
+    source = df.select(*[col(c).alias(f"c{k}") for k, c in enumerate(names)], col(text_col).cast("string").alias("text"))
     kinds = [to_arrow_type(f.dataType) for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +117,11 @@ def map_texts(
                 made = work(texts[start:stop])
                 arrays = [c.slice(start, stop - start) for c in batch.columns[:-1]]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *out.names])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    schema = T.StructType([*source.schema.fields[:-1], *out.fields])
-    return source.mapInArrow(run, schema)
+    made = [T.StructField(f"m{k}", f.dataType, True) for k, f in enumerate(out.fields)]
+    schema = T.StructType([*source.schema.fields[:-1], *made])
+    return source.mapInArrow(run, schema).toDF(*names, *out.names)
 
 
 def share_of_rows(df: DataFrame, keys: Sequence[str], by: Sequence[str], most: int, groups: DataFrame | None = None) -> DataFrame:

@@ -182,25 +182,27 @@ def calibrate(measured: DataFrame, prefix: str = "", low: float = LOW, high: flo
     return Limits(lows, highs)
 
 
-def verdicts(measured: DataFrame, limits: Limits, prefix: str = "", chunk_share: float = CHUNK_SHARE) -> DataFrame:
-    """``measured`` with kept and bad_chunks instead of n_bytes, text_hash and chunks."""
-    c = lambda name: col(prefix + name)
+def verdicts(measured: DataFrame, limits: Limits, inner: str = "", prefix: str = "", chunk_share: float = CHUNK_SHARE) -> DataFrame:
+    """``measured`` with RESULTS (named by ``prefix``) instead of FIELDS (named by ``inner``)."""
+    c = lambda name: col(inner + name)
     bad = F.filter(c("chunks"), lambda x: ~limits.inside(x["size"], x["ratio"]))
     lost = F.aggregate(bad, F.lit(0).cast("long"), lambda total, x: total + x["size"])
-    inner = {prefix + f.name for f in FIELDS.fields}
-    rest = [x for x in measured.columns if x not in inner and x.lower() not in {prefix + "kept", prefix + "bad_chunks"}]
+    taken = {(inner + f.name).lower() for f in FIELDS.fields} | {(prefix + name).lower() for name in RESULTS}
     (found,) = free(measured, "found")
     made = measured.withColumn(found, F.struct(F.size(bad).cast("long").alias("bad"), lost.alias("lost")))
     kept = ~c("base_failed") & limits.inside(c("n_bytes"), c("ratio")) & (col(found)["lost"] <= c("n_bytes") * F.lit(chunk_share))
     result = {"kept": kept, "bad_chunks": col(found)["bad"]}
-    return made.select(*[col(x) for x in rest], *[(result[n] if n in result else c(n)).alias(prefix + n) for n in RESULTS])
+    return made.select(*[col(x) for x in measured.columns if x.lower() not in taken], *[(result[n] if n in result else c(n)).alias(prefix + n) for n in RESULTS])
 
 
 def rules(df: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, prefix: str = "", limits: Limits | None = None, chunk: int = CHUNK, chunk_share: float = CHUNK_SHARE) -> DataFrame:
     """Adds the counts, base_failed, kept, ratio and bad_chunks; without ``limits`` they are calibrated on ``df`` first."""
     if limits is None:
         limits = calibrate(measure(df, text_col, [], chunk=chunk))
-    return verdicts(measure(df, text_col, keep, prefix, chunk), limits, prefix, chunk_share)
+    inner = "measured_"
+    while any(c.lower().startswith(inner) for c in df.columns):
+        inner += "_"
+    return verdicts(measure(df, text_col, keep, inner, chunk), limits, inner, prefix, chunk_share)
 
 
 def op7_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
