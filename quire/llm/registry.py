@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe_reuse, collision, collocations, dac_file, divergence, language_id, licenses, mixing, quality_rules, rule_ensemble, simhash, toxicity
+from quire.llm import bpe_reuse, collision, collocations, dac_file, divergence, language_id, licenses, mixing, page_blocks, quality_rules, rule_ensemble, simhash, toxicity
 
-MODULES = (licenses, mixing, collision, language_id, bpe_reuse, simhash, quality_rules, rule_ensemble, toxicity, dac_file, collocations, divergence)
+MODULES = (licenses, mixing, collision, language_id, bpe_reuse, simhash, quality_rules, rule_ensemble, toxicity, dac_file, collocations, page_blocks, divergence)
 
 
 def queries() -> dict:
