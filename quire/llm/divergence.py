@@ -126,18 +126,21 @@ def _tile(top: int):
             mine = totals[totals["tile"] == tile]
             names = sorted(mine["source"], key=str.encode)
             at = {s: k for k, s in enumerate(names)}
-            dense = _matrix(counts[counts["tile"] == tile], names, at, terms)
+            dense = np.pad(_matrix(counts[counts["tile"] == tile], names, at, terms), ((0, 0), (0, 1)))  # and a term with no occurrence
             total = mine.set_index("source")["n"].reindex(names).to_numpy(np.int64)
-            sides[tile] = names, dense, parts_per_billion(dense, total, v)
+            sides[tile] = names, dense[:, :-1], parts_per_billion(dense, total, max(v, 1))
         (left, dense, p), (right, _, others) = sides[first], sides[second]
+        # Terms of the block that only sources of other tiles have: all here give them the same share.
+        unseen = int(totals["size"].iloc[0]) - len(terms)
         for k, name in enumerate(left):
             start = k + 1 if first == second else 0
-            far = np.abs(others[start:] - p[k]).sum(axis=1)
+            far = np.abs(others[start:] - p[k])
+            far = far[:, :-1].sum(axis=1) + unseen * far[:, -1]
             out += [(lang, *pair, "pair", int(d)) for x, d in zip(right[start:], far, strict=True) for pair in ((name, x), (x, name))]
         if first == second and len(terms):
             q = parts_per_billion(of_lang[None, :], totals["lang_n"].iloc[:1].to_numpy(np.int64), v)[0]
             for k, name in enumerate(left):
-                over = np.flatnonzero((dense[k] > 0) & (p[k] > q))
+                over = np.flatnonzero((dense[k] > 0) & (p[k, :-1] > q))
                 gap = p[k][over] - q[over]
                 best = np.argsort(-gap, kind="stable")[:top]  # terms are in byte order
                 out += [(lang, name, terms[over[b]], "term", int(gap[b])) for b in best]
@@ -168,8 +171,12 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     block = F.pmod(F.xxhash64("term"), "blocks").cast("int")
     full = join_dealt(rows, langs.select("lang", "tiles", "blocks", "v", "bearers"), ["lang"], "bearers", total)
     full = full.select("lang", "source", "term", "n", "lang_n", "v", "tiles", tile, block.alias("block"))
+    sizes = join_dealt(kept.select("lang", "term"), langs.select("lang", "blocks", "v"), ["lang"], "v", total).withColumn("term", F.col("term").cast("string"))
+    sizes = sizes.groupBy("lang", block.alias("block")).agg(F.count("*").alias("size"))
     heads = join_dealt(groups, langs.drop("bearers"), ["lang"], "sources", groups.count())
     heads = heads.select("lang", "source", F.lit(None).cast("string").alias("term"), "n", F.col("lang_total").alias("lang_n"), "v", "tiles", tile, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    heads = heads.join(sizes, ["lang", "block"], "left").fillna(0, ["size"])
+    full = full.withColumn("size", F.lit(None).cast("long"))
     # Each tile meets every tile of its language once; itself, too.
     met = full.unionByName(heads).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.withColumns({"first": F.least("tile", "other"), "second": F.greatest("tile", "other")})
