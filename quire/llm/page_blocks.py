@@ -40,16 +40,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import col, free, map_texts, table
+from quire.llm.common import col, map_texts, table
 
 SAMPLE = 300
 SAMPLE_CHARS = 100_000
-VARIANTS = 4
-EPOCHS = 6
+VARIANTS = 6
+EPOCHS = 8
 BATCH = 24
 RATE = 0.004
 #: Sizes of the vectors' parts and of the two hidden states.
-PATH, INNER, WORDS, FIGURES = 96, 48, 48, 12
+PATH, INNER, WORDS, FIGURES = 192, 96, 48, 12
 HIDDEN = 32
 DEPTH = 64
 #: Blocks of a padded batch at scoring; a longer page is a batch of its own.
@@ -166,7 +166,10 @@ class Parser:
             name = m[2].lower()
             if m[1]:
                 if opened[name] > 0:
-                    pop(len(stack) - 1 - stack[::-1].index(name))
+                    k = len(stack) - 1
+                    while stack[k] != name:
+                        k -= 1
+                    pop(k)
                 continue
             if name in RAW:
                 closing = _RAW_END[name].search(page, pos)
