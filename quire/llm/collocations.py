@@ -283,7 +283,7 @@ def frequent(docs: DataFrame, max_n: int = 5, least: int = 100) -> tuple[DataFra
 def score(a: str, n: str, left: str, right: str) -> Column:
     """floor(1000 * a * n / (l * r)) of columns of longs, exactly: products have up to 38 digits."""
     whole = lambda name, digits: F.col(name).cast(f"decimal({digits},0)")
-    over, under = F.lit(1000).cast("decimal(4,0)") * (whole(a, 16) * whole(n, 16)), whole(left, 18) * whole(right, 18)
+    over, under = F.lit(1000).cast("decimal(4,0)") * (whole(a, 16) * whole(n, 17)), whole(left, 18) * whole(right, 18)
     return F.call_function("div", over, under)
 
 
