@@ -9,8 +9,8 @@ the light of all others. Blocks of the main text are joined by line ends.
 
 Nobody labelled the pages, so the labeller learns from landmarks: a bounded sample of
 SAMPLE unlike pages of at most SAMPLE_CHARS characters, in which elements like article,
-nav or footer tell the parts apart. Its paragraphs are also laid out anew, VARIANTS
-times a page, in other page designs (menus, banners, notices, side columns, forms,
+nav or footer tell the parts apart. Its paragraphs are also laid out anew, in SAMPLE x
+VARIANTS other page designs (menus, banners, notices, side columns, forms,
 adverts, comments, with and without telling names), for which the labels are known.
 The sample depends on the pages' contents alone, and training has a fixed seed.
 
@@ -445,7 +445,9 @@ class Designs:
         elif kind == "comments":
             long = [" ".join(r.choice(self.paragraphs).split()[: r.randint(4, 60)]) for _ in range(r.randint(1, 5))]
             item = r.choice(["<li>{}</li>", '<div class="comment">{}</div>', "<p>{}</p>", '<article class="comment"><p>{}</p></article>', '<div class="comment-body"><p>{}</p></div>'])
-            inner = f"<h3>{self._apart('Comments')}</h3>" + "".join(item.format(self._apart(t)) for t in some + long)
+            said = some + long if r.random() < 0.5 else [*long, *some[:1]]
+            head = f"<h3>{self._apart('Comments')}</h3>" if r.random() < 0.5 else ""
+            inner = head + "".join(item.format(self._apart(t)) for t in said)
         elif kind == "side":
             item = r.choice(['<li><a href="/x">{}</a></li>', "<p>{}</p>", "<h3>{}</h3>", "<li>{}</li>", "<div>{}</div>"])
             some += [" ".join(r.choice(self.paragraphs).split()[: r.randint(2, 25)]) for _ in range(r.randint(0, 5))]
@@ -483,7 +485,7 @@ class Designs:
             main = head + "".join(body)
         before = [self._in(r.choice(_WRAP["top"]), f"<p>{self._apart(self._filled('menu'))}</p>" + (self.part("menu") if r.random() < 0.5 else ""))] if r.random() < 0.6 else []
         before += [self.part(k) for k in ("menu", "notice", "ad", "form", "side") if r.random() < (0.6 if k == "menu" else 0.3)]
-        after = [self.part(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice") if r.random() < (0.7 if k == "footer" else 0.35)]
+        after = [self.part(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice") if r.random() < {"footer": 0.7, "comments": 0.6}.get(k, 0.35)]
         r.shuffle(before)
         whole = "".join(before) + main + "".join(after)
         whole = r.choice(["{}", "{}", '<div id="page">{}</div>', '<div class="container">{}</div>', '<div class="wrapper"><div>{}</div></div>', '<form id="aspnetForm">{}</form>' if r.random() < 0.3 else "{}"]).replace("{}", whole)
@@ -529,7 +531,7 @@ def train(pages: DataFrame, html_col: str = "html") -> dict[str, np.ndarray]:
     designs = Designs([t for t in parts if t.strip()])
     stories = stories or [[t] for t in designs.paragraphs]
     made = []
-    for k in range(max(len(stories), SAMPLE // 4) * VARIANTS):
+    for k in range(SAMPLE * VARIANTS):
         story = stories[k % len(stories)]
         start = designs.rng.randrange(len(story))
         text = story[start : start + designs.rng.randint(1, 24)]
