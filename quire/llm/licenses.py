@@ -4,9 +4,11 @@ The text is lower-cased (A-Z) and cut into words in one pass over its bytes; wor
 joined by single spaces are the search space. A notice with at most k errors, cut
 into k + 1 pieces, leaves at least one piece intact (pigeonhole), so exact hits of
 the pieces (one Aho-Corasick pass, which also finds whole notices) locate every
-candidate, and the regex library's bounded-error matching of the whole notice at
-every place of a window around the hits verifies it and gives its span and number
-of edits. A notice's telling words, those that tell it from another license, must
+candidate. Around a hit the notice is cut finer, into k + SPARE pieces: SPARE of them
+at least are intact in a match, each within k characters of where its start puts it, and
+only at starts of which that holds the regex library's bounded-error matching of the
+whole notice verifies it and gives its span and number of edits. Words of a match may be
+joined to one another or to their neighbours, so words play no part in the search. A notice's telling words, those that tell it from another license, must
 stand in the span without an edit. Of overlapping matches the one with the fewest
 edits counts, then the longest; every other match overlaps one that counts. Time
 is in proportion to the text. There is no shuffle; rows are independent.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -41,6 +44,8 @@ NOTICES = (
     ("cc-by", "licensed under cc by 3 0", "cc by 3"),
     ("cc-by", "creative commons attribution 4 0 international", "attribution 4"),
     ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa", "cc by nc sa"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd", "cc by nc nd"),
     ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd", "cc by nd"),
     ("cc0", "cc0 1 0 universal public domain dedication", "cc0"),
@@ -58,6 +63,10 @@ NOTICES = (
 #: One error for so many characters of a notice, MOST_ERRORS at most.
 CHARS_PER_ERROR = 8
 MOST_ERRORS = 4
+#: Pieces that are intact in every match when a notice is cut for the second test.
+SPARE = 3
+#: Characters between hits that are looked at together.
+NEAR = 400
 
 _WORD_MAP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -68,9 +77,9 @@ FIELDS = T.StructType([
 ])
 
 
-def pieces(text: str, errors: int) -> list[tuple[int, str]]:
-    """``text`` cut into errors + 1 pieces of near-equal length, with their offsets."""
-    n, k = len(text), errors + 1
+def pieces(text: str, k: int) -> list[tuple[int, str]]:
+    """``text`` cut into k pieces of near-equal length, with their offsets."""
+    n = len(text)
     marks = [n * i // k for i in range(k + 1)]
     return [(a, text[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
 
@@ -81,9 +90,28 @@ class Notice:
 
         self.label, self.text, self.telling = label, text, telling.split()
         self.errors = min(MOST_ERRORS, len(text) // chars_per_error)
+        self.fine = pieces(text, self.errors + SPARE)
         # (?e): an earlier start comes first, and its match is then made as close as it can be.
         self.pattern = regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={self.errors}}}")
 
+    def starts(self, text: str, low: int, last: int) -> list[int]:
+        """The starts from ``low`` to ``last`` at which SPARE pieces stand about where they should."""
+        size, k = last + 1 - low, self.errors
+        found = np.zeros(max(size, 0), np.int16)
+        for left, (offset, piece) in zip(range(len(self.fine), 0, -1), self.fine if size > 0 else (), strict=False):
+            stop, places = last + offset + k + len(piece), []
+            at = text.find(piece, max(low + offset - k, 0), stop)
+            while at >= 0:
+                places.append(at)
+                at = text.find(piece, at + 1, stop)
+            if places:
+                shifted = np.array(places) - offset - low
+                edges = np.bincount(np.maximum(shifted - k, 0), minlength=size + 1) - np.bincount(np.minimum(shifted + k + 1, size), minlength=size + 1)
+                found += np.cumsum(edges[:size]) > 0
+            if found.max() + left - 1 < SPARE:
+                return []
+        return (np.flatnonzero(found >= SPARE) + low).tolist()
+
     def told(self, text: str, start: int, stop: int) -> bool:
         """The telling words stand in the match, whole and unedited."""
         if not self.telling:
@@ -101,7 +129,7 @@ class Scanner:
         self.notices = [Notice(*n, chars_per_error) for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, n in enumerate(self.notices):
-            for offset, piece in pieces(n.text, n.errors):
+            for offset, piece in pieces(n.text, n.errors + 1):
                 seeds.setdefault(piece, []).append((i, offset))
             seeds.setdefault(n.text, []).append((i, -1))  # the notice as it is
         self.seeds = ahocorasick.Automaton()
@@ -122,11 +150,11 @@ class Scanner:
                     hits.setdefault(i, []).append(start - offset)
         windows: dict[int, list[list[int]]] = {}
         for i, starts in hits.items():
-            reach, mine = 2 * self.notices[i].errors, windows.setdefault(i, [])
+            mine = windows.setdefault(i, [])
             for start in sorted(starts):
                 if (i, start) in exact:
                     continue
-                if mine and start - mine[-1][1] <= reach and start - mine[-1][0] <= reach:
+                if mine and start - mine[-1][1] <= NEAR:
                     mine[-1][1] = start
                 else:
                     mine.append([start, start])
@@ -142,16 +170,9 @@ class Scanner:
                 found.add((0, -len(n.text), start, start + len(n.text), n.label))
         for i, spans in windows.items():
             n = self.notices[i]
-            words = n.text.split()
             for first, last in spans:
-                low, high = max(0, first - n.errors), min(len(text), last + len(n.text) + n.errors)
-                # An error spoils at most two words, so the others of the notice stand in the window.
-                if len(words) > 2 * n.errors:
-                    there = set(text[max(0, text.rfind(" ", 0, low)) : text.find(" ", high) + 1 or len(text)].split())
-                    if sum(w in there for w in words) < len(words) - 2 * n.errors:
-                        continue
-                for at in range(low, last + n.errors + 1):
-                    if (m := n.pattern.match(text, at, high)) and n.told(text, m.start(), m.end()):
+                for at in n.starts(text, max(0, first - n.errors), last + n.errors):
+                    if (m := n.pattern.match(text, at, min(len(text), at + len(n.text) + n.errors))) and n.told(text, m.start(), m.end()):
                         found.add((sum(m.fuzzy_counts), m.start() - m.end(), m.start(), m.end(), n.label))
         starts: list[int] = []
         out: list[tuple[int, int, str, int]] = []
