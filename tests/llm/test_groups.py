@@ -216,6 +216,45 @@ def test_mixing_keeps_to_the_asked_weights_over_many_slots(spark):
         assert checked_lags(slots_of(got), {"a": Fraction("0.10007"), "b": Fraction("0.30011"), "c": Fraction(1)}) > 900
 
 
+def flat_edf(blocks, weights):
+    """Every slot's source: of those with a released block the one with the earliest deadline, then of more blocks, then by name; a new phase when one has run out."""
+    left, out = dict(blocks), []
+    while any(left.values()):
+        live = sorted((s for s in left if left[s]), key=lambda s: (-blocks[s], s))
+        total, done, t = sum(weights[s] for s in live), Counter(), 0
+        while all(left[s] for s in live):
+            ready = [(-(-(done[s] + 1) * total // weights[s]), k, s) for k, s in enumerate(live) if done[s] * total // weights[s] <= t]
+            s = min(ready)[2]
+            out.append(s)
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+    return out
+
+
+def test_registered_mix_is_earliest_deadline_first_over_all_sources(spark, tmp_path):
+    sizes = {f"src{k}": 40 + 97 * k % 400 for k in range(13)} | {"none": 100}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "doc_id long, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op2_pfair_mix(spark, str(tmp_path)).orderBy("position").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows) and len({r["position"] for r in got}) == len(rows)
+    weights = {s: 1 + int(s[3:]) % 5 if s != "none" else 1 for s in sizes}
+    assert len(set(weights.values())) == 5
+    order = flat_edf({s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, weights)
+    assert slots_of(got) == order
+    assert checked_lags(order, {s: Fraction(w) for s, w in weights.items()}) > 20
+
+
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    spark.range(200_000).selectExpr("if(id < 199000, 7L, id) doc_id", "'a' source").repartition(8).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = mixing.mix(df)
+    assert got.agg(F.countDistinct("position"), F.max("rank")).first()[:] == (200_000, 199_999)
+    place = F.xxhash64(F.lit(0), F.col("doc_id").cast("string"), *mixing.origin(df))
+    assert df.groupBy(place).count().agg(F.max("count")).first()[0] < 40_000
+    assert mixing.origin(df.join(df.select("doc_id").distinct(), "doc_id")) == []
+
+
 def test_mixing_of_many_sources(spark):
     df = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 1500)) source")
     got = mixing.mix(df, block=4).orderBy("position").collect()
