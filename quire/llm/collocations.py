@@ -7,7 +7,8 @@ words and of the rest by joins, are scored in decimals, lose to longer candidate
 the same count by an anti-join with the first and last words of those, and are ranked
 by a window.
 
-Before rows are made, places that can't reach ``least`` occurrences go. A table of
+All words become rows. Before rows of more words are made, places that can't reach
+``least`` occurrences go. A table of
 cells of fixed size counts hashes of words, then of pairs whose words both passed, then
 of longer runs whose pairs all passed. A cell holds at least the count of each phrase
 in it, so no phrase with ``least`` occurrences is lost, and what else passes goes when
@@ -27,6 +28,7 @@ settled by the phrase's bytes. Extra columns aren't read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +55,8 @@ LONG = 1 << 16
 HELD = 300_000
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Lower-cased, with a space for all that stands between words.
+_FLAT = bytes(32 if chr(c) in ".,;:!?\n\v\f\r\t" else int(_LOWER[c]) for c in range(256))
 #: 0 in a word, 1 between words, 2 between pieces.
 _KIND = np.array([2 if chr(c) in ".,;:!?\n\v\f\r" else 1 if chr(c) in " \t" else 0 for c in range(256)], np.uint8)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -99,6 +103,7 @@ class _Words:
     """The words of a slice of texts: where they stand, their pieces, and hashes of runs of them."""
 
     def __init__(self, data: np.ndarray, heads: np.ndarray, lang: np.ndarray, langs: list[bytes], hashers: tuple[_Hasher, ...]):
+        self.texts, self.langs = np.split(data, heads[1:]), lang
         self.data = _LOWER[data]
         kind = _KIND[data]
         inside = kind == 0
@@ -227,23 +232,22 @@ def _sketch(read: DataFrame, parts: int, levels: tuple[int, ...], known: dict[in
 
 
 def _rows(max_n: int, bits: Callable[[], dict[int, np.ndarray]], power: int) -> Callable:
-    """Rows (lang, phrase, n) of the places that pass, added up in the task; a null phrase has a language's words."""
+    """Rows (lang, phrase, n), added up in the task: of all words, and of the longer runs that pass."""
     shift = np.uint64(64 - power)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashers = bits(), tuple(map(_Hasher, _BASES))
-        held: dict[tuple[bytes, bytes | None], int] = {}
+        held: dict[bytes, Counter] = {}
 
         def sent() -> pa.RecordBatch:
-            arrays = [pa.array([k[i] for k in held], pa.binary()) for i in (0, 1)]
-            made = pa.RecordBatch.from_arrays([*arrays, pa.array(held.values(), pa.int64())], names=["lang", "phrase", "n"])
+            arrays = [pa.array([lang for lang, c in held.items() for _ in c], pa.binary()), pa.array([p for c in held.values() for p in c], pa.binary()), pa.array([n for c in held.values() for n in c.values()], pa.int64())]
             held.clear()
-            return made
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n"])
 
         for words, langs in _slices(batches, hashers):
-            for k, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
-                held[langs[k], None] = held.get((langs[k], None), 0) + int(n)
-            for n in range(1, max_n + 1):
+            for text, k in zip(words.texts, words.langs.tolist(), strict=True):
+                held.setdefault(langs[k], Counter()).update(text.tobytes().translate(_FLAT).split())
+            for n in range(2, max_n + 1):
                 at = _passing(words, n, known, shift)
                 h = words.runs(n)[at]
                 passed = known[n][h >> shift]
@@ -253,10 +257,9 @@ def _rows(max_n: int, bits: Callable[[], dict[int, np.ndarray]], power: int) ->
                 h, other = h[order], other[order]
                 new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])])) if len(h) else order
                 for place, count in zip(at[order[new]].tolist(), np.diff(np.append(new, len(h))).tolist(), strict=True):
-                    key = langs[words.lang[place]], words.phrase(place, n)
-                    held[key] = held.get(key, 0) + count
-                if len(held) >= HELD:
-                    yield sent()
+                    held.setdefault(langs[words.lang[place]], Counter())[words.phrase(place, n)] += count
+            if sum(map(len, held.values())) >= HELD:
+                yield sent()
         yield sent()
 
     return run
@@ -275,9 +278,10 @@ def frequent(docs: DataFrame, max_n: int = 5, least: int = 100) -> tuple[DataFra
     sent = read.sparkSession.sparkContext.broadcast(known)
     unpacked = lambda: {n: np.unpackbits(np.frombuffer(b, np.uint8)).view(bool) for n, b in sent.value.items()}
     rows = read.mapInArrow(_rows(max_n, unpacked, power), "lang binary, phrase binary, n long")
-    added = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") >= least))
-    added = materialize(added.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "n"), "phrases")
-    return added.filter("phrase is not null"), added.filter("phrase is null").select("lang", "n")
+    added = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    added = materialize(added.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "phrase")], "n"), "counts")
+    phrases = materialize(added.filter(F.col("n") >= least), "phrases")
+    return phrases, added.filter(~F.contains("phrase", F.lit(" "))).groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:
