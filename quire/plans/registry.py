@@ -138,6 +138,51 @@ def unified_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("new", new).select("section_id", "version", unified(F.col("old"), F.col("new")).alias("diff_text"))
 
 
+def unified_diff_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts of many lines against a later version: turns taken out, moved to the front and added, so that lines have to be aligned."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = lambda x: F.concat_ws("\n", x["role"], x["text"])
+    old = F.array_join(F.transform("t", said), "\n\n")
+    kept = F.transform(F.filter("t", lambda x: x["turn"] % 4 != 1), said)
+    new = F.array_join(F.concat(F.transform(F.slice("t", -1, 1), said), kept, F.array(F.concat(F.lit("end of "), F.col("conv_id")))), "\n\n")
+    return turns.select("conv_id", old.alias("old"), new.alias("new")).select("conv_id", unified(F.col("old"), F.col("new")).alias("diff_text"))
+
+
+def _unified_sql(source: str, keys: str) -> str:
+    """Unified diffs of ``source`` (keys, old, new); its texts have less than 200 lines, and no line ends but \\n."""
+    on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    of = lambda x: ", ".join(f"{x}.{k}" for k in keys.split(", "))
+    lines = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN []::VARCHAR[] WHEN {c}[-1:] = E'\\n' THEN string_split({c}, E'\\n')[:-2] ELSE string_split({c}, E'\\n') END"
+    shown = lambda a, b: f"CASE WHEN {b} - {a} = 1 THEN ({a} + 1)::VARCHAR WHEN {b} = {a} THEN {a} || ',0' ELSE ({a} + 1) || ',' || ({b} - {a}) END"
+    return rf"""RECURSIVE texts AS (SELECT {keys}, {lines('old')} AS a, {lines('new')} AS b FROM {source}),
+    la AS (SELECT {keys}, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM texts),
+    lb AS (SELECT {keys}, unnest(b) AS line, generate_subscripts(b, 1) - 1 AS j FROM texts),
+    alike AS (SELECT {of('la')}, i, j, i - row_number() OVER (PARTITION BY {of('la')}, i - j ORDER BY i) AS island FROM la JOIN lb ON {on('la', 'lb')} AND la.line = lb.line),
+    runs AS (SELECT {keys}, min(i) AS i, min(j) AS j, count(*) AS k FROM alike GROUP BY {keys}, i - j, island),
+    walk({keys}, alo, ahi, blo, bhi, best) AS (
+        SELECT {keys}, 0::BIGINT, len(a)::BIGINT, 0::BIGINT, len(b)::BIGINT, (SELECT min((-least(len(a) - r.i, len(b) - r.j, r.k), r.i, r.j)) FROM runs r WHERE {on('r', 'texts')}) FROM texts
+        UNION ALL
+        SELECT {of('p')}, p.alo, p.ahi, p.blo, p.bhi, (SELECT min((-(least(p.ahi - r.i, p.bhi - r.j, r.k) - greatest(p.alo - r.i, p.blo - r.j, 0)), greatest(r.i, p.alo, r.i + p.blo - r.j), greatest(r.j, p.blo, r.j + p.alo - r.i))) FROM runs r WHERE {on('r', 'p')} AND least(p.ahi - r.i, p.bhi - r.j, r.k) > greatest(p.alo - r.i, p.blo - r.j, 0))
+        FROM (SELECT {keys}, x.alo, x.ahi, x.blo, x.bhi FROM (SELECT {keys}, unnest([{{'alo': alo, 'ahi': best[2], 'blo': blo, 'bhi': best[3]}}, {{'alo': best[2] - best[1], 'ahi': ahi, 'blo': best[3] - best[1], 'bhi': bhi}}]) AS x FROM walk WHERE best IS NOT NULL) WHERE x.alo < x.ahi AND x.blo < x.bhi) p),
+    blocks AS (SELECT {keys}, best[2] AS i, best[3] AS j, -best[1] AS k FROM walk WHERE best IS NOT NULL UNION ALL SELECT {keys}, len(a), len(b), 0 FROM texts),
+    gaps AS (SELECT {keys}, coalesce(lag(i + k) OVER w, 0) AS i, i AS e, coalesce(lag(j + k) OVER w, 0) AS j, j AS f FROM blocks WINDOW w AS (PARTITION BY {keys} ORDER BY i, j, k DESC)),
+    changes AS (SELECT *, lag(e) OVER w AS above, coalesce(i - lag(e) OVER w > 6, true) AS opens, coalesce(lead(i) OVER w - e > 6, true) AS closes FROM gaps WHERE i < e OR j < f WINDOW w AS (PARTITION BY {keys} ORDER BY i, j)),
+    grouped AS (SELECT *, sum(opens::INT) OVER (PARTITION BY {keys} ORDER BY i, j) AS g FROM changes),
+    pieces AS (SELECT {of('c')}, c.g, c.i, c.j, list_transform(CASE WHEN opens THEN a[greatest(c.i - 2, 1) : c.i] ELSE a[above + 1 : c.i] END, lambda x: ' ' || x) || list_transform(a[c.i + 1 : e], lambda x: '-' || x) || list_transform(b[c.j + 1 : f], lambda x: '+' || x) || CASE WHEN closes THEN list_transform(a[e + 1 : e + 3], lambda x: ' ' || x) ELSE [] END AS said FROM grouped c JOIN texts ON {on('c', 'texts')}),
+    ends AS (SELECT {of('c')}, g, min(c.i - least(c.i, 3)) AS a0, max(e + least(len(a) - e, 3)) AS a1, min(c.j - least(c.i, 3)) AS b0, max(f + least(len(a) - e, 3)) AS b1 FROM grouped c JOIN texts ON {on('c', 'texts')} GROUP BY {of('c')}, g),
+    hunks AS (SELECT {of('p')}, p.g, '@@ -' || {shown('any_value(a0)', 'any_value(a1)')} || ' +' || {shown('any_value(b0)', 'any_value(b1)')} || E' @@
+' || string_agg(array_to_string(said, E'
+'), E'
+' ORDER BY i, j) AS hunk FROM pieces p JOIN ends ON {on('p', 'ends')} AND p.g = ends.g GROUP BY {of('p')}, p.g),
+    diffs AS (SELECT {of('t')}, CASE WHEN count(hunk) = 0 THEN '' ELSE E'--- 
++++ 
+' || string_agg(hunk, E'
+' ORDER BY g) END AS diff_text FROM texts t LEFT JOIN hunks h ON {on('t', 'h')} GROUP BY {of('t')})"""
+
+
+_EDITED_SQL = r"""(SELECT conv_id, string_agg(said, E'\n\n' ORDER BY turn) AS old,
+        arg_max(said, turn) || E'\n\n' || CASE WHEN count(*) FILTER (WHERE turn % 4 <> 1) > 0 THEN string_agg(said, E'\n\n' ORDER BY turn) FILTER (WHERE turn % 4 <> 1) || E'\n\n' ELSE '' END || 'end of ' || conv_id AS new
+        FROM (SELECT conv_id, turn, concat_ws(E'\n', role, text) AS said FROM conversations) GROUP BY conv_id)"""
 _DIFF_LINES_SQL = r"""WITH p AS (SELECT conv_id AS section_id, turn AS version, split_part(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), E'\n', 1) AS old, split_part(text, E'\n', 1) AS line FROM conversations),
     q AS (SELECT *, CASE WHEN version % 3 = 1 THEN old WHEN version % 4 = 2 THEN '' ELSE line END AS new FROM p)
     SELECT section_id, version, CASE WHEN old = new THEN '' ELSE E'--- \n+++ \n@@ -' || CASE WHEN old = '' THEN '0,0' ELSE '1' END || ' +' || CASE WHEN new = '' THEN '0,0' ELSE '1' END || ' @@' || CASE WHEN old = '' THEN '' ELSE E'\n-' || old END || CASE WHEN new = '' THEN '' ELSE E'\n+' || new END END AS diff_text FROM q"""
@@ -469,7 +514,8 @@ REGISTRY = {
     "edit_tags": (edit_tags, _EDIT_TAGS_SQL),
     "previous_version": (previous_version, _PAIRS_SQL),
     "positional_diff": (positional_diff, _POSITIONAL_SQL),
-    "unified_diff": (unified_diff, None),
+    "unified_diff": (unified_diff, f"WITH {_unified_sql('(SELECT conv_id AS section_id, turn AS version, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations)', 'section_id, version')} SELECT * FROM diffs"),
+    "unified_diff_edits": (unified_diff_edits, f"WITH {_unified_sql(_EDITED_SQL, 'conv_id')} SELECT * FROM diffs"),
     "history_with_current": (history_with_current, _HISTORY_SQL),
     "version_fold": (version_fold, _RETAGGED_SQL),
     "apply_approval": (apply_approval, _APPROVAL_SQL),
