@@ -96,15 +96,12 @@ def scores(text: Column, model: TagModel | None = None) -> Column:
     words = list(model.idf)
     # For each word idf, then idf times the label's weight.
     values = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*[F.lit(model.idf[w] * v) for v in (1.0, *model.weights[w])]))])
-    # Only the vocabulary's words are taken from the text: a whole token is a run of letters, numbers and _.
-    first: dict[str, list[str]] = {}
-    for w in words:
-        first.setdefault(w[0], []).append(re.escape(w[1:]))
-    known = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(first.items()))
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{known})(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    # A token is a run of letters, numbers and _; one set operation finds the few known ones, and only those are counted.
+    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    known = F.array(*[F.lit(w) for w in words])
 
     def scored(all_: Column) -> Column:
-        terms = F.transform(F.array_distinct(all_), lambda w: F.struct(F.size(F.filter(all_, lambda t: t == w)).cast("double").alias("n"), F.element_at(values, w).alias("v")))
+        terms = F.transform(F.array_intersect(all_, known), lambda w: F.struct(F.size(F.filter(all_, lambda t: t == w)).cast("double").alias("n"), F.element_at(values, w).alias("v")))
 
         def of(terms: Column) -> Column:
             total = lambda k: F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["n"] * t["v"][k])

@@ -17,6 +17,7 @@ from quire.operators.entities import FOREIGN_KEYS, STATUSES
 from quire.operators.listings import can_upload
 from quire.operators.structure import split_sections
 from quire.operators.tagging import UNTAGGED, TagModel, tag
+from quire.session import materialize
 
 #: What an edit may change: column and the flag that says it was given.
 EDITABLE = (("subtitle", "has_subtitle"), ("content", "has_content"), ("page_number", "has_page"), ("order", "has_order"))
@@ -30,19 +31,30 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def insert_unique(table: DataFrame, rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(table with the new rows, refused rows): a value that is empty, there already or given earlier (by id) is refused."""
     named = F.coalesce(F.col(column) != "", F.lit(False))
-    first = F.row_number().over(Window.partitionBy(column).orderBy("id"))
-    ranked = rows.withColumn("__r", first)
-    new = ranked.filter(named & (F.col("__r") == 1)).drop("__r").join(table.select(column), column, "left_anti").select(*rows.columns)
+    (rank,) = free(rows, "rank")
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(column).orderBy("id")))
+    new = ranked.filter(named & (F.col(rank) == 1)).drop(rank).join(table.select(column), column, "left_anti").select(*rows.columns)
     return append(table, new), rows.join(new.select("id"), "id", "left_anti")
 
 
 def register_users(users: DataFrame, departments: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New users wait for approval as staff role; an unknown department becomes null."""
-    known = departments.select(F.col("id").alias("__d"))
-    rows = rows.join(known, F.col("department_id") == F.col("__d"), "left").withColumn("department_id", F.col("__d")).drop("__d")
+    (known,) = free(rows, "known")
+    rows = rows.join(departments.select(F.col("id").alias(known)), F.col("department_id") == F.col(known), "left").withColumn("department_id", F.col(known)).drop(known)
     rows = rows.withColumn("is_approved", F.lit(False)).withColumn("role", F.lit("staff"))
     return insert_unique(users, rows, "username")
 
@@ -188,19 +200,21 @@ def failed_approvals(reviews: DataFrame, revisions: DataFrame, texts: DataFrame)
 def delete(tables: Mapping[str, DataFrame], entity: str, keys: DataFrame) -> dict[str, DataFrame]:
     """All tables after rows of ``entity`` whose id is in ``keys`` (id) go: children cascade or lose the reference."""
     out = dict(tables)
-    gone = out[entity].join(keys.select("id"), "id", "left_semi").select("id")
-    out[entity] = out[entity].join(keys.select("id"), "id", "left_anti").select(*out[entity].columns)
-    for child, column, parent, rule in FOREIGN_KEYS:
-        if parent != entity or child not in out:
-            continue
+    columns = out[entity].columns
+    parents = [(child, column, rule) for child, column, parent, rule in FOREIGN_KEYS if parent == entity and child in out]
+    if parents:
+        # Several tables ask for the keys: they are worked out once, and only they.
+        keys = materialize(out[entity].join(keys.select("id").distinct(), "id", "left_semi").select("id"), "gone")
+    out[entity] = out[entity].join(keys.select("id"), "id", "left_anti").select(*columns)
+    for child, column, rule in parents:
         columns = out[child].columns
         if rule == "cascade":
-            hit = out[child].join(gone, out[child][column] == gone["id"], "left_semi").select("id")
+            hit = out[child].join(keys, out[child][column] == keys["id"], "left_semi").select("id")
             out = delete(out, child, hit)
         else:
-            lost = gone.select(F.col("id").alias("__gone"))
-            nulled = out[child].join(lost, F.col(column) == F.col("__gone"), "left")
-            out[child] = nulled.withColumn(column, F.when(F.col("__gone").isNull(), F.col(column))).select(*columns)
+            (gone,) = free(out[child], "gone")
+            nulled = out[child].join(keys.select(F.col("id").alias(gone)), F.col(column) == F.col(gone), "left")
+            out[child] = nulled.withColumn(column, F.when(F.col(gone).isNull(), F.col(column))).select(*columns)
     return out
 
 

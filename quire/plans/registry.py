@@ -7,6 +7,8 @@ lineitem for manuals and their sections, events for revisions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from quire.functions.text import extension, preview, shown_date, shown_lines, st
 from quire.operators import listings, tagging, workflow
 from quire.operators.diffs import positional_rows, unified
 from quire.operators.entities import SCHEMAS
+from quire.operators.state import SectionStore
 from quire.operators.structure import clean, split_sections
-from quire.session import table
+from quire.session import delete_on_exit, shared_dir, table
 from quire.sources import files
 
 # ---- text ------------------------------------------------------------------------
@@ -97,6 +100,27 @@ def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.extract(raw).select("doc_id", "raw_text", F.col("error").isNotNull().alias("failed"))
 
 
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations kept as files, read back by the names that manuals hold: some name no file, one that is gone, or one of a type that isn't read."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = turns.select("conv_id", F.array_join("t.text", "\n").alias("value"))
+    folder = delete_on_exit(spark, f"{shared_dir(spark)}/quire-files-{uuid.uuid4().hex}")
+    # A file a conversation, with a number of their own for those of another type.
+    texts.filter("conv_id % 7 <> 3").repartition("conv_id").write.partitionBy("conv_id").text(f"{folder}/kind=text")
+    texts.filter("conv_id % 7 = 3").repartition("conv_id").write.partitionBy("conv_id").csv(f"{folder}/kind=other")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("path"))
+    there = there.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("at"), "path")
+    name = F.when(F.col("conv_id") % 5 == 1, F.lit("")).when(F.col("conv_id") % 5 == 2, F.concat("path", F.lit(".gone.txt"))).otherwise(F.col("path"))
+    manuals = turns.join(there, F.col("conv_id") == F.col("at")).select(F.col("conv_id").alias("id"), name.alias("file"))
+    found = files.read_back(manuals, files.read_named(spark, folder, manuals))
+    return found.select("id", "text", F.substring_index("error", ":", 1).alias("error"))
+
+
+_STORED_SQL = rf"""WITH docs AS (SELECT conv_id AS doc_id, string_agg(text, E'\n' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), {_clean_ctes('docs')},
+    back AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 1 THEN 'no file' WHEN doc_id % 5 = 2 THEN 'file not found' WHEN doc_id % 7 = 3 THEN 'ValueError' END AS error, cleaned FROM cleaned)
+    SELECT id, CASE WHEN error IS NULL THEN cleaned END AS text, error FROM back"""
+
+
 def upload_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploads titled by their source: what upload, cleanup, sectioning and tagging insert; German files can't be read."""
     made = clean(_headed(spark, sf_dir)).withColumn("file", F.concat(F.lit("manual-"), "doc_id"))
@@ -248,6 +272,17 @@ def version_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("id", "subtitle", "content", "tag", "page_number", "version")
 
 
+def incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``version_fold`` in batches of a turn: each reads the last snapshot and its own events only; every batch is delivered twice."""
+    sections, events = _edits(spark, sf_dir)
+    store = SectionStore.create(spark, delete_on_exit(spark, f"{shared_dir(spark)}/quire-store-{uuid.uuid4().hex}"), sections, buckets=8)
+    for turns in (events.filter("seq <= 1"), events.filter("seq between 2 and 4"), events.filter("seq > 4")):
+        batch = store.next_batch()
+        for _ in range(2):
+            store.apply(turns, batch)
+    return store.sections().select("id", "subtitle", "content", "tag", "page_number", "version")
+
+
 def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, past = workflow.fold_edits(*_edits(spark, sf_dir))
     return past.select("section_id", "version", "subtitle", "content", "edited_by_id")
@@ -521,6 +556,8 @@ REGISTRY = {
     "apply_approval": (apply_approval, _APPROVAL_SQL),
     "unified_diff_lines": (unified_diff_lines, _DIFF_LINES_SQL),
     "submit_revision": (submit_revision, _SUBMIT_SQL),
+    "incremental_fold": (incremental_fold, _RETAGGED_SQL),
+    "stored_files": (stored_files, _STORED_SQL),
     "headed_cleanup": (headed_cleanup, f"WITH {_HEADED_SQL}, {_clean_ctes('headed')} SELECT doc_id, cleaned FROM cleaned UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
     "headed_sections": (headed_sections, f"WITH {_HEADED_SQL}, {_clean_ctes('headed')}, {_sections_ctes('cleaned', 'cleaned')} SELECT doc_id, ord, subtitle, content FROM sections"),
     "text_source": (text_source, "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE coalesce(text, '') END AS raw_text, coalesce(lang = 'de', false) AS failed FROM documents"),

@@ -68,8 +68,29 @@ def extract(df: DataFrame, name_col: str = "path", content_col: str = "content")
                 rows.append((None, f"{type(failure).__name__}: {failure}"))
         return pd.DataFrame(rows, columns=["raw_text", "error"])
 
-    made = df.withColumn("__read", read(kind(F.col(name_col)), F.col(content_col)))
-    return made.withColumn("raw_text", F.col("__read.raw_text")).withColumn("error", F.col("__read.error")).drop("__read")
+    got = "read"
+    while got in {c.lower() for c in df.columns}:
+        got += "_"
+    made = df.withColumn(got, read(kind(F.col(name_col)), F.col(content_col)))
+    return made.withColumn("raw_text", F.col(got)["raw_text"]).withColumn("error", F.col(got)["error"]).drop(got)
+
+
+#: File names that go into the plan of a scan.
+MOST_NAMES = 20_000
+
+
+def read_named(spark: SparkSession, folder: str, rows: DataFrame, path_col: str = "file", most: int = MOST_NAMES) -> DataFrame:
+    """Rows (path, content) of the files below ``folder`` that ``rows`` name, by their full URI.
+
+    Up to ``most`` names become a filter on the files' metadata, by which the scan's
+    planning leaves out all other files unopened. More names don't: then all files
+    are read, and whoever joins them to the rows does so by a shuffle.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    names = [r[0] for r in rows.select(path_col).filter(F.col(path_col) != "").distinct().limit(most + 1).collect()]
+    if len(names) <= most:
+        files = files.filter(F.col("_metadata.file_path").isin(names))
+    return files.select(F.col("_metadata.file_path").alias("path"), "content")
 
 
 def stored(df: DataFrame, files: DataFrame, path_col: str = "file") -> DataFrame:
