@@ -23,8 +23,8 @@ go to the library, which is as exact (see fast_bpe.py) and in budget. The work n
 no shuffle: a lost task is simply run again.
 
 Cases: a null text is encoded as the empty text (no ids, decoded to ""); an empty
-table gives an empty result. Texts with uncommon white space or the vocabulary's
-special tokens are encoded by the tokenizers library in whole. Repeated rows give
+table gives an empty result. A chunk with uncommon white space is encoded by the
+tokenizers library itself, a text with the vocabulary's special tokens in whole. Repeated rows give
 repeated results. Extra columns are kept whatever their names; those named as a
 result, in any case, are replaced by it.
 """
@@ -92,28 +92,34 @@ def cuts(data: bytes, window: int = WINDOW, mask: int = MASK, least: int = LEAST
 
 
 def kind(ch: str) -> str:
-    """L letter, N number, P anything else, as the pre-tokenizer tells them apart; white space is told before."""
+    """S uncommon white space, L letter, N number, P anything else, as the pre-tokenizer tells them apart; plain white space is told before."""
+    if ODD_SPACE.match(ch):
+        return "S"
     return "L" if ch.isalpha() else "N" if unicodedata.category(ch)[0] == "N" else "P"
 
 
 _KINDS = bytes(ord(kind(chr(k))) for k in range(128))
+_ODD = ord("S")
 
 
 def anchor(data: bytes, at: int) -> bool:
     """A span may begin or end here: white space begins, or a run of one kind goes on.
 
     Not before an apostrophe, which may begin a word of its own, nor before the
-    last character of a run of white space, which the next word may take.
+    last character of a run of white space, which the next word may take, nor beside
+    uncommon white space, which joins such runs.
     """
     b, c = data[at - 1], data[at]
     if c in _SPACE:
+        if b < 128 and _KINDS[b] == _ODD or b >= 128 and kind(data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:] or " ") == "S":
+            return False
         return b not in _SPACE or at + 1 < len(data) and data[at + 1] in _SPACE
     if b in _SPACE or c & 0xC0 == 0x80 or c == 0x27:
         return False
     if b < 128 and c < 128:
-        return _KINDS[b] == _KINDS[c]
+        return _KINDS[b] == _KINDS[c] != _ODD
     before, after = data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], data[at : at + 4].decode("utf-8", "ignore")[:1]
-    return before != "" and after != "" and kind(before) == kind(after)
+    return before != "" and after != "" and kind(before) == kind(after) != "S"
 
 
 class Chunk:
@@ -184,6 +190,11 @@ class ChunkEncoder:
                 else:
                     self.encoded += 1
                     fresh[c] = UNIT.findall(c.decode())
+        # What stands beside uncommon white space isn't told by units: such a chunk goes to the library.
+        odd = [c for c in fresh if ODD_SPACE.search(c.decode())]
+        for c, ids in zip(odd, self.base.library([c.decode() for c in odd]), strict=True):
+            self.chunks[c] = self.chunk(c, ids.tobytes())
+            del fresh[c]
         known = self.base.learn({u for units in fresh.values() for u in units})
         for c, units in fresh.items():
             self.chunks[c] = self.chunk(c, b"".join(map(known.__getitem__, units)))
@@ -191,7 +202,7 @@ class ChunkEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[array]:
         texts = [t or "" for t in texts]
-        plain = [not ODD_SPACE.search(t) and not any(x in t for x in self.special) for t in texts]
+        plain = [not any(x in t for x in self.special) for t in texts]
         split = iter(self.split([t.encode() for t, ok in zip(texts, plain, strict=True) if ok]))
         parts = [next(split) if ok else [] for ok in plain]
         get = self.chunks.__getitem__
