@@ -13,7 +13,7 @@ level 0; if its bit is set, it goes on at entry rank1(bitmap, p) of level 1, and
 on: at most four lookups, and no block is decoded.
 
 Documents are dealt by range of doc_id and a hash of the text and sorted (the text
-moves once; rows of one id may lie in several ranges, so a repeated id is no hot
+moves once; rows of one id, and copies of a row, may lie in several ranges, so none is a hot
 task), then each task encodes its documents and writes its shards to the shared
 folder under a temporary name and renames them. Names follow from the partition
 alone, so a task that is run again replaces its own files with equal ones; a task
@@ -162,8 +162,10 @@ def write(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
         path = public_tokenizers.path("word_bpe_49k.json")
     folder = folder or f"{shared_dir(spark)}/quire-dac-{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(integer_ids(df, id_col).alias("id"), col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    rows = df.select(integer_ids(df, id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    # Equal rows are told apart by where they were read, so that copies of a row fill many ranges.
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(n, "id", "h", "at").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

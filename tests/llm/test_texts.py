@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import bpe_reuse, dac_file, licenses, quality_rules
@@ -291,3 +292,27 @@ def test_random_access():
     assert np.array_equal(np.concatenate([shard.document(k) for k in range(4)]), ids)
     assert np.array_equal(shard.tokens(777, 3333), ids[777:3333])
     assert shard.n_tokens == 5000
+
+
+def test_uncommon_white_space_stays_within_the_method():
+    import random
+
+    rng = random.Random(4)
+    made = bpe_reuse.ChunkEncoder(bpe_reuse.default_path())
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(6000))
+    made.encode([base])
+    before = made.encoded
+    text = base[:20_000] + "\u00a0\u3000 " + base[20_000:]
+    assert made.encode([text])[0].tolist() == made.base.tokenizer.encode(text, add_special_tokens=False).ids
+    assert made.encoded - before < 5 and made.reused > 40
+    for _ in range(300):
+        text = "".join(rng.choice(["word ", " ", "x.", "\u00a0", "\x0b", "\u2003", "\n", "12", "é", "  ", "'s"]) for _ in range(rng.randint(100, 900)))
+        assert made.encode([text])[0].tolist() == made.base.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_copies_of_a_row_fill_many_ranges(spark):
+    rows = spark.range(40_000).selectExpr("5L doc_id", "'same text' text").repartition(8)
+    manifest = dac_file.write(rows)
+    assert manifest.agg(F.countDistinct("part"), F.sum("n_docs"), F.max("n_docs")).first()[:2] == (8, 40_000)
+    got = dac_file.read(manifest)
+    assert got.agg(F.count("*"), F.countDistinct("start"), F.countDistinct("ids_crc32")).first()[:] == (40_000, 40_000, 1)
