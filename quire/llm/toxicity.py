@@ -80,6 +80,10 @@ _NUMBER = re.compile(r"[+\-(#]?[$€£]?\d[\d.,:;/'\-+]*[%€$£]?\)?\Z")
 #: Letters of other scripts that look like one of ours.
 _OTHER = {ord(ch): x for ch, x in LOOKALIKES.items() if ch.isalpha()}
 _OTHERS = re.compile("[" + "".join(map(chr, _OTHER)) + "]")
+#: Tokens that may hide a word: all but single letters of one script in turn, none doubled, between marks that stand for no letter.
+_MARKS = re.escape("".join(ch for ch in _AROUND if ch not in LOOKALIKES))
+_SUSPECT = re.compile(rf"(?<!\S)(?![{_MARKS}]*+(?:([^\W\d_{''.join(map(chr, _OTHER))}])(?!\1))*+[{_MARKS}]*+(?!\S))\S+")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
 def letter_codes() -> np.ndarray:
@@ -183,6 +187,27 @@ class Decoder:
                 best = {state: (cost, "", (before, text)) for state, (cost, text, before) in best.items()}
         return spelled(*self.ended(best)[1:])
 
+    def undoubled(self, token: str) -> str:
+        """``viterbi`` of a token of letters: where only some are doubled, its lattice has few paths, which are gone through one by one."""
+        places = [m.start() + 1 for m in _DOUBLE.finditer(token)]
+        if len(places) > 3 or _TRIPLE.search(token):
+            return self.viterbi(token)
+        codes = [self.code.get(ch, 1) for ch in token]
+        best, dropped = math.inf, ()
+        for some in range(1 << len(places)):
+            gone = tuple(x for k, x in enumerate(places) if some >> k & 1)
+            a = b = 0
+            total = 0.0
+            for i, c in enumerate(codes):
+                if i in gone:
+                    total += REPEATS[0][1]
+                else:
+                    total, a, b = total + self.cost[a][b][c], b, c
+            total += self.cost[a][b][0]
+            if total < best:
+                best, dropped = total, gone
+        return "".join(ch for i, ch in enumerate(token) if i not in dropped)
+
     def step(self, best: Paths, options: list[tuple[str, float]]) -> Paths:
         new: Paths = {}
         for (a, b), (cost, text, before) in best.items():
@@ -257,14 +282,17 @@ class Decoder:
                 plain = core.translate(_OTHER)
             if _PLAIN.match(plain) and not _DOUBLE.search(plain):
                 found += [plain] * (plain != core)
+            elif _PLAIN.match(plain) and left == right == 0:
+                found.append(self.undoubled(plain))
             elif not _NUMBER.match(plain) and (_LETTER.search(plain) or len(set(plain)) > 1 and all(ch in LOOKALIKES for ch in plain)):
                 found.append(self.viterbi(plain, left, right))
         out = self.known[token] = tuple(w for w in found if w)
         return out
 
-    def restored(self, words: list[str]) -> list[str]:
-        """Words that stand behind disguised tokens and behind runs of single characters."""
-        found = [w for ws in map(self.token, set(words)) for w in ws]
+    def restored(self, low: str) -> list[str]:
+        """Words that stand behind disguised tokens of a lower-case text and behind its runs of single characters."""
+        found = [w for ws in map(self.token, {m[0] for m in _SUSPECT.finditer(low)}) for w in ws]
+        words = low.split()
         cores = [w.strip(_AROUND) or w for w in words]
         singles = bytes(map((1).__eq__, map(len, cores)))
         at = singles.find(b"\1\1\1")
@@ -284,7 +312,7 @@ def words_of(text: str | None, decoder: Decoder) -> set[str]:
         return set()
     low = text.lower()
     plain = low.encode("utf-8", "surrogatepass").translate(_WORD_MAP).decode("utf-8", "replace")
-    return set(plain.split()).union(decoder.restored(low.split()))
+    return set(plain.split()).union(decoder.restored(low))
 
 
 class Lexicon:
