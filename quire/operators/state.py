@@ -5,7 +5,7 @@ A store is a folder. ``data/<name>/bucket=b`` holds sections by a hash of their
 them are the present state: for each bucket the folder that holds it, the history's
 folders, and the last batch. A batch reads the buckets that its events touch, and its
 events, never what came before them; it writes new folders, and the state moves on in
-one step when the next manifest, written elsewhere, gets its name. A name is given once, so
+one step when the next manifest, once it is whole, gets its name. A name is given once, so
 of two writers the second fails with Conflict and nothing of it counts. After a crash the
 last manifest still tells the whole state; folders that no manifest names don't count.
 
@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.tagging import TagModel
 from quire.operators.workflow import fold_edits
+from quire.session import give_name
 
 BUCKETS = 64
 
@@ -40,23 +41,14 @@ class SectionStore:
         self._fs = self._path("manifest").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _manifest(self) -> dict:
-        numbers = [int(s.getPath().getName()) for s in self._fs.listStatus(self._path("manifest"))]
+        numbers = [int(n) for s in self._fs.listStatus(self._path("manifest")) if (n := s.getPath().getName()).isdigit()]
         text = self.spark.read.text(f"{self.folder}/manifest/{max(numbers):012d}", wholetext=True).first()[0]
         return json.loads(text)
 
     def _commit(self, manifest: dict) -> None:
-        name, jvm = f"{manifest['version']:012d}", self.spark._jvm
-        draft = self._path("drafts", uuid.uuid4().hex)
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        self._fs.mkdirs(self._path("manifest"))
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        keep = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(draft, self._path("manifest", name), keep)
-        except Exception as taken:
-            raise Conflict(f"manifest {name} is there already") from taken
+        name = f"{manifest['version']:012d}"
+        if not give_name(self.spark, f"{self.folder}/manifest/{name}", json.dumps(manifest)):
+            raise Conflict(f"manifest {name} is there already")
 
     def _put(self, sections: DataFrame, buckets: int) -> str:
         name = uuid.uuid4().hex

@@ -15,9 +15,11 @@ import re
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import keep_once
+
 UNTAGGED = "UNTAGGED"
 
 # The training texts of each label.
@@ -51,7 +53,15 @@ class TagModel:
         return cls(**json.loads(Path(path).read_text()))
 
     @classmethod
-    def load_or_train(cls, path: str) -> TagModel:
+    def load_or_train(cls, path: str, spark: SparkSession | None = None) -> TagModel:
+        """The model kept at ``path``, or a new one, which is then kept.
+
+        With ``spark`` the path may be in any storage that Spark writes. The model is
+        written beside it and then given its name, which happens once: of sessions that
+        train together the first to finish decides, and the others take its model.
+        """
+        if spark is not None:
+            return cls(**json.loads(keep_once(spark, path, lambda: json.dumps(train().__dict__))))
         if Path(path).exists():
             return cls.load(path)
         model = train()

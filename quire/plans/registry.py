@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import extension, preview, shown_date, shown_lines, status_badge, status_label, tag_colour
-from quire.operators import listings, tagging, workflow
+from quire.operators import access, listings, tagging, workflow
 from quire.operators.diffs import positional_rows, unified
 from quire.operators.entities import SCHEMAS
 from quire.operators.state import SectionStore
 from quire.operators.structure import clean, split_sections
 from quire.session import delete_on_exit, shared_dir, table
-from quire.sources import files
+from quire.sources import files, tables
 
 # ---- text ------------------------------------------------------------------------
 
@@ -404,6 +404,101 @@ def readable_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.readable(_manuals(spark, sf_dir), 3, False).select("id", "department_id")
 
 
+def _accessed(spark: SparkSession, sf_dir: str, reader: int | None) -> DataFrame:
+    sections = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("manual_id"))
+    access.install(spark, _departments(spark, sf_dir), _users(spark, sf_dir), _manuals(spark, sf_dir), sections)
+    return access.visible(spark, reader)
+
+
+def access_anonymous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accessed(spark, sf_dir, None)
+
+
+def access_authenticated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accessed(spark, sf_dir, 3)
+
+
+def access_staff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accessed(spark, sf_dir, 7)
+
+
+def admin_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _departments(spark, sf_dir).withColumn("created_at", F.lit("2020-01-01").cast("date"))
+    return listings.admin_list(rows, ["name", "created_at"])
+
+
+def admin_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manuals with the ids of their department and uploader; those without an uploader by a facet of None."""
+    return listings.admin_list(_manuals(spark, sf_dir), ["id", "title", "department_id", "uploaded_by_id"], uploaded_by_id=None)
+
+
+def admin_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.col("l_returnflag").alias("subtitle"), F.col("l_orderkey").alias("manual_id"), F.col("l_linestatus").alias("tag"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("page_number"), F.col("l_linenumber").alias("order"))
+    return listings.admin_list(rows, ["subtitle", "manual_id", "tag", "page_number", "order"], tag="O")
+
+
+def admin_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("section_id"), F.col("user_id").alias("submitted_by_id"), F.col("event_type").alias("status"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("submitted_at"))
+    return listings.admin_list(rows, ["section_id", "submitted_by_id", "status", "submitted_at"], status="purchase")
+
+
+def uploaded_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manuals' own rows after uploads: orders are there, documents are new; those without a title or file are refused."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select((-1 - F.col("doc_id")).alias("id"), F.when(F.col("source") != "src1", F.col("source")).alias("title"), F.pmod("n_chars", F.lit(25)).cast("long").alias("department_id"), F.when(F.col("lang") != "de", F.concat(F.lit("manual-"), "doc_id")).alias("file"))
+    there = _manuals(spark, sf_dir).select("id", "title", F.col("department_id").cast("long").alias("department_id"), F.lit(None).cast("string").alias("file"), "version")
+    texts = docs.select(F.concat(F.lit("manual-"), "doc_id").alias("file"), "text", F.lit(None).cast("string").alias("error"))
+    manuals, _, _ = workflow.upload_manuals(there, spark.createDataFrame([], SCHEMAS["section"]), rows, texts)
+    return manuals.select("id", "title", "department_id", "file", "version")
+
+
+def reviewed_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as revisions, submitted at a stated time, and the time of each one's latest review."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "view", "rejected").otherwise("other")
+    reviews = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("event_type").alias("notes"), F.col("ts").cast("timestamp").alias("ts"))
+    now = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    c = table(spark, sf_dir, "customer")
+    sections = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("content"))
+    uploads = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("section_id"), F.col("c_custkey").alias("submitted_by_id"), F.lit("f.txt").alias("uploaded_file"), F.col("c_name").alias("text"), now.alias("submitted_at"))
+    revisions = workflow.submit_revisions(spark.createDataFrame([], SCHEMAS["revision"]), sections, uploads)
+    at = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+    return workflow.review(revisions, reviews)[0].select("id", "status", "reviewer_notes", at("submitted_at"), at("reviewed_at"))
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON text, nulls included."""
+    return tables.as_json(_manuals(spark, sf_dir).select("id", "title", "uploaded_by_id", "version"))
+
+
+def password_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of customers' names as new passwords, some of them repeated otherwise, and what is wrong with them."""
+    c = table(spark, sf_dir, "customer")
+    new = F.substring("c_name", F.lit(1), (F.col("c_custkey") % 12).cast("int"))
+    again = F.when(F.col("c_custkey") % 5 != 0, new)
+    return c.select(F.col("c_custkey").alias("id"), workflow.password_problem(new, again).alias("problem"))
+
+
+def stored_model_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edit_tags`` by a model kept in the shared storage: the first caller trains it, the next reads it."""
+    path = delete_on_exit(spark, f"{shared_dir(spark)}/quire-model-{uuid.uuid4().hex}.json")
+    for _ in range(2):
+        model = tagging.TagModel.load_or_train(path, spark)
+    return tagging.tag(table(spark, sf_dir, "documents"), "text", untag_blank=False, model=model).select("doc_id", "tag")
+
+
+_SEEN = lambda reader: rf"""WITH {_USERS}, r AS (SELECT * FROM u WHERE id = {reader}), s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS manual_id FROM lineitem)
+    SELECT 'departments' AS what, id FROM d UNION ALL SELECT 'manuals', m.id FROM m, r WHERE r.is_staff OR r.department_id = m.department_id
+    UNION ALL SELECT 'sections', s.id FROM s JOIN m ON s.manual_id = m.id, r WHERE r.is_staff OR r.department_id = m.department_id
+    UNION ALL SELECT 'uploads', m.id FROM m, r WHERE r.department_id = m.department_id UNION ALL SELECT 'users', u.id FROM u, r WHERE r.is_staff"""
+
+_REVIEWED_SQL = r"""WITH e AS (SELECT user_id, event_id, event_type, ts FROM events WHERE event_type IN ('purchase', 'view') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    SELECT c_custkey AS id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'view' THEN 'rejected' ELSE 'pending' END AS status, coalesce(event_type, '') AS reviewer_notes, '2026-01-02 03:04:05.000000' AS submitted_at, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS reviewed_at
+    FROM customer LEFT JOIN e ON user_id = c_custkey"""
+
+
 def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier names as new departments: refused if they end in an even digit, which are taken."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -558,6 +653,18 @@ REGISTRY = {
     "submit_revision": (submit_revision, _SUBMIT_SQL),
     "incremental_fold": (incremental_fold, _RETAGGED_SQL),
     "stored_files": (stored_files, _STORED_SQL),
+    "stored_model_tags": (stored_model_tags, _EDIT_TAGS_SQL),
+    "access_anonymous": (access_anonymous, _SEEN("NULL")),
+    "access_authenticated": (access_authenticated, _SEEN("3")),
+    "access_staff": (access_staff, _SEEN("7")),
+    "admin_departments": (admin_departments, f"WITH {_USERS} SELECT name, DATE '2020-01-01' AS created_at FROM d"),
+    "admin_manuals": (admin_manuals, f"WITH {_USERS} SELECT id, title, department_id, uploaded_by_id FROM m WHERE uploaded_by_id IS NULL"),
+    "admin_sections": (admin_sections, "SELECT l_returnflag AS subtitle, l_orderkey AS manual_id, l_linestatus AS tag, CASE WHEN l_linenumber > 1 THEN l_linenumber END AS page_number, l_linenumber AS \"order\" FROM lineitem WHERE l_linestatus = 'O'"),
+    "admin_revisions": (admin_revisions, "SELECT event_id AS section_id, user_id AS submitted_by_id, event_type AS status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS submitted_at FROM events WHERE event_type = 'purchase'"),
+    "uploaded_manuals": (uploaded_manuals, f"WITH {_USERS} SELECT id, title, department_id, NULL AS file, 1 AS version FROM m UNION ALL SELECT -1 - doc_id, source, n_chars % 25, 'manual-' || doc_id, 1 FROM documents WHERE source <> 'src1' AND source <> '' AND lang <> 'de' AND n_chars IS NOT NULL"),
+    "reviewed_at": (reviewed_at, _REVIEWED_SQL),
+    "json_rows": (json_rows, f"WITH {_USERS} SELECT '{{\"id\":' || id || ',\"title\":\"' || title || '\",\"uploaded_by_id\":' || coalesce(uploaded_by_id::VARCHAR, 'null') || ',\"version\":1}}' AS value FROM m"),
+    "password_check": (password_check, "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'passwords do not match' WHEN length(substring(c_name, 1, (c_custkey % 12)::INT)) < 8 THEN 'password is shorter than 8 characters' END AS problem FROM customer"),
     "headed_cleanup": (headed_cleanup, f"WITH {_HEADED_SQL}, {_clean_ctes('headed')} SELECT doc_id, cleaned FROM cleaned UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
     "headed_sections": (headed_sections, f"WITH {_HEADED_SQL}, {_clean_ctes('headed')}, {_sections_ctes('cleaned', 'cleaned')} SELECT doc_id, ord, subtitle, content FROM sections"),
     "text_source": (text_source, "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE coalesce(text, '') END AS raw_text, coalesce(lang = 'de', false) AS failed FROM documents"),

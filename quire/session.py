@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,35 @@ def delete_on_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def give_name(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that gets its name in one step once it is whole; False if the name is taken."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    store = target.getFileSystem(conf)
+    if store.exists(target):
+        return False
+    out = store.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf)
+    try:
+        context.rename(draft, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        store.delete(draft, False)
+        if store.exists(target):
+            return False
+        raise
+    return True
+
+
+def keep_once(spark: SparkSession, path: str, make: Callable[[], str]) -> str:
+    """The text kept at ``path``; where there is none, that of the first session to make and keep one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        give_name(spark, path, make())
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
