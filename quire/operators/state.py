@@ -1,6 +1,6 @@
-"""Sections kept as a snapshot that batches of edits move forward.
+"""Tables that move forward from manifest to manifest: sections by batches of edits, rows of unique names by insertions.
 
-A store is a folder. ``data/<name>/bucket=b`` holds sections by a hash of their id,
+A section store is a folder. ``data/<name>/bucket=b`` holds sections by a hash of their id,
 ``history/<name>`` the versions that a batch made old, and ``manifest/<n>`` says which of
 them are the present state: for each bucket the folder that holds it, the history's
 folders, and the last batch. A batch reads the buckets that its events touch, and its
@@ -20,11 +20,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.tagging import TagModel
-from quire.operators.workflow import fold_edits
-from quire.session import give_name
+from quire.operators.workflow import fold_edits, insert_unique
+from quire.session import give_name, materialize
 
 BUCKETS = 64
 
@@ -33,7 +34,9 @@ class Conflict(RuntimeError):
     """Another writer moved the state first."""
 
 
-class SectionStore:
+class _Store:
+    """A folder whose state is its last manifest."""
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         path = spark._jvm.org.apache.hadoop.fs.Path
@@ -50,6 +53,49 @@ class SectionStore:
         if not give_name(self.spark, f"{self.folder}/manifest/{name}", json.dumps(manifest)):
             raise Conflict(f"manifest {name} is there already")
 
+
+class UniqueTable(_Store):
+    """Rows whose ``column`` is unique, whoever appends them at the same time.
+
+    An insertion leaves out what the state it has read holds already. If another
+    writer has moved the state meanwhile, nothing of the insertion counts, and it is
+    made again on the new state: the first to finish keeps a name, the other's row is
+    refused. Only names are compared; rows that are there are never rewritten.
+    """
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, rows: DataFrame, column: str) -> UniqueTable:
+        """A new table; of rows of one name the first by id stays."""
+        store = cls(spark, folder)
+        store._commit({"version": 0, "column": column, "schema": rows.schema.json(), "data": []})
+        store.insert(rows)
+        return store
+
+    def _read(self, manifest: dict) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+        paths = [f"{self.folder}/data/{name}" for name in manifest["data"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def rows(self) -> DataFrame:
+        return self._read(self._manifest())
+
+    def insert(self, rows: DataFrame, tries: int = 20) -> DataFrame:
+        """Insert what may be inserted; returns the refused rows (by id)."""
+        for _ in range(tries):
+            manifest = self._manifest()
+            _, refused = insert_unique(self._read(manifest), rows, manifest["column"])
+            name = uuid.uuid4().hex
+            refused = materialize(refused, "refused")
+            rows.join(refused.select("id"), "id", "left_anti").select(*rows.columns).write.parquet(f"{self.folder}/data/{name}")
+            try:
+                self._commit(manifest | {"version": manifest["version"] + 1, "data": [*manifest["data"], name]})
+            except Conflict:
+                continue
+            return refused
+        raise Conflict("other writers were always faster")
+
+
+class SectionStore(_Store):
     def _put(self, sections: DataFrame, buckets: int) -> str:
         name = uuid.uuid4().hex
         placed = sections.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
@@ -68,9 +114,7 @@ class SectionStore:
         return store
 
     def _read(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame:
-        from pyspark.sql.types import StructType
-
-        schema = StructType.fromJson(json.loads(manifest["schema"]))
+        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
         paths = [f"{self.folder}/data/{name}/bucket={b}" for b, name in manifest["data"].items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 

@@ -16,7 +16,7 @@ from quire.functions.text import extension, preview, shown_date, shown_lines, st
 from quire.operators import access, listings, tagging, workflow
 from quire.operators.diffs import positional_rows, unified
 from quire.operators.entities import SCHEMAS
-from quire.operators.state import SectionStore
+from quire.operators.state import SectionStore, UniqueTable
 from quire.operators.structure import clean, split_sections
 from quire.session import delete_on_exit, shared_dir, table
 from quire.sources import files, tables
@@ -499,6 +499,19 @@ _REVIEWED_SQL = r"""WITH e AS (SELECT user_id, event_id, event_type, ts FROM eve
     FROM customer LEFT JOIN e ON user_id = c_custkey"""
 
 
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as users: two batches that share names are inserted in turn; those in the table, and the refused ones."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 50 != 0, F.concat(F.lit("name "), F.pmod("p_partkey", F.lit(97)))).alias("name"))
+    store = UniqueTable.create(spark, delete_on_exit(spark, f"{shared_dir(spark)}/quire-names-{uuid.uuid4().hex}"), part.filter("id % 3 = 1"), "name")
+    refused = store.insert(part.filter("id % 3 <> 1"))
+    return store.rows().select("id", "name", F.lit(True).alias("kept")).union(refused.select("id", "name", F.lit(False)))
+
+
+_UNIQUE_NAMES_SQL = """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 <> 0 THEN 'name ' || p_partkey % 97 END AS name, p_partkey % 3 <> 1 AS late FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY late, id) AS n FROM p)
+    SELECT id, name, n = 1 AS kept FROM r WHERE name IS NOT NULL AND (n = 1 OR late) UNION ALL SELECT id, name, false FROM r WHERE name IS NULL AND late"""
+
+
 def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier names as new departments: refused if they end in an even digit, which are taken."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -653,6 +666,7 @@ REGISTRY = {
     "submit_revision": (submit_revision, _SUBMIT_SQL),
     "incremental_fold": (incremental_fold, _RETAGGED_SQL),
     "stored_files": (stored_files, _STORED_SQL),
+    "unique_names": (unique_names, _UNIQUE_NAMES_SQL),
     "stored_model_tags": (stored_model_tags, _EDIT_TAGS_SQL),
     "access_anonymous": (access_anonymous, _SEEN("NULL")),
     "access_authenticated": (access_authenticated, _SEEN("3")),

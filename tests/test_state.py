@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import workflow
 from quire.operators.entities import FOREIGN_KEYS, SCHEMAS
-from quire.operators.state import Conflict, SectionStore
+from quire.operators.state import Conflict, SectionStore, UniqueTable
 from quire.sources import files
 
 
@@ -97,6 +97,28 @@ def test_a_stream_delivers_a_batch_again(spark, tmp_path):
     assert (state(store.sections()), old(store.history())) == whole(spark, batches[:2])
 
 
+def test_of_two_batches_with_one_name_one_row_is_kept(spark, tmp_path):
+    schema = "id long, name string"
+    for order in (0, 1):
+        store = UniqueTable.create(spark, str(tmp_path / f"u{order}"), spark.createDataFrame([(1, "a"), (2, "a"), (3, "")], schema), "name")
+        other = UniqueTable(spark, str(tmp_path / f"u{order}"))
+        batches = [spark.createDataFrame([(10, "b"), (11, "c"), (12, "a")], schema), spark.createDataFrame([(20, "b"), (21, "d"), (22, None)], schema)]
+        commit, late = store._commit, []
+
+        def overtaken(manifest):
+            if not late:  # between this writer's reading and its commit the other one finishes
+                late.append(other.insert(batches[1 - order]))
+            commit(manifest)
+
+        store._commit = overtaken
+        refused = store.insert(batches[order])
+        first, second = {r["id"] for r in late[0].collect()}, {r["id"] for r in refused.collect()}
+        assert (first, second) == (({22}, {10, 12}) if order == 0 else ({12}, {20, 22}))
+        kept = {r["id"] for r in store.rows().collect()}
+        assert kept == ({1, 20, 21, 11} if order == 0 else {1, 10, 11, 21})
+        assert store.rows().count() == 4
+
+
 def test_only_named_files_are_opened(spark, tmp_path):
     for k in range(30):
         (tmp_path / f"f {k}.txt").write_bytes(b"line %d\xff" % k)
