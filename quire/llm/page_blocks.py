@@ -9,8 +9,9 @@ the light of all others. Blocks of the main text are joined by line ends.
 
 Nobody labelled the pages, so the labeller learns from landmarks: a bounded sample of
 SAMPLE unlike pages of at most SAMPLE_CHARS characters, in which elements like article,
-nav or footer tell the parts apart. Its paragraphs are also laid out anew, in SAMPLE x
-VARIANTS other page designs (menus, banners, notices, side columns, forms,
+nav or footer tell the parts apart. They are read as they are, and MIXED times with other
+parts put before, into and after the article. Their paragraphs are also laid out anew, in
+SAMPLE x VARIANTS other page designs (menus, banners, notices, side columns, forms,
 adverts, comments, with and without telling names), for which the labels are known.
 The sample depends on the pages' contents alone, and training has a fixed seed.
 
@@ -44,7 +45,9 @@ from quire.llm.common import col, map_texts, table
 
 SAMPLE = 300
 SAMPLE_CHARS = 100_000
-VARIANTS = 6
+VARIANTS = 5
+#: Times that a sampled page with landmarks is read again with parts of other kinds put into it.
+MIXED = 4
 EPOCHS = 8
 BATCH = 24
 RATE = 0.004
@@ -231,7 +234,7 @@ class Featurizer:
                 for t in tokens:
                     found[zlib.crc32(t.encode()) % PATH] += 1
             np.tanh(found, out=found)
-            for tokens in elements[-2:]:
+            for tokens in elements[-3:]:
                 for t in tokens:
                     found[PATH + zlib.crc32(("in" + t).encode()) % INNER] = 1
         return found
@@ -395,6 +398,8 @@ _STOCK = {
     "comments": ["Comments", "{w} says:", "3 comments", "Reply", "Report", "Posted by {w} on 3 May", "Leave a comment", "I agree with {w}.", "Great post, thanks!", "{s}"],
     "side": ["Related posts", "Popular", "Recent articles", "Archives", "Categories", "About the author", "Tags", "Most read"],
     "ad": ["Advertisement", "Sponsored", "Buy now", "{s}", "{s}", "{s}"],
+    "letter": ["Subscribe to our newsletter", "Sign up: {s}", "Never miss a story. {s}", "{s}"],
+    "top": ["{w}", "{s}", "{s}", "Welcome to {w}"],
     "menu": ["Home", "News", "About", "Contact", "Blog", "Products", "{w}", "{w}", "{w}"],
 }
 _WRAP = {
@@ -406,9 +411,13 @@ _WRAP = {
     "side": ["aside", 'div class="sidebar"', 'div id="secondary"', 'div class="widget"', 'aside class="related"', 'div id="right-column"', 'div class="related-posts"', "td"],
     "ad": ['div class="ad"', 'div class="advert"', 'div id="banner"', 'ins class="adsbygoogle"', 'div class="sponsored"', 'aside class="promo"', 'div class="ad-slot"', 'div class="advertisement"'],
     "menu": ["nav", 'div class="menu"', 'ul id="nav"', 'div id="navigation"', 'nav class="main-nav"', 'div class="breadcrumb"', 'div class="navbar"', "ul", "div"],
-    "top": ["header", 'div class="header"', 'div id="masthead"', 'div id="header"', 'header class="site-header"', "div"],
+    "letter": ['section class="newsletter"', 'div class="subscribe"', 'div class="signup-box"', 'aside class="newsletter"'],
+    "top": ["header", "header", 'div class="header"', 'div id="masthead"', 'div id="header"', 'header class="site-header"', "div"],
     "main": ["article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'section class="story"', 'article class="post"', "div", "section", 'div class="article-body"', "td", 'div id="main"'],
 }
+#: Kinds of parts that stand within articles, too.
+ASIDES = ("ad", "ad", "notice", "side", "side", "form", "comments", "letter", "share", "top", "menu", "footer")
+_SEAMS = re.compile(r"</(?:p|h[1-6]|div|article|main|nav|ul)>|<(?:p|article|main|footer)[\s>]")
 _MAIN_MARK, _APART_MARK = "\ue000", "\ue001"
 
 
@@ -433,9 +442,17 @@ class Designs:
     def _apart(self, text: str) -> str:
         return _APART_MARK + entities.escape(text.replace(_MAIN_MARK, " "), quote=False)
 
+    def prose(self) -> str:
+        """A stretch of a sampled paragraph, up to the whole of it."""
+        words = self.rng.choice(self.paragraphs).split()
+        return " ".join(words[: max(3, int(len(words) * self.rng.random() ** 0.5))])
+
     def part(self, kind: str) -> str:
         """A part that isn't main text."""
         r = self.rng
+        if kind not in ("menu", "share") and r.random() < 0.4:  # prose like the article's: only its place tells
+            item = r.choice(["<p>{}</p>", "<p>{}</p>", "{}", "<div>{}</div>", "<li>{}</li>", "<h3>{}</h3>", '<div class="comment">{}</div>' if kind == "comments" else "<span>{}</span>"])
+            return self._in(r.choice(_WRAP[kind]), "".join(item.format(self._apart(self.prose())) for _ in range(r.randint(1, 3))))
         some = [self._filled(kind) for _ in range(r.randint(1, 2 if kind in ("notice", "ad", "footer") else 7))]
         if kind == "menu":
             links = [f'<a href="/{k}">{self._apart(t)}</a>' for k, t in enumerate(some + [self._filled(kind) for _ in range(3)])]
@@ -456,6 +473,14 @@ class Designs:
             inner = "".join(r.choice(["<p>{}</p>", "{}", "<div>{}</div>", '<a href="/y">{}</a><br>']).format(self._apart(t)) for t in some)
         return self._in(r.choice(_WRAP[kind]), inner)
 
+    def mixed(self, page: str) -> str:
+        """A page with parts put in at ends and beginnings of its blocks."""
+        r = self.rng
+        places = [m.start() + (len(m[0]) if m[0].startswith("</") else 0) for m in _SEAMS.finditer(page)]
+        for at in sorted(r.sample(places, min(len(places), r.randint(1, 4))), reverse=True):
+            page = page[:at] + self.part(r.choice(ASIDES)) + page[at:]
+        return page
+
     def page(self, title: str, paragraphs: list[str]) -> str:
         r = self.rng
         shown = lambda t: _MAIN_MARK + entities.escape(t, quote=False)
@@ -475,23 +500,32 @@ class Designs:
                 body.append(f'<p>{shown(t)} <a href="/z">more</a></p>')
             else:
                 body.append(item.format(shown(t)))
-            if r.random() < 0.03:
-                body.append(self.part(r.choice(["ad", "share"])))
+            if r.random() < 0.08:
+                body.append(self.part(r.choice(ASIDES)))
         head = r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", '<header class="entry-header"><h1>{}</h1></header>', ""]).format(shown(title))
-        if r.random() < 0.15:
-            body.append(self.part(r.choice(["share", "form", "comments"])))
+        if r.random() < 0.25:
+            body.append(self.part(r.choice(["share", "form", "comments", "letter", "side"])))
         main = self._in(r.choice(_WRAP["main"]), head + "".join(body))
         if r.random() < 0.25:  # a page without a box around its article
             main = head + "".join(body)
         before = [self._in(r.choice(_WRAP["top"]), f"<p>{self._apart(self._filled('menu'))}</p>" + (self.part("menu") if r.random() < 0.5 else ""))] if r.random() < 0.6 else []
-        before += [self.part(k) for k in ("menu", "notice", "ad", "form", "side") if r.random() < (0.6 if k == "menu" else 0.3)]
-        after = [self.part(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice") if r.random() < {"footer": 0.7, "comments": 0.6}.get(k, 0.35)]
+        before += [self.part(k) for k in ("menu", "notice", "ad", "form", "side", "letter") if r.random() < (0.6 if k == "menu" else 0.3)]
+        after = [self.part(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice", "letter", "top") if r.random() < {"footer": 0.7, "comments": 0.6}.get(k, 0.35)]
         r.shuffle(before)
         whole = "".join(before) + main + "".join(after)
         whole = r.choice(["{}", "{}", '<div id="page">{}</div>', '<div class="container">{}</div>', '<div class="wrapper"><div>{}</div></div>', '<form id="aspnetForm">{}</form>' if r.random() < 0.3 else "{}"]).replace("{}", whole)
         return f"<html><head><title>{entities.escape(title)}</title></head><body>{whole}" + r.choice(["</body></html>", ""])
 
 
+def _mixed(parser: Parser, page: str) -> tuple[list[tuple[int, str, int]], list[int]]:
+    """The blocks of a page with landmarks and marked parts, and their labels."""
+    blocks = parser(page)
+    labels = landmarks([parser.tokens(path) for path, _, _ in blocks]) or [0] * len(blocks)
+    plain = [(path, text.replace(_APART_MARK, "").strip(), linked) for path, text, linked in blocks]
+    kept = [(b, y if _APART_MARK not in text else 0) for b, (_, text, _), y in zip(plain, blocks, labels, strict=True) if b[1]]
+    return [(path, text, min(linked, len(text))) for (path, text, linked), _ in kept], [y for _, y in kept]
+
+
 def _marked(parser: Parser, page: str) -> tuple[list[tuple[int, str, int]], list[int]]:
     """The blocks of a made page, without marks, and their labels."""
     blocks, labels = [], []
@@ -516,7 +550,7 @@ def train(pages: DataFrame, html_col: str = "html") -> dict[str, np.ndarray]:
     """The labeller's weights, learned from ``sample(pages)``."""
     parser = Parser()
     featurize = Featurizer(parser)
-    parts, told, stories = [], [], []
+    parts, told, stories, seen = [], [], [], []
     for page in sample(pages, html_col):
         blocks = parser(page)
         labels = landmarks([parser.tokens(path) for path, _, _ in blocks])
@@ -524,6 +558,7 @@ def train(pages: DataFrame, html_col: str = "html") -> dict[str, np.ndarray]:
             parts += [text for _, text, _ in blocks if len(text) > 80]
             continue
         told.append((featurize(blocks), np.array(labels, np.float32)))
+        seen.append(page)
         inside = [text for (_, text, _), y in zip(blocks, labels, strict=True) if y]
         parts += [text for (_, text, _), y in zip(blocks, labels, strict=True) if not y or len(text) > 80]
         if inside:
@@ -538,6 +573,10 @@ def train(pages: DataFrame, html_col: str = "html") -> dict[str, np.ndarray]:
         blocks, labels = _marked(parser, designs.page(" ".join(text[0].split()[:10]), text))
         if blocks:
             made.append((featurize(blocks), np.array(labels, np.float32)))
+    for page in seen * MIXED:
+        blocks, labels = _mixed(parser, designs.mixed(page))
+        if blocks:
+            made.append((featurize(blocks), np.array(labels, np.float32)))
     return fit([x for x in told if len(x[1])] + made)
 
 
