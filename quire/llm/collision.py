@@ -6,7 +6,8 @@ a window centred on it; two vectors at the least cosine differ by a normal numbe
 of known spread, so the window's width gives the chance of a collision, and the
 number of collisions a pair must have is the largest that still finds a pair at
 the threshold with probability RECALL (``calibrate``). Pairs that have it are
-verified by their cosine in double precision.
+verified by their cosine in double precision. All lines are sorted, and pairs are
+counted from the places in their windows (``near``).
 
 Scale: exact copies of a vector are one entry. A label with more than CELL entries
 is halved again and again by further projections, as often as its size asks for.
@@ -15,7 +16,8 @@ both sides, so that a near pair stays together on one side at least; the zone's
 width keeps the recall lost over all cuts below LOSS (``zone``). Work and shuffle
 grow as n to the power of 1.3 to 1.5 of a label's distinct vectors (isotropic
 ones; less where they gather in clusters) instead of its square. A cell that stays
-larger than CELL is dealt by pairs of blocks. A pair that meets in several cells
+larger than CELL is dealt by pairs of blocks; so are cells of lengths of vectors beyond the
+MOST_DIMS most frequent ones, which aren't cut. A pair that meets in several cells
 counts in the one that takes the lower side of every cut whose zone holds both.
 A task returns each entry's number of links and its links' spanning forest, never
 pairs. Components come from distributed min-label rounds; rows find their entry by
@@ -53,6 +55,7 @@ CELL = 2048
 CUTS = 32  # projections that cells may be cut by
 SHRINK = 0.62  # of a cut: the share of the entries on one side
 BINS, REACH = 512, 4.0  # of the projections' counts; unit vectors' projections spread about 1
+PAIRS = 1 << 20  # window places looked at together
 MOST_DIMS = 32  # unlike lengths of vectors for which cuts are made
 
 
@@ -124,39 +127,63 @@ def units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
+class Sorted:
+    """Vectors on many lines: each line's order, each vector's place in it, and the windows of queries."""
+
+    def __init__(self, vectors: np.ndarray, rays: np.ndarray) -> None:
+        self.at = np.ascontiguousarray((vectors @ rays).T.astype(np.float32))
+        self.order = np.argsort(self.at, axis=1, kind="stable")
+        self.places = np.empty(self.order.shape, np.int32)
+        np.put_along_axis(self.places, self.order, np.arange(self.order.shape[1], dtype=np.int32)[None, :], 1)
+
+    def windows(self, queries: np.ndarray, half: np.float32) -> tuple[np.ndarray, np.ndarray]:
+        """First place and end of each query's window on each line; ``queries`` is lines by vectors."""
+        low, high = np.empty(queries.shape, np.int32), np.empty(queries.shape, np.int32)
+        for d, mine in enumerate(queries):
+            line = self.at[d, self.order[d]]
+            low[d], high[d] = np.searchsorted(line, mine - half, "left"), np.searchsorted(line, mine + half, "right")
+        return low, high
+
+
 def near(a: np.ndarray, b: np.ndarray, cosine: float, need: int, rays: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of verified pairs of unit vectors a x b.
 
-    The first projection's windows are stretches of its sorted order; inside them
-    the other windows' collisions are counted, pairs that can't reach ``need`` any
-    more go, and the rest are verified.
+    Every line holds the vectors of b in order, and each of a has a window on it. A
+    pair with ``need`` collisions is missing from k - need windows at most, so it
+    stands in one of the first k - need + 1: the places of those windows are the
+    pairs to be counted, each from the first window it stands in. On the lines in
+    turn a pair's window either holds it or not; pairs that have missed too many go,
+    and those with ``need`` collisions are verified.
     """
     half = np.float32(width * math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6)
-    p, q = (a @ rays).astype(np.float32), (b @ rays).astype(np.float32)
     k = rays.shape[1]
-    dense = (k + 1) // 2
-    rows, order = np.argsort(p[:, 0], kind="stable"), np.argsort(q[:, 0], kind="stable")
-    first = q[order, 0]
+    lines_of = Sorted(b, rays)
+    low, high = lines_of.windows((a @ rays).T.astype(np.float32), half)
     xs, ys = [], []
-    for s in range(0, len(rows), 256):
-        mine = rows[s : s + 256]
-        low = np.searchsorted(first, p[mine[0], 0] - half, "left")
-        high = np.searchsorted(first, p[mine[-1], 0] + half, "right")
-        for at in range(low, high, 8192):
-            others = order[at : min(high, at + 8192)]
-            count = np.zeros((len(mine), len(others)), np.uint8)
-            for d in range(dense):
-                count += np.abs(p[mine, d][:, None] - q[others, d]) <= half
-            i, j = np.nonzero(count >= need - (k - dense))
-            if len(i):
-                x, y, got = mine[i], others[j], count[i, j]
-                for d in range(dense, k):
-                    got = got + (np.abs(p[x, d] - q[y, d]) <= half)
-                x, y = x[got >= need], y[got >= need]
-                for c in range(0, len(x), 50_000):
-                    ok = np.einsum("ij,ij->i", a[x[c : c + 50_000]], b[y[c : c + 50_000]]) >= cosine
-                    xs.append(x[c : c + 50_000][ok])
-                    ys.append(y[c : c + 50_000][ok])
+    for first in range(k - need + 1):
+        sizes = (high[first] - low[first]).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        s = 0
+        while s < len(a):
+            e = max(s + 1, int(np.searchsorted(upto, upto[s] + PAIRS, "right")) - 1)
+            x = np.repeat(np.arange(s, e), sizes[s:e])
+            y = lines_of.order[first][np.arange(len(x)) - np.repeat(upto[s:e] - upto[s], sizes[s:e]) + np.repeat(low[first, s:e], sizes[s:e])]
+            missed = np.full(len(x), first, np.int8)
+            for d in [*range(first), *range(first + 1, k)]:
+                place = lines_of.places[d][y]
+                out = (place < low[d][x]) | (place >= high[d][x])
+                if d < first:  # in an earlier window: counted from there
+                    x, y, missed = x[out], y[out], missed[out]
+                    continue
+                missed += out
+                if d % 2 or d == k - 1:
+                    left = missed <= k - need
+                    x, y, missed = x[left], y[left], missed[left]
+            for c in range(0, len(x), 50_000):
+                ok = np.einsum("ij,ij->i", a[x[c : c + 50_000]], b[y[c : c + 50_000]]) >= cosine
+                xs.append(x[c : c + 50_000][ok])
+                ys.append(y[c : c + 50_000][ok])
+            s = e
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *xs]), np.concatenate([none, *ys])
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import bpe_reuse, dac_file, language_id, licenses, mixing, quality_rules, rule_ensemble, simhash, toxicity
+from quire.llm import bpe_reuse, collision, dac_file, language_id, licenses, mixing, quality_rules, rule_ensemble, simhash, toxicity
 
 #: Names that operators use inside, have used, or that are awkward in themselves.
 AWKWARD = ["text_", "TEXT__", "bucket", "before", "place", "source_key", "rank_in", "class", "turn", "held", "stage_", "stage_score", "found", "n", "n_", "fp_", "low", "root", "size", "kept_key", "row_key", "first_row", "h", "id", "y", "w", "words", "chunks", "n_bytes", "text_hash", "measured_ratio", "stat_n_chars", "place_", "at", "k2", "__s", "__quire_text", "__fp", "a.b", "a`b", "ahead", "blocks"]
@@ -60,6 +60,22 @@ def test_clashing_names_empty_tables_and_nulls(name, clashing, labels, rows):
     assert applied(name, nulls, labels).count() == 5
 
 
+def test_vectors_with_clashing_names_empty_tables_and_nulls(spark):
+    names = ["rep", "copies", "h", "dim", "cell", "both", "own", "x", "y", "n_links", "Component_ID", "kept", "v", "id", "halvings", "a.b"]
+    rows = [(k, [1.0, float(k % 3), 0.5], 1) for k in range(12)] + [(12, None, 1), (13, [0.0, 0.0, 0.0], 1), (14, [None, 1.0, 1.0], 1), (15, [1.0, 0.0, 0.5], None), (None, [1.0, 0.0, 0.5], 1), (3, [1.0, 0.0, 0.5], 1), (16, [1.0, 0.0], 1), (17, [], 1), (18, [float("nan"), 1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    got = collision.link(df)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"] and got.count() == len(rows)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["vec_id"], []).append(r)
+    assert [by[k][0]["n_links"] for k in (0, 6, 9)] == [4, 4, 4] and [by[k][0]["n_links"] for k in (1, 2)] == [3, 3]
+    assert sorted(r["n_links"] for r in by[3]) == [4, 4] and all(by[k][0]["n_links"] == 0 and by[k][0]["kept"] for k in (12, 13, 14, 15, 16, 17, 18, None))
+    assert by[9][0]["component_id"] == 0 and by[7][0]["component_id"] == 1
+    assert collision.link(df.limit(0)).count() == 0
+    assert collision.link(df.limit(4).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes])).count() == 4
+
+
 def test_stages_keep_clashing_columns_and_take_empty_tables(spark, clashing, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     docs = clashing

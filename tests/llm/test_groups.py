@@ -1,10 +1,12 @@
 """Operators on pairs and orders against brute force: 2, 3 and 6."""
 
+import os
 import re
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -106,6 +108,40 @@ def test_cells_keep_near_pairs_of_a_large_label_and_count_them_once(spark):
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and links.sum() > 1000
 
 
+@pytest.mark.skipif("QUIRE_SLOW" not in os.environ, reason="several minutes; set QUIRE_SLOW")
+def test_recall_on_a_large_label(spark):
+    """50,000 vectors of one label with pairs around the least cosine, against all pairs by blocks."""
+    rng = np.random.default_rng(5)
+    center = rng.standard_normal((38_000, 32))
+    near = center[:12_000] + rng.uniform(0.1, 0.22, (12_000, 1)) * rng.standard_normal((12_000, 32))
+    vectors = np.concatenate([center, near]).astype(np.float32)
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = np.concatenate([(unit[s : s + 1000] @ unit.T >= 0.98).sum(1) - 1 for s in range(0, len(unit), 1000)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").selectExpr("*", "1 label").repartition(8)
+    got = {r["vec_id"]: r["n_links"] for r in collision.link(df).collect()}
+    found = np.array([got[k] for k in range(len(vectors))])
+    print(found.sum(), links.sum())
+    assert (found <= links).all() and links.sum() > 5000 and found.sum() >= 0.999 * links.sum()
+
+
+def test_sorted_lines_find_what_counting_all_pairs_finds():
+    rng = np.random.default_rng(2)
+    center = rng.standard_normal((300, 20))
+    vectors = np.concatenate([center, center[:200] + 0.1 * rng.standard_normal((200, 20)), center[:3]])
+    unit, rays, need = vectors / np.linalg.norm(vectors, axis=1)[:, None], collision.lines(20), collision.calibrate()
+    half = 3.0 * np.sqrt(0.04) + 1e-6
+    for a, b in ((unit, unit), (unit[:150], unit[150:])):
+        p, q = (a @ rays).astype(np.float32), (b @ rays).astype(np.float32)
+        hits = (np.abs(p[:, None, :] - q[None, :, :]) <= np.float32(half)).sum(2)
+        want = set(zip(*np.nonzero((hits >= need) & (a @ b.T >= 0.98)), strict=True))
+        for most in (1 << 20, 500):
+            collision.PAIRS, before = most, collision.PAIRS
+            got = list(zip(*collision.near(a, b, 0.98, need, rays, 3.0), strict=True))
+            collision.PAIRS = before
+            assert set(got) == want and len(got) == len(want)
+
+
 def test_zones_lose_no_more_than_allowed():
     rng = np.random.default_rng(1)
     x = rng.standard_normal(400_000)
