@@ -212,12 +212,11 @@ def _sketch(read: DataFrame, parts: int, levels: tuple[int, ...], known: dict[in
     unpacked = lambda: {n: np.unpackbits(np.frombuffer(b, np.uint8)).view(bool) for n, b in sent.value.items()}
     schema = "level int, block int, part int, cells binary"
     made = read.mapInArrow(_cells(levels, unpacked, power, cap), schema)
-    while True:
+    while parts > FAN:
         parts = -(-parts // FAN)
         made = made.withColumn("part", (F.col("part") / FAN).cast("int"))
         made = made.groupBy("level", "block", "part").applyInPandas(_added(cap), schema)
-        if parts == 1:
-            break
+    made = made.groupBy("level", "block").applyInPandas(_added(cap), schema)
     bits = {n: np.zeros((1 << power) // 8, np.uint8) for n in levels}
     size = min(BLOCK, 1 << power)
 
