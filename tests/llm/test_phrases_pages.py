@@ -228,6 +228,7 @@ def test_main_text(spark, monkeypatch):
     assert all(got[k]["text"] == want and got[k]["n_chars"] == len(want) for k, _, _, want in rows)
     assert got[1000]["text"] == got[1001]["text"] == "" and got[1000]["n_chars"] == 0
     assert page_blocks.extract(pages.limit(0), weights, keep=["page_id"]).count() == 0
+    monkeypatch.setattr(page_blocks, "SAMPLE", 30)
     monkeypatch.setattr(page_blocks, "VARIANTS", 1)
     monkeypatch.setattr(page_blocks, "MIXED", 1)
     one, two = page_blocks.train(pages), page_blocks.train(pages.repartition(2))
