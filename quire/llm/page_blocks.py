@@ -9,7 +9,7 @@ the light of all others. Blocks of the main text are joined by line ends.
 
 Nobody labelled the pages, so the labeller learns from landmarks: a bounded sample of
 SAMPLE unlike pages of at most SAMPLE_CHARS characters, in which elements like article,
-nav or footer tell the parts apart. They are read as they are, and MIXED times with other
+nav or footer tell the parts apart. They are read twice as they are, and MIXED times with other
 parts put before, into and after the article. Their paragraphs are also laid out anew, in
 SAMPLE x VARIANTS other page designs (menus, banners, notices, side columns, forms,
 adverts, comments, with and without telling names), for which the labels are known.
@@ -253,7 +253,8 @@ class Featurizer:
             words = text.lower().split()
             n = len(text)
             out[k, : PATH + INNER] = self.path(path)
-            out[k, PATH + INNER : PATH + INNER + WORDS] = np.bincount([self.word(w) for w in words], minlength=WORDS) / len(words) ** 0.5
+            counts = np.bincount([self.word(w) for w in words], minlength=WORDS)
+            out[k, PATH + INNER : PATH + INNER + WORDS] = counts / np.sqrt(counts @ counts)  # of length 1, however often words are repeated
             stops = text.count(".") + text.count("!") + text.count("?")
             out[k, -FIGURES:] = (np.log1p(n) / 4, np.log1p(len(words)) / 4, linked / n, min(stops / len(words), 1), min(text.count(",") / len(words), 1), text[-1] in ".!?:”\"", "©" in text, text[0].isupper(), min(text.count("|") + text.count("»"), 3) / 3, k / len(blocks), np.log1p(len(blocks)) / 4, 1)
         return out
@@ -577,7 +578,7 @@ def train(pages: DataFrame, html_col: str = "html") -> dict[str, np.ndarray]:
         blocks, labels = _mixed(parser, designs.mixed(page))
         if blocks:
             made.append((featurize(blocks), np.array(labels, np.float32)))
-    return fit([x for x in told if len(x[1])] + made)
+    return fit([x for x in told if len(x[1])] * 2 + made)
 
 
 def _extractor(weights: dict[str, np.ndarray]) -> Callable[[list[str | None]], tuple[list[str], list[int]]]:
