@@ -51,3 +51,10 @@ def test_unified_diffs_of_any_texts(spark, pairs):
 def test_matching_blocks(spark):
     row = spark.createDataFrame([(list("abxcd"), list("abcdx"))], "a array<string>, b array<string>").select(matching_blocks(F.col("a"), F.col("b")).alias("m")).first()
     assert [tuple(x) for x in row["m"]] == [(0, 0, 2), (3, 2, 2)]
+
+
+def test_a_hunk_begins_with_its_first_change(spark):
+    # A later change of the hunk, far down in the old text and near the top of the new one, doesn't move its head.
+    a, b = "p\nq\nr\ns\nTo.\nz", "n\nTo."
+    checked(spark, [(a, b), (b, a), (a + "\n", b + "\n"), ("To.\n" + a, b)])
+    assert spark.createDataFrame([(a, b)], SCHEMA).select(unified(F.col("a"), F.col("b"))).first()[0].split("\n")[2] == "@@ -1,6 +1,2 @@"
