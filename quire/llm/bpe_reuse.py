@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.llm.common import map_texts, table
-from quire.llm.fast_bpe import ODD_SPACE, UNIT, byte_letters, encoder
+from quire.llm.fast_bpe import FINE_UNIT, ODD_SPACE, UnitEncoder
 
 WINDOW = 16
 MASK = 0x1FF  # a cut at about every 512th byte
@@ -136,12 +136,11 @@ class ChunkEncoder:
 
     def __init__(self, path: str, most_chunks: int = 40_000, most_spans: int = 100_000) -> None:
         self.path, self.most, self.most_spans = path, most_chunks, most_spans
-        self.base = encoder(path, True)
+        self.base = UnitEncoder(path, True)
         self.special = [t.content for t in self.base.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[bytes, Chunk] = {}
         self.spans: dict[bytes, bytes] = {}
         self.reused = self.encoded = self.welds = self.grown = 0
-        self._pieces: list[bytes] | None = None
         self._sizes: list[int] | None = None
 
     def chunk(self, data: bytes, ids: bytes) -> Chunk:
@@ -189,15 +188,21 @@ class ChunkEncoder:
                     self.reused += 1
                 else:
                     self.encoded += 1
-                    fresh[c] = UNIT.findall(c.decode())
+                    fresh[c] = FINE_UNIT.findall(c.decode())
         # What stands beside uncommon white space isn't told by units: such a chunk goes to the library.
         odd = [c for c in fresh if ODD_SPACE.search(c.decode())]
         for c, ids in zip(odd, self.base.library([c.decode() for c in odd]), strict=True):
             self.chunks[c] = self.chunk(c, ids.tobytes())
             del fresh[c]
-        known = self.base.learn({u for units in fresh.values() for u in units})
-        for c, units in fresh.items():
-            self.chunks[c] = self.chunk(c, b"".join(map(known.__getitem__, units)))
+        known = self.base.room()
+        found = {c: list(map(known.get, units)) for c, units in fresh.items()}
+        gaps = {c: [k for k, ids in enumerate(row) if ids is None] for c, row in found.items() if None in row}
+        self.base.add(list(dict.fromkeys(fresh[c][k] for c, ks in gaps.items() for k in ks)))
+        for c, ks in gaps.items():
+            for k in ks:
+                found[c][k] = known[fresh[c][k]]
+        for c, row in found.items():
+            self.chunks[c] = self.chunk(c, b"".join(row))
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[array]:
@@ -278,13 +283,7 @@ class ChunkEncoder:
     @property
     def pieces(self) -> list[bytes]:
         """The bytes of each id."""
-        if self._pieces is None:
-            byte_of = {letter: b for b, letter in byte_letters().items()}
-            vocab = self.base.tokenizer.get_vocab(with_added_tokens=True)
-            self._pieces = [b""] * (max(vocab.values(), default=-1) + 1)
-            for token, i in vocab.items():
-                self._pieces[i] = bytes(byte_of[ch] for ch in token) if all(ch in byte_of for ch in token) else token.encode()
-        return self._pieces
+        return self.base.pieces
 
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")

@@ -24,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
 UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+#: For byte-level vocabularies units also end between a letter and a common mark, where the pre-tokenizer always cuts: fewer unlike ones.
+FINE_UNIT = re.compile(r"[ \t\r\n]*+(?:[^ \t\r\n.,;:!?]++(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[.,;:!?])|[^ \t\r\n]++)|[ \t\r\n]++")
 
 
 MOST_CHARS = 12_000_000
@@ -119,6 +121,8 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.keep_space, self.most = keep_space, most_units
         self.known: dict[str, bytes] = {}
+        self._pieces: list[bytes] | None = None
+        self._sizes: np.ndarray | None = None
         self.words = None if keep_space else EndedWords(path)
 
     def library(self, texts: list[str]) -> list[array]:
@@ -127,19 +131,61 @@ class UnitEncoder:
     def units(self, text: str) -> list[str]:
         return UNIT.findall(text) if self.keep_space else text.split()
 
-    def learn(self, units: set[str]) -> dict[str, bytes]:
-        """The cache (unit to its ids as bytes), with all of ``units`` in it."""
+    def room(self) -> dict[str, bytes]:
+        """The cache (unit to its ids as bytes), without its older half if it is full."""
         known = self.known
         if len(known) > self.most or self.chars > self.most_chars:
             for unit in list(known)[: -(-len(known) // 2)]:
                 self.chars -= len(unit)
                 del known[unit]
-        new = [u for u in units if u not in known]
+        return known
+
+    def add(self, new: list[str]) -> None:
+        """Encode units that the cache doesn't hold, in texts of many; units not told apart by their bytes one by one."""
         self.chars += sum(map(len, new))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        if self.keep_space:
+            # Before white space that follows something else no token goes across.
+            alone = [u for u in new if u[0] not in " \t\r\n" or u[-1] in " \t\r\n"]
+            led = [u for u in new if u[0] in " \t\r\n" and u[-1] not in " \t\r\n"]
+        else:
+            alone, led = new, []
+        for i in range(0, len(led), 1024):
+            some = led[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends, upto = np.cumsum([len(u.encode()) for u in some]), np.cumsum(self.sizes[ids])
+            at = np.searchsorted(upto, ends)
+            if len(ids) == 0 or upto[-1] != ends[-1] or not np.array_equal(upto[at], ends):
+                alone = alone + some
+                continue
+            raw, marks = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(marks, marks[1:], strict=False)], strict=True))
+        for i in range(0, len(alone), 4096):
+            some = alone[i : i + 4096]
             for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[unit] = array("I", found.ids).tobytes()
+                self.known[unit] = array("I", found.ids).tobytes()
+
+    @property
+    def pieces(self) -> list[bytes]:
+        """The bytes of each id."""
+        if self._pieces is None:
+            byte_of = {letter: b for b, letter in byte_letters().items()}
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self._pieces = [b""] * (max(vocab.values(), default=-1) + 1)
+            for token, i in vocab.items():
+                self._pieces[i] = bytes(byte_of[ch] for ch in token) if all(ch in byte_of for ch in token) else token.encode()
+        return self._pieces
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each id."""
+        if self._sizes is None:
+            self._sizes = np.array(list(map(len, self.pieces)), np.int64)
+        return self._sizes
+
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """The cache, with all of ``units`` in it."""
+        known = self.room()
+        self.add([u for u in units if u not in known])
         return known
 
     def encode(self, texts: list[str]) -> list[array]:

@@ -316,3 +316,28 @@ def test_copies_of_a_row_fill_many_ranges(spark):
     assert manifest.agg(F.countDistinct("part"), F.sum("n_docs"), F.max("n_docs")).first()[:2] == (8, 40_000)
     got = dac_file.read(manifest)
     assert got.agg(F.count("*"), F.countDistinct("start"), F.countDistinct("ids_crc32")).first()[:] == (40_000, 40_000, 1)
+
+
+def test_new_units_go_to_the_library_in_joined_texts():
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeöéÄ'7$.") for _ in range(rng.randint(1, 9)))
+    text = "".join(word() + rng.choice([" ", " ", ", ", ".\n", "...  ", ";x", "!?\t", ",'s ", "$. ", "7,", "\r\n\n"]) for _ in range(6000))
+    made = bpe_reuse.ChunkEncoder(bpe_reuse.default_path())
+    made.base.tokenizer = counted = Counted(made.base.tokenizer)
+    want = counted.inner.encode(text, add_special_tokens=False).ids
+    made.split([text.encode()])
+    assert counted.texts < 1000  # before, one for each of more than 5,000 unlike units
+    assert made.encode([text])[0].tolist() == want
+    for one in text.split("\n")[:200]:
+        assert made.encode([one])[0].tolist() == counted.inner.encode(one, add_special_tokens=False).ids
