@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quire.llm.common import map_texts, table
+from quire.llm.common import held, map_texts, table
 from quire.llm.fast_bpe import FINE_UNIT, ODD_SPACE, UnitEncoder
 
 WINDOW = 16
@@ -289,14 +289,9 @@ class ChunkEncoder:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CHUNKERS: dict[str, ChunkEncoder] = {}
-
-
 def chunk_encoder(path: str) -> ChunkEncoder:
     """This worker's encoder, whose chunks serve all its tasks."""
-    if path not in _CHUNKERS:
-        _CHUNKERS[path] = ChunkEncoder(path)
-    return _CHUNKERS[path]
+    return held(("bpe_reuse", path), lambda: ChunkEncoder(path))
 
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None, keep: Sequence[str] | None = None, prefix: str = "") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.session import materialize, shared_dir, ship, table
 
-__all__ = ["col", "components", "crc_mod", "free", "integer_ids", "join_dealt", "map_texts", "materialize", "prepare", "share_of_rows", "shared_dir", "table"]
+__all__ = ["col", "components", "crc_mod", "free", "held", "integer_ids", "join_dealt", "map_texts", "materialize", "prepare", "share_of_rows", "shared_dir", "table"]
 
 SLICE_ROWS = 256
 SLICE_CHARS = 4_000_000
@@ -43,6 +45,40 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: What this worker keeps for later tasks: a single thing, that of the operator it last worked for.
+_HELD: dict = {}
+_USES = [0]
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``'s result, kept for this worker's later tasks until a task of another operator comes.
+
+    Stages share workers, so what all of them kept would add up in an executor's memory.
+    """
+    _USES[0] += 1
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what the worker keeps and give its memory back."""
+    if _HELD:
+        _HELD.clear()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def begun(factory: Callable[[], Callable]) -> Callable:
+    """``factory()`` at the start of a task; what the worker keeps for another operator goes."""
+    uses = _USES[0]
+    work = factory()
+    if _USES[0] == uses:
+        let_go()
+    return work
+
+
 def integer_ids(df: DataFrame, name: str) -> Column:
     """An integer column as long; other types raise a TypeError before any work is done."""
     kind = df.select(col(name)).schema[0].dataType
@@ -110,7 +146,7 @@ def map_texts(
     kinds = [to_arrow_type(f.dataType) for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = factory()
+        work = begun(factory)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for start, stop in slices(texts):

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from quire.llm import bpe_reuse, language_id, mixing, rule_ensemble, simhash, toxicity
@@ -201,3 +202,30 @@ def test_dedup_keeps_one_row_of_every_class(spark):
     got = [tuple(r) for r in out.collect()]
     assert Counter(r[:2] for r in got) == Counter([(None, text["a"]), (None, text["b"]), (1, text["c"]), (2, text["d"]), (2, text["e"]), (3, text["f"]), (None, text["g"])])
     assert set(got) <= set(rows)
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(spark, tmp_path):
+    from quire.llm import common
+
+    def kept():
+        return len(common._HELD)
+
+    path = bpe_reuse.default_path()
+    made = common.begun(lambda: bpe_reuse.chunk_encoder(path))
+    assert made is common.begun(lambda: bpe_reuse.chunk_encoder(path)) and kept() == 1
+    common.begun(lambda: len)  # a task of an operator that keeps nothing
+    assert kept() == 0 and bpe_reuse.chunk_encoder(path) is not made
+    common.held(("other", 1), dict)
+    assert list(common._HELD) == [("other", 1)]
+    common.let_go()
+    # In a real worker: the tasks after those of the encoder find nothing of it.
+    docs = spark.createDataFrame([(k, f"some text {k}") for k in range(8)], "doc_id long, text string").coalesce(1)
+    schema = T.StructType([T.StructField("n", T.LongType())])
+
+    def look():
+        from quire.llm import common
+
+        return lambda texts: [[len(common._HELD)] * len(texts)]
+
+    assert bpe_reuse.digests(docs).count() == 8
+    assert {r["n"] for r in common.map_texts(docs, "text", schema, look).collect()} == {0}
