@@ -6,9 +6,10 @@ and deadline ceil((j + 1) / w), counted in blocks of output; in each time slot,
 the released blocks the one with the earliest deadline is emitted, which keeps every
 source within less than one block of its share at any time.
 
-Up to OWN_WINDOWS sources each have windows of their own: earliest deadline first
-decides among all of them, and equal deadlines go to the source with more blocks, then by name. Of more
-sources those of equal weight form a class. Classes are scheduled earliest deadline
+There are two rules, and the caller names one; the size of the input never does. With
+``own_windows`` every source has windows of its own: earliest deadline first decides
+among all of them, and equal deadlines go to the source with more blocks, then by name.
+Without, sources of equal weight form a class. Classes are scheduled earliest deadline
 first by their summed weights; within a class, blocks j of all its sources stand
 in turn, sources with more blocks first, so a source's lag stays below one block
 (its turn in the class adds less than what the class's lag leaves of a block), and when
@@ -17,14 +18,19 @@ source with windows of its own) has none left a new phase begins, in which the o
 share its weight in proportion: every document is emitted exactly once.
 
 Weights are exact fractions (of a float, the decimal number it is written as). A
-schedule of classes repeats after as many slots as the whole parts of the phase's
-classes sum to; only one period is made. A period beyond MOST_PLACES is followed
+schedule repeats after as many slots as the whole parts of the phase's classes (or
+sources) sum to; only one period is made. A period beyond MOST_PLACES is followed
 through instead and written to a table by pieces. There are as many classes as
 unlike stated weights, and one more; sources may be any number. The driver holds a
 number for each unlike number of blocks that sources of a class have (at most the
 root of twice the blocks, as that many unlike numbers add up to the blocks), and the
 places of a period.
 
+Each source with windows of its own ends a phase, so beyond FEW_SOURCES of them periods
+aren't worth making: the same schedule is followed through block by block and written
+to a table. The driver then holds a few numbers a source (no names) and takes a step a
+block, and one a phase and unlike weight.
+
 A source's order needs no single task: documents fall into buckets by the leading
 bits of their hash, buckets are numbered from counts, and ranks are taken within
 (source, bucket), so a source with a third of all rows is dealt over many tasks. The
@@ -43,6 +49,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import math
 import uuid
 from array import array
@@ -51,6 +58,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,10 +67,11 @@ from quire.llm.common import col, free, materialize, prepare, table
 from quire.session import delete_on_exit, shared_dir
 
 BLOCK = 16
-#: Sources that each have windows of their own.
-OWN_WINDOWS = 256
+#: Sources with windows of their own whose phases are kept as periods; of more the same schedule is followed through.
+FEW_SOURCES = 256
 MOST_PLACES = 1 << 20
 CHUNK = 4096  # places in a row of the table of a long period
+PIECE = 1 << 18  # blocks that are written to a table at once
 MOST_BROADCAST = 400_000  # rows of sources, buckets and numbers
 
 
@@ -93,6 +102,54 @@ def slots(parts: list[int], blocks: list[int] | None = None) -> Iterator[int]:
         heapq.heappush(later, (done[i] * total // parts[i], i))
 
 
+def followed(blocks: Sequence[int], kinds: Sequence[int], parts: Sequence[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of every block in turn, if all sources have windows of their own.
+
+    Sources stand in the order that decides between equal deadlines; ``kinds`` are
+    their weights' places in ``parts``. In a phase all sources of a weight have the
+    same windows and take turns in their order, so a weight's next block stands for all of them.
+    """
+    left, done, start = list(blocks), [0] * len(blocks), 0
+    first, after, before = [-1] * len(parts), [-1] * len(blocks), [-1] * len(blocks)
+    last = list(first)
+    for i, k in enumerate(kinds):
+        if last[k] < 0:
+            first[k] = i
+        else:
+            after[last[k]], before[i] = i, last[k]
+        last[k] = i
+    total = sum(parts[k] for k in kinds)
+    while total:
+        ready = [(-(-total // a), i, k, 0) for k, (i, a) in enumerate(zip(first, parts, strict=True)) if i >= 0]
+        heapq.heapify(ready)
+        later: list[tuple[int, int, int]] = []  # release, weight, round
+        slot = 0
+        while True:
+            while later and later[0][0] <= slot:
+                _, k, j = heapq.heappop(later)
+                heapq.heappush(ready, (-(-(j + 1) * total // parts[k]), first[k], k, j))
+            deadline, i, k, j = ready[0]
+            yield i, done[i], start + slot, start + j * total // parts[k], start + deadline
+            slot += 1
+            done[i] += 1
+            left[i] -= 1
+            if not left[i]:
+                break
+            if after[i] >= 0:
+                heapq.heapreplace(ready, (deadline, after[i], k, j))
+            else:
+                heapq.heappop(ready)
+                heapq.heappush(later, ((j + 1) * total // parts[k], k, j + 1))
+        if before[i] >= 0:
+            after[before[i]] = after[i]
+        else:
+            first[k] = after[i]
+        if after[i] >= 0:
+            before[after[i]] = before[i]
+        start += slot
+        total -= parts[k]
+
+
 class Phase:
     """What classes emit from slot ``start`` on: class -> (first block, parts, places in a period; None if they are in the table)."""
 
@@ -230,13 +287,15 @@ def origin(df: DataFrame) -> list[Column]:
     return found
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str | None, float] | Callable[[Column], Column] | None = None, block: int = BLOCK, prefix: str = "", seed: int = 0, most_places: int = MOST_PLACES) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str | None, float] | Callable[[Column], Column] | None = None, block: int = BLOCK, prefix: str = "", seed: int = 0, most_places: int = MOST_PLACES, own_windows: bool = False) -> DataFrame:
     """All rows with rank (in the source), block, slot, release, deadline and position.
 
     ``position`` orders the mixture. release and deadline are slots, from the start
     of the phase in which the block is emitted. ``weights`` maps sources to
     positive numbers, kept exactly, or gives the weight as an expression of the
-    source column; a source without one (or with null) has weight 1.
+    source column; a source without one (or with null) has weight 1. With
+    ``own_windows`` earliest deadline first decides among sources, else among classes
+    of equal weight.
     """
     spark = prepare(df.sparkSession)
     source, place, rank, kind, turn, held = free(df, "source_key", "place", "rank_in", "class", "turn", "held")
@@ -258,7 +317,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     shares: list[Fraction] = []
     counts: list[dict[int, int]] = []
     known: list[tuple[str, int]] = []  # the class of each source, or of each weight
-    by = source if groups <= OWN_WINDOWS else "weight"
+    follow = own_windows and groups > FEW_SOURCES
+    by = source if own_windows and not follow else "weight"
     for key, weight, v, c in sources.groupBy(by, F.col("weight").alias("w"), "blocks").count().orderBy(F.desc("blocks"), by).collect():
         share = Fraction(weight)
         if share <= 0:
@@ -270,6 +330,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
         known.append((key, k))
         counts[k][v] = counts[k].get(v, 0) + c
     sources = sources.join(F.broadcast(spark.createDataFrame(sorted(set(known)), f"{by} string, {kind} int")), by)
+    if follow:
+        return follow_through(df, keyed, sources, [source, place, rank, kind, turn], ties, block, prefix, most, groups, shares)
     classes = list(range(len(shares)))
     plan = Plan([counts[k] for k in classes], [shares[k] for k in classes], most_places)
     table_of = write_places(spark, plan.make())
@@ -293,11 +355,49 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
         places = table_of.toDF(k2, p2, c2, s2)
         out = out.join(places, (col(kind) == col(k2)) & (col(held)["phase"] == col(p2)) & (F.floor(col(held)["at"] / CHUNK) == col(c2)), "left")
         slot = F.when(slot >= 0, slot).otherwise(F.get(col(s2), (col(held)["at"] % CHUNK).cast("int")))
-    made = {"rank": col(rank), "block": j, "slot": slot, "release": col(held)["release"], "deadline": col(held)["deadline"], "position": slot * block + col(rank) % block}
+    return results(df, out, col(rank), j, slot, col(held)["release"], col(held)["deadline"], block, prefix)
+
+
+def results(df: DataFrame, out: DataFrame, rank: Column, j: Column, slot: Column, release: Column, deadline: Column, block: int, prefix: str) -> DataFrame:
+    """The columns of ``df`` and those that ``mix`` adds."""
+    made = {"rank": rank, "block": j, "slot": slot, "release": release, "deadline": deadline, "position": slot * block + rank % block}
     taken = {(prefix + c).lower() for c in made}
     return out.select(*[col(c) for c in df.columns if c.lower() not in taken], *[e.cast("long").alias(prefix + c) for c, e in made.items()])
 
 
+def follow_through(df: DataFrame, keyed: DataFrame, sources: DataFrame, names: Sequence[str], ties: Sequence, block: int, prefix: str, most: int, groups: int, shares: Sequence[Fraction]) -> DataFrame:
+    """The mixture with windows of each source's own by a table of all blocks, which rows join by their source's turn and block."""
+    source, place, rank, kind, turn = names
+    spark = df.sparkSession
+    # A source's turn is its place in the order of blocks and name: its row in a sorted table, after the rows of the parts before.
+    rows = materialize(sources.orderBy(F.desc("blocks"), source).select(source, kind, "blocks", F.monotonically_increasing_id().alias("at")), "turns")
+    part = F.shiftright("at", 33).cast("int")
+    sizes = sorted(rows.groupBy(part).count().collect())
+    ends = itertools.accumulate([n for _, n in sizes], initial=0)
+    ends = spark.createDataFrame([(p, n) for (p, _), n in zip(sizes, ends)], "part int, before long")
+    turned = rows.join(F.broadcast(ends), part == F.col("part")).select(source, kind, "blocks", (F.col("at").bitwiseAND((1 << 33) - 1) + F.col("before")).alias(turn))
+    held = turned.select(turn, kind, "blocks").toArrow()
+    order = np.argsort(held[turn].to_numpy())
+    blocks, kinds = (held[c].to_numpy()[order].tolist() for c in ("blocks", kind))
+    table_of = write_blocks(spark, followed(blocks, kinds, exact(shares)))
+
+    ranked = numbered(keyed, [source], place, ties, rank, most, groups, turned.select(source, turn))
+    k2, j2, slot, release, deadline = free(ranked, "k2", "j2", "slot_at", "opens", "shuts")
+    j = F.floor(col(rank) / block).cast("long")
+    out = ranked.join(table_of.toDF(k2, j2, slot, release, deadline), (col(turn) == col(k2)) & (j == col(j2)))
+    return results(df, out, col(rank), j, col(slot), col(release), col(deadline), block, prefix)
+
+
+def write_blocks(spark: SparkSession, rows: Iterator[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The rows of ``followed`` as a table in the shared folder, written by pieces."""
+    names = ["k", "j", "slot", "release", "deadline"]
+    path = delete_on_exit(spark, f"{shared_dir(spark)}/quire-blocks-{uuid.uuid4().hex}")
+    while piece := list(itertools.islice(rows, PIECE)):
+        columns = np.array(piece, np.int64).T
+        spark.createDataFrame(pa.table(dict(zip(names, columns, strict=True)))).write.mode("append").parquet(path)
+    return spark.read.schema(", ".join(f"{c} long" for c in names)).parquet(path)
+
+
 def write_places(spark: SparkSession, rows: Iterator[tuple[int, int, int, array]]) -> DataFrame | None:
     """The rows as a table in the shared folder, written by pieces; None without rows."""
     path, schema, some, any_ = f"{shared_dir(spark)}/quire-places-{uuid.uuid4().hex}", "k int, p int, c long, s array<long>", [], False
@@ -326,7 +426,7 @@ def by_number(source: Column) -> Column:
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of a mixture in which sources have the weights of ``by_number``."""
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), weights=by_number)
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), weights=by_number, own_windows=True)
 
 
 QUERIES = {"op2_pfair_mix": op2_pfair_mix}

@@ -281,6 +281,37 @@ def test_registered_mix_is_earliest_deadline_first_over_all_sources(spark, tmp_p
     assert checked_lags(order, {s: Fraction(w) for s, w in weights.items()}) > 20
 
 
+def test_following_through_is_earliest_deadline_first_over_all_sources():
+    rng = np.random.default_rng(2)
+    for n, most, weights in ((1, 5, [1]), (40, 2, [1, 2, 3, 4, 5]), (90, 30, [1, 2, 3, 4, 5]), (60, 9, [Fraction(1, 7), Fraction("0.3"), Fraction(40)]), (70, 20, [1]), (30, 40, range(1, 31))):
+        blocks = sorted(rng.integers(1, most + 1, n).tolist(), reverse=True)
+        kinds = rng.integers(0, len(weights), n).tolist()
+        rows = list(mixing.followed(blocks, kinds, mixing.exact([Fraction(w) for w in weights])))
+        assert [r[0] for r in rows] == flat_edf(dict(enumerate(blocks)), {i: Fraction(weights[k]) for i, k in enumerate(kinds)})
+        assert [r[2] for r in rows] == list(range(sum(blocks))) and all(r[3] <= r[2] < r[4] for r in rows)
+        assert sorted(r[:2] for r in rows) == [(i, j) for i, n in enumerate(blocks) for j in range(n)]
+
+
+def test_registered_mix_has_one_rule_whatever_the_number_of_sources(spark, tmp_path):
+    sizes = {f"src{k}": 1 + 97 * k % 90 for k in range(262)} | {"none": 900}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "doc_id long, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op2_pfair_mix(spark, str(tmp_path)).orderBy("position").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows) and len({r["position"] for r in got}) == len(rows)
+    weights = {s: 1 + int(s[3:]) % 5 if s != "none" else 1 for s in sizes}
+    assert slots_of(got) == flat_edf({s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, weights)
+
+
+def test_neither_rule_depends_on_how_it_is_worked_out(spark, monkeypatch):
+    df = spark.range(900).selectExpr("id doc_id", "case when id % 10 = 0 then null when id % 3 = 0 then 'b' when id % 7 = 1 then 'd' else 'c' end source").repartition(3, "doc_id")
+    for own in (False, True):
+        made = []
+        for few in (2, 256):
+            monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+            made.append(Counter(map(tuple, mixing.mix(df, weights={"b": 0.3, None: 2}, block=4, own_windows=own).collect())))
+        assert made[0] == made[1] and sum(made[0].values()) == 900
+
+
 def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
     spark.range(200_000).selectExpr("if(id < 199000, 7L, id) doc_id", "'a' source").repartition(8).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
