@@ -102,16 +102,13 @@ def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations kept as files, read back by the names that manuals hold: some name no file, one that is gone, or one of a type that isn't read."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    texts = turns.select("conv_id", F.array_join("t.text", "\n").alias("value"))
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    # A file a conversation; some are of another type.
+    ending = F.when(F.col("conv_id") % 7 == 3, "csv").otherwise("txt")
     folder = delete_on_exit(spark, f"{shared_dir(spark)}/quire-files-{uuid.uuid4().hex}")
-    # A file a conversation, with a number of their own for those of another type.
-    texts.filter("conv_id % 7 <> 3").repartition("conv_id").write.partitionBy("conv_id").text(f"{folder}/kind=text")
-    texts.filter("conv_id % 7 = 3").repartition("conv_id").write.partitionBy("conv_id").csv(f"{folder}/kind=other")
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("path"))
-    there = there.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("at"), "path")
-    name = F.when(F.col("conv_id") % 5 == 1, F.lit("")).when(F.col("conv_id") % 5 == 2, F.concat("path", F.lit(".gone.txt"))).otherwise(F.col("path"))
-    manuals = turns.join(there, F.col("conv_id") == F.col("at")).select(F.col("conv_id").alias("id"), name.alias("file"))
+    there = files.write_each(turns.select(F.col("conv_id").alias("key"), F.array_join("t.text", "\n").alias("text"), ending.alias("ending")), folder)
+    name = F.when(F.col("key") % 5 == 1, F.lit("")).when(F.col("key") % 5 == 2, F.concat("path", F.lit(".gone.txt"))).otherwise(F.col("path"))
+    manuals = there.select(F.col("key").alias("id"), name.alias("file"))
     found = files.read_back(manuals, files.read_named(spark, folder, manuals))
     return found.select("id", "text", F.substring_index("error", ":", 1).alias("error"))
 

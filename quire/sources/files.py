@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import extension
 from quire.operators.structure import clean, split_sections
 from quire.operators.tagging import tag
+from quire.session import materialize
 
 KINDS = {"txt": "text", "pdf": "pdf", "jpg": "image", "jpeg": "image", "png": "image"}
 
@@ -75,6 +80,53 @@ def extract(df: DataFrame, name_col: str = "path", content_col: str = "content")
     return made.withColumn("raw_text", F.col(got)["raw_text"]).withColumn("error", F.col(got)["error"]).drop(got)
 
 
+#: Spark's writers of the files that ``write_each`` makes, by ending.
+WRITERS = {"txt": "text", "csv": "csv"}
+
+
+def write_each(df: DataFrame, folder: str, by_spark: bool | None = None) -> DataFrame:
+    """Write a file for each row (key, text, ending) below ``folder``, which is new: rows (key, path) with the files' full URIs.
+
+    Keys are unlike longs, endings those of WRITERS. Hadoop's local file system starts
+    a ``chmod`` process for every file, checksum and folder that it makes, unless its
+    native library is there: most of the time goes into these. So there the tasks
+    write themselves, an attempt into a folder of its own, whose names only count if it
+    succeeds. Elsewhere (or ``by_spark``) Spark's writers make a folder a key, and the names come from a listing.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file" if by_spark is None else by_spark:
+        for ending, writer in WRITERS.items():
+            rows = df.filter(F.col("ending") == ending).select("key", "text").repartition("key")
+            getattr(rows.write.partitionBy("key"), writer)(f"{folder}/kind={writer}")
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("path"))
+        return there.select(F.regexp_extract("path", r"/key=(-?\d+)/", 1).try_cast("long").alias("key"), "path")
+    local = path(folder).toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        own, n = TaskContext.get().taskAttemptId(), 0
+        os.makedirs(f"{local}/{own}", exist_ok=True)
+        for batch in batches:
+            names = []
+            for text, ending in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                names.append(f"{own}/{n}.{ending}")
+                n += 1
+                with open(f"{local}/{names[-1]}", "wb") as out:
+                    out.write((text or "").encode() + b"\n")  # never empty: scans pass over empty files
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], ["key", "path"])
+
+    made = materialize(df.select("key", "text", "ending").mapInArrow(write, "key long, path string"), "names")
+    one = made.first()
+    if one is None:
+        return made
+    # A scan of one file tells how scans write the folder's URI.
+    named = spark.read.format("binaryFile").load(f"{folder}/{one['path']}").select("_metadata.file_path").first()[0]
+    return made.select("key", F.concat(F.lit(named.removesuffix(one["path"])), "path").alias("path"))
+
+
 #: File names that go into the plan of a scan.
 MOST_NAMES = 20_000
 

@@ -1,13 +1,18 @@
 """The section store (batches, repeats, crashes, two writers, streams), stored files and deletions."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import workflow
 from quire.operators.entities import FOREIGN_KEYS, SCHEMAS
 from quire.operators.state import Conflict, SectionStore, UniqueTable
+from quire.plans.registry import REGISTRY
+from quire.session import shared_dir
 from quire.sources import files
 
 
@@ -133,6 +138,31 @@ def test_only_named_files_are_opened(spark, tmp_path):
     assert files.read_named(spark, str(tmp_path), rows, most=1).count() == 30
 
 
+def test_files_are_written_without_a_folder_or_checksum_each(spark, tmp_path):
+    turns = [(k, t, f"said {k} {t}") for k in (-7, 0, 1, 2, 3, 4, 5, 8, 10, 17, 18) for t in (1, 0)] + [(None, 2, "b"), (None, 1, "a"), (9, 0, None), (9, 1, "z"), (14, 0, None), (15, 0, "\u00e9\n")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    shared = Path(urlparse(shared_dir(spark)).path)
+    before = set(shared.glob("quire-files-*"))
+    got = REGISTRY["stored_files"][0](spark, str(tmp_path)).collect()
+    (folder,) = set(shared.glob("quire-files-*")) - before
+    made = [x for x in folder.rglob("*") if x.is_file()]
+    assert len(made) == 14 and {x.suffix for x in made} == {".txt", ".csv"}
+    assert sum(x.is_dir() for x in folder.rglob("*")) <= 8  # one a task at most
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, db.execute(REGISTRY["stored_files"][1]).fetchall()))
+
+
+def test_files_are_the_same_whoever_writes_them(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb", "txt"), (-2, "", "txt"), (None, None, "txt"), (3, "\u00e9", "txt"), (4, "x", "csv")], "key long, text string, ending string").repartition(3)
+    for own in (tmp_path / "a b%20", tmp_path / "c"):
+        there = files.write_each(rows, f"file://{own}", by_spark=own.name == "c")
+        found = there.join(files.read_named(spark, f"file://{own}", there, "path"), "path")
+        assert {r["key"]: bytes(r["content"]) for r in found.collect()} == {1: b"a\nb\n", -2: b"\n", None: b"\n", 3: b"\xc3\xa9\n", 4: b"x\n"}
+        assert {r["key"]: r["path"][-4:] for r in there.collect()}[4] == ".csv"
+    assert files.write_each(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
 def test_a_deletion_scans_each_table_once(spark, tmp_path):
     tables = {
         "department": spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"),
